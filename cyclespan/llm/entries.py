@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lm_score, secrets, simhash, token_counts, winnow
+from . import bpe, decontaminate, line_dedup, lm_score, secrets, simhash, token_counts, winnow
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op3_lm_score": lm_score.query,
     "op5_winnowing": winnow.query,
     "op6_token_counts": token_counts.query,
@@ -14,5 +15,6 @@ QUERIES = {
     "op10_secrets": secrets.query,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
 }
