@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,6 +75,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -121,3 +125,17 @@ def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def words(text: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z lower-cased: bytes.split() parts at just these six bytes."""
     return text.lower().split()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; Spark's file server carries it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cyclespan_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    made = os.path.join(tempfile.mkdtemp(prefix="cyclespan-"), "cyclespan.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, str(p.relative_to(package.parent)))
+    sc.addPyFile(made)
+    sc._cyclespan_shipped = True
