@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, lm_score, quality, secrets, simhash, token_counts, winnow
+from . import bpe, decontaminate, line_dedup, lm_score, quality, secrets, simhash, substring, token_counts, winnow
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_quality": quality.query,
     "op3_lm_score": lm_score.query,
+    "op4_substring": substring.query,
     "op5_winnowing": winnow.query,
     "op6_token_counts": token_counts.query,
     "op7_decontamination": decontaminate.query,

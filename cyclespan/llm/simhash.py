@@ -151,9 +151,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one for each component: that with the smallest id (of repeated rows, one)."""
-    out = near_duplicates(docs)
-    heads = out.where("id <=> component_id").select("id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, one for each component: that with the smallest id; of rows that share it, the one with the least text hash."""
+    spark = docs.sparkSession
+    text = F.xxhash64(common.text_of())
+    out = near_duplicates(docs.select("doc_id", common.text_of().alias("text")), shingle=shingle, radius=radius)
+    heads = common.Scratch(spark, "heads").keep(out.where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n")))
+    # Nearly all ids stand for one row; only repeated ones need a choice.
+    one = docs.join(heads.where("n = 1").select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    again = docs.withColumn("_h", text).join(heads.where("n > 1").select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    chosen = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "_h").alias("_row")).select("_row.*")
+    return one.unionByName(chosen)
