@@ -156,9 +156,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     spark = docs.sparkSession
     text = F.xxhash64(common.text_of())
     out = near_duplicates(docs.select("doc_id", common.text_of().alias("text")), shingle=shingle, radius=radius)
-    heads = common.Scratch(spark, "heads").keep(out.where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n")))
+    # Names that no table's own columns have.
+    heads = common.Scratch(spark, "heads").keep(out.where("id <=> component_id").groupBy(F.col("id").alias("_cyclespan_id")).agg(F.count("*").alias("_cyclespan_n")))
+    same = F.col("doc_id").eqNullSafe(F.col("_cyclespan_id"))
     # Nearly all ids stand for one row; only repeated ones need a choice.
-    one = docs.join(heads.where("n = 1").select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    again = docs.withColumn("_h", text).join(heads.where("n > 1").select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    chosen = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "_h").alias("_row")).select("_row.*")
+    one = docs.join(heads.where("_cyclespan_n = 1").select("_cyclespan_id"), same, "left_semi")
+    again = docs.join(heads.where("_cyclespan_n > 1").select("_cyclespan_id"), same, "left_semi").select(F.struct(*docs.columns).alias("_row"), text.alias("_h"))
+    chosen = again.groupBy("_row.doc_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
     return one.unionByName(chosen)
