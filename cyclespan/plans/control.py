@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 import threading
 import time
-import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from typing import Any
@@ -23,20 +22,25 @@ def log_line(message: str) -> None:
 
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float):
-    """Jobs started inside are interrupted after so many seconds; 0: never."""
+    """Jobs that start inside are cancelled after so many seconds; 0: never. It reaches all jobs of the application that were not at work before,
+    so runs with a limit go one after the other."""
     if seconds <= 0:
         yield
         return
-    tag = f"limit-{uuid.uuid4().hex}"
-    spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    timer.daemon = True
-    timer.start()
+    sc = spark.sparkContext
+    before, over = set(sc.statusTracker().getActiveJobsIds()), threading.Event()
+
+    def watch():
+        until = time.monotonic() + seconds
+        while not over.wait(max(0.2, until - time.monotonic())):
+            for job in set(sc.statusTracker().getActiveJobsIds()) - before:
+                sc._jsc.sc().cancelJob(job)
+
+    threading.Thread(target=watch, daemon=True).start()
     try:
         yield
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        over.set()
 
 
 @contextmanager
