@@ -7,7 +7,8 @@ have not been learnt from (halves of the labelled rows take turns). A document i
 
 Round 0 learns from at most MAX_LABELLED labelled rows (those with the least hash of doc_id: the documented bound). In each of ROUNDS rounds,
 all documents without a label are scored, and those that one view is confident of are counted, with its
-label, in the other view's model. At last both views are calibrated anew and joined by a logistic regression on their log
+label, in the other view's model. Pseudo-labels weigh the features that labelled rows are too few for; where labels speak, their weights stay,
+since a view that can't see a kind of bad document (metadata: toxic ones) would else dilute it. At last both views are calibrated anew and joined by a logistic regression on their log
 odds and the greater of them. All documents are scored; a document is rejected from REJECT on.
 
 Counting is distributed: tasks add up features, whose number is fixed (BINS), and only sums for each feature reach the driver.
@@ -32,8 +33,8 @@ from . import common
 BINS = 1 << 18
 MAX_LABELLED = 20_000
 ROUNDS = 2
-#: Probabilities of being bad from which, and to which, a view's judgement becomes a pseudo-label.
-SURE_BAD, SURE_GOOD = 0.95, 0.02
+#: Probability of being bad from which a view's judgement becomes a pseudo-label; it is sure of a good document where the probability is below the share of bad ones.
+SURE_BAD = 0.95
 REJECT = 0.5
 #: Documents that a feature needs to count.
 LEAST_DOCS = 4
@@ -143,13 +144,15 @@ class View:
                 self.has[c] += np.bincount(np.concatenate(own), minlength=BINS)
         return self
 
+    def tested(self) -> np.ndarray:
+        return self.has.sum(0) >= LEAST_DOCS
+
     def weights(self) -> np.ndarray:
         """Log odds of each feature; 0 where chance among as many features could have made its share."""
         good, bad = self.docs
         if not good or not bad:
             return np.zeros(BINS)
-        both, share = self.has.sum(0), bad / (good + bad)
-        tested = both >= LEAST_DOCS
+        both, share, tested = self.has.sum(0), bad / (good + bad), self.tested()
         least = math.sqrt(2 * math.log(max(2, tested.sum())))
         z = (self.has[1] - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
         w = np.log((self.has[1] + 0.5) / (bad + 1)) - np.log((self.has[0] + 0.5) / (good + 1))
@@ -159,8 +162,8 @@ class View:
 class Model:
     """What scoring needs: each view's weights and calibration, and the stacked combination. None of it grows with the corpus."""
 
-    def __init__(self, weights: list[np.ndarray], calibrations: list[Logistic], joint: Logistic):
-        self.weights, self.calibrations, self.joint = [w.astype(np.float32) for w in weights], calibrations, joint
+    def __init__(self, weights: list[np.ndarray], calibrations: list[Logistic], joint: Logistic, share: float):
+        self.weights, self.calibrations, self.joint, self.share = [w.astype(np.float32) for w in weights], calibrations, joint, share
 
     def views(self, rows: tuple[list[np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
         return [c.odds(summary(r, w)) for r, w, c in zip(rows, self.weights, self.calibrations)]
@@ -218,7 +221,7 @@ def _pseudo(rows: DataFrame, model: Model) -> DataFrame:
             x = _lists(common.column(batch, "content")), _lists(common.column(batch, "metadata"))
             p = [_probability(o) for o in model.views(x)]
             for view, other in ((0, 1), (1, 0)):
-                for c, sure in ((0, p[other] <= SURE_GOOD), (1, p[other] >= SURE_BAD)):
+                for c, sure in ((0, p[other] <= model.share), (1, p[other] >= SURE_BAD)):
                     own = [r for r, s in zip(x[view], sure) if s]
                     if own:
                         n[view, c, 1:] += np.bincount(np.concatenate(own), minlength=BINS)
@@ -231,6 +234,12 @@ def _pseudo(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "view int, bin int, good long, bad long").groupBy("view", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
+def _weights(rows: list[np.ndarray], bad: np.ndarray, more: View) -> np.ndarray:
+    """Weights by the labelled rows, and for features that are too rare among them by these and the pseudo-labelled ones."""
+    own = View().learn(rows, bad)
+    return np.where(own.tested(), own.weights(), View(more).learn(rows, bad).weights()) if more.docs.any() else own.weights()
+
+
 def _fit(rows: tuple[list[np.ndarray], list[np.ndarray]], bad: np.ndarray, more: list[View]) -> Model:
     """Views learnt from all labelled rows and `more`; calibrations on halves that the scoring half did not learn from."""
     half = np.arange(len(bad)) % 2
@@ -238,12 +247,12 @@ def _fit(rows: tuple[list[np.ndarray], list[np.ndarray]], bad: np.ndarray, more:
     for x, extra in zip(rows, more):
         made = np.zeros((len(bad), 3))
         for h in (0, 1):
-            part = View(extra).learn([r for r, k in zip(x, half) if k != h], bad[half != h]).weights()
+            part = _weights([r for r, k in zip(x, half) if k != h], bad[half != h], extra)
             made[half == h] = summary([r for r, k in zip(x, half) if k == h], part)
-        weights.append(View(extra).learn(x, bad).weights())
+        weights.append(_weights(x, bad, extra))
         calibrations.append(Logistic(made, bad))
         odds.append(calibrations[-1].odds(made))
-    return Model(weights, calibrations, Logistic(_both(*odds), bad))
+    return Model(weights, calibrations, Logistic(_both(*odds), bad), float(bad.mean()))
 
 
 class _Constant(Model):
