@@ -79,7 +79,7 @@ def _profiles(small: int, medium: int, large: int, once: bool = False) -> dict[s
 
 # Sizes of the named data sets.
 PRESETS = {
-    "d1": Config(26, 20, _profiles(2, 2, 1, once=True)),
+    "d1": Config(26, 20, _profiles(2, 2, 1, once=True), max_fraud_ratio=0.90),
     "academic": Config(5_000, 50_000, _profiles(15, 20, 10)),
     "d3": Config(100_000, 900_000, _profiles(3, 5, 2)),
     "d4": Config(10_000, 90_000, _profiles(3, 5, 2)),
@@ -103,6 +103,7 @@ def from_document(doc: dict) -> Config:
     c.amount_range = (float(rules.get("amount_min", 50)), float(rules.get("amount_max", 50_000)))
     c.business_hours = float(rules.get("business_hours_probability", c.business_hours))
     c.bridge_amount = (float(link.get("amount_min", c.amount_range[0])), float(link.get("amount_max", c.amount_mean)))
+    c.max_fraud_ratio = float(s.get("validation", {}).get("max_fraud_ratio", c.max_fraud_ratio))
     c.currencies, c.rates = dict(s["transactions"]["amounts"]["currency_distribution"]), {k: float(v) for k, v in s["transactions"]["exchange_rates"].items()}
     return c
 
