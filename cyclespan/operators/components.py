@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Rounds
+
 
 def connected_components(
     edges: DataFrame,
@@ -19,10 +21,12 @@ def connected_components(
     Alternating large-star and small-star rounds (Kiveris et al. 2014): the number of rounds grows with the
     logarithm of the longest path, and a round shuffles the edges twice. A node of very many edges is met by
     aggregates with partial sums and by joins that adaptive execution can split, never by a list of its neighbours.
-    `keep` writes a round's edges out, which cuts the lineage; by default DataFrame.checkpoint does.
+    `keep` writes a round's edges out, which cuts the lineage, and `drop` frees them; by default as Parquet in the shared folder.
     Null ends and self-loops are dropped; a node without other edges gets no row.
     """
-    keep = keep or (lambda df: df.checkpoint())
+    if keep is None:
+        rounds = Rounds(edges.sparkSession, "components")
+        keep, drop = rounds.keep, rounds.drop
     pairs = edges.select("src", "dst").where("src is not null and dst is not null and src != dst")
     current = keep(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     state = _state(current)
