@@ -27,8 +27,8 @@ from . import common
 K = 16
 WINDOW = 100
 _BASE = 0x9E3779B97F4A7C15
-#: Rows of one range of ids; the ranges are cut at quantiles.
-RANGE_ROWS = 8_000
+#: Rows of one range of ids, while there are no more than MAX_RANGES ranges; they are cut at quantiles. MAX_RANGES bounds what the driver holds.
+RANGE_ROWS, MAX_RANGES = 2_000, 20_000
 
 
 def kgram_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
@@ -102,7 +102,7 @@ def edited_points(own: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.concatenate([own[: len(own) - half], following[:half]])
 
 
-def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS, max_ranges: int = MAX_RANGES) -> DataFrame:
     """(rng, id, text, extra): the rows dealt out by ranges of descending id, and each range's successor row (extra).
 
     The one row that a range needs from the next is added to it, so a task sees all its neighbours
@@ -110,31 +110,38 @@ def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), "text")
     n = rows.count()
-    parts = max(1, -(-n // range_rows))
-    cuts = []
-    if parts > 1:
-        found = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100_000)).first()[0] or []
-        cuts = sorted(set(found), reverse=True)  # range 0 holds ids above the greatest cut
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if len(cuts) < 2 else F.from_json(F.lit(str(cuts)), "array<bigint>")
-    if cuts:
-        # ids > cut 0 are range 0; a null id comes last.
-        rng = F.when(F.col("id").isNull(), len(cuts)).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("id"))))
-    else:
-        rng = F.lit(0)
-    placed = rows.withColumn("rng", rng.cast("int"))
-    firsts = placed.groupBy("rng").agg(F.max("id").alias("top"))
-    # One row for each range: its number is bounded by the table's rows over range_rows.
-    order = [r.rng for r in firsts.select("rng").orderBy("rng").collect()]
-    if not order:
+    parts = max(1, min(max_ranges, -(-n // range_rows)))
+    found = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100_000)).first()[0] if parts > 1 else None
+    cuts = np.array(sorted(set(found or [])), np.int64)  # at most max_ranges
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = common.column(batch, "id")
+            # Range 0 holds ids above the greatest cut; a null id comes last.
+            rng = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
+            rng = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts), rng)
+            return pa.RecordBatch.from_arrays([ids, common.column(batch, "text"), pa.array(rng.astype(np.int32))], ["id", "text", "rng"])
+
+        return f
+
+    placed = common.map_slices(rows, make, "id long, text string, rng int")
+    ids = rows.select("id")
+
+    def place(batches):
+        f = make()
+        for batch in batches:
+            yield f(pa.RecordBatch.from_arrays([batch.column(0), pa.array([""] * batch.num_rows)], ["id", "text"])).select(["id", "rng"])
+
+    firsts = ids.mapInArrow(place, "id long, rng int").groupBy("rng").agg(F.max("id").alias("top")).orderBy("rng").collect()  # one row for each range
+    if not firsts:
         return placed.withColumn("extra", F.lit(False))
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range follows the last
-    tops = placed.join(F.broadcast(firsts), "rng").where("id <=> top").select("id", "text", "rng")
-    best = tops.groupBy("rng").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "id")).alias("x"))
-    previous = F.create_map(*[F.lit(v) for r in order for v in (r, before[r])]) if len(order) <= 100 else F.from_json(F.lit("{" + ",".join(f'"{r}":{before[r]}' for r in order) + "}"), "map<string,int>")
-    key = F.col("rng") if len(order) <= 100 else F.col("rng").cast("string")
-    extra = best.select("x.id", "x.text", previous[key].cast("int").alias("rng")).withColumn("extra", F.lit(True))
+    spark = docs.sparkSession
+    # The range before each one; the first range follows the last.
+    before = spark.createDataFrame([(r.rng, r.top, firsts[i - 1].rng) for i, r in enumerate(firsts)], "rng int, top long, before int")
+    tops = placed.join(F.broadcast(before), "rng").where("id <=> top")
+    extra = tops.groupBy("before").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "id")).alias("x")).select("x.id", "x.text", F.col("before").alias("rng"), F.lit(True).alias("extra"))
     out = placed.withColumn("extra", F.lit(False)).unionByName(extra)
-    return out.repartition(max(len(order), 1), "rng").sortWithinPartitions("rng", "extra", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
+    return out.repartition(len(firsts), "rng").sortWithinPartitions("rng", "extra", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long"

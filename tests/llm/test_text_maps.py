@@ -45,7 +45,7 @@ def test_winnow_guarantee():
 
 @pytest.mark.parametrize("range_rows", [3, 1000])
 def test_winnow_rows(spark, range_rows, monkeypatch):
-    monkeypatch.setattr(winnow.neighbours, "__defaults__", (range_rows,))
+    monkeypatch.setattr(winnow.neighbours, "__defaults__", (range_rows, 50))
     texts = [*ODD, None, "some text of the usual kind " * 9, "some text of the usual kind " * 9]
     got = winnow.fingerprints(frame(spark, texts)).collect()
     order = sorted(range(len(texts)), reverse=True)
