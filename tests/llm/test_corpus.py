@@ -186,7 +186,7 @@ def test_containment_like_brute_force(spark, monkeypatch):
     for i in range(80):
         w = words(rng, rng.randrange(0, 400)).split()
         for _ in range(rng.randrange(3)):
-            q = rng.choice(items)[1].split() if rng.random() < 0.9 else ["x"]
+            q = (rng.choice(items)[1] or "").split() if rng.random() < 0.9 else ["x"]
             for _ in range(rng.randrange(3)):
                 if q:
                     q[rng.randrange(len(q))] = "other"
