@@ -153,9 +153,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, one for each component: that with the smallest id; of rows that share it, the one with the least text hash."""
+    return heads_of(docs, near_duplicates(docs.select("doc_id", common.text_of().alias("text")), shingle=shingle, radius=radius))
+
+
+def heads_of(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows of docs that one_of_each keeps, given their (id, component_id)."""
     spark = docs.sparkSession
     text = F.xxhash64(common.text_of())
-    out = near_duplicates(docs.select("doc_id", common.text_of().alias("text")), shingle=shingle, radius=radius)
     # Names that no table's own columns have.
     heads = common.Scratch(spark, "heads").keep(out.where("id <=> component_id").groupBy(F.col("id").alias("_cyclespan_id")).agg(F.count("*").alias("_cyclespan_n")))
     same = F.col("doc_id").eqNullSafe(F.col("_cyclespan_id"))

@@ -302,3 +302,44 @@ def test_pipeline(spark):
     whole = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in cp.run(spark, d).collect())
     assert whole == sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in out.collect())
     assert {r[0] for r in whole} <= good and out.where("not round_trip").count() == 0
+
+
+def test_pipeline_removes_similar_texts(spark):
+    import corpus_pipeline as cp
+
+    from cyclespan.llm import similar
+
+    rng, rows = random.Random(21), []
+    for i in range(150):
+        base = words(rng, 200).split()
+        edited = list(base)
+        for at in range(0, 200, 50):  # four words changed: 20 of 196 shingles, similarity 0.81 and more
+            edited[at + rng.randrange(10, 40)] = "changed"
+        other = [w if j % 12 else "other" for j, w in enumerate(base)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(edited)), (3 * i + 2, " ".join(other))]
+    rows += [(1000, None), (1001, ""), (1002, "few words"), (1003, "FEW words")]
+    sets = [similar.shingle_set((t or "").encode()) for _, t in rows]
+    held = [set(s.tolist()) for s in sets]
+    fps = list(range(len(rows)))
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        if held[x] == held[y] or 10 * len(held[x] & held[y]) >= 8 * len(held[x] | held[y]):
+            fps = [fps[x] if f == fps[y] else f for f in fps]
+    least = {}
+    for (i, _), f in zip(rows, fps):
+        least[f] = min(i, least.get(f, i))
+    assert len(least) < 320
+    docs = frame(spark, rows)
+    got = cp.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(least.values())
+    assert cp.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_bucket_of_several_components(spark):
+    from cyclespan.llm import similar
+
+    # All nodes in one bucket; only two that are not its least are similar.
+    rng = random.Random(22)
+    pair = words(rng, 100)
+    rows = [(i, words(rng, 100)) for i in range(8)] + [(20, pair), (21, pair + " more"), (22, pair + " more words")]
+    got = {r.id: r.component_id for r in similar.near_duplicates(frame(spark, rows), keys=lambda s: [1]).collect()}
+    assert got == {**{i: i for i in range(8)}, 20: 20, 21: 20, 22: 20}
