@@ -162,6 +162,30 @@ def test_passage_of_many_documents(spark):
     assert {r.doc_id for r in got} == set(range(60)) and len(got) <= 4 * 60  # with the first one, not all with each other
 
 
+@pytest.mark.parametrize("length,between", [(60, 40), (60, 60), (100, 100), (300, 300)])
+def test_bridged_passages_are_split(length, between):
+    rng = random.Random(length + between)
+    head, tail = words(rng, length), words(rng, length)
+    a, b = ([w.encode() for w in f"{words(rng, 20)} {head} {words(rng, between)} {tail} {words(rng, 20)}".split()] for _ in "ab")
+    known = {w: i for i, w in enumerate({*a, *b})}
+    (p, g), (q, h) = (substring.seeds(substring.mix(np.array([known[w] for w in t], np.uint64))) for t in (a, b))
+    pos, other = (np.array(x) for x in zip(*((x, y) for x, u in zip(p, g) for y, v in zip(q, h) if u == v)))
+    found = [x for c in substring.chains(pos, other) for x in substring.parts(a, b, list(zip(pos[c].tolist(), other[c].tolist())))]
+    for want in (head, tail):
+        want = [w.encode() for w in want.split()]
+        assert any(x[4] <= 3 and " ".join(map(bytes.decode, want)) in " ".join(map(bytes.decode, a[x[0] : x[1]])) for x in found)
+
+
+def test_bridged_passages(spark):
+    rng = random.Random(12)
+    head, tail = words(rng, 60), words(rng, 60)
+    rows = [(i, f"{words(rng, 15)} {head} {words(rng, 50)} {tail} {words(rng, 15)}") for i in (1, 2)]
+    got = substring.passages(frame(spark, rows)).collect()
+    held = [dict(rows)[r.doc_id][r.start : r.end] for r in got]
+    assert len(got) == 4 and all(sum(part in t for t in held) == 2 for part in (head, tail))
+    assert all(r.identity >= substring.IDENTITY and r.n_words < 70 for r in got)
+
+
 # Decontamination
 
 
