@@ -123,11 +123,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, in_task: int = BUCKET_IN_TASK)
                 own = fp[t == table]
                 for n, chosen in enumerate(combinations(free[table], radius)):
                     clear = np.int64(_signed(~sum(1 << b for b in chosen) & (2**64 - 1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own & clear), pa.array(own)], ["choice", "rest", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own & clear), pa.array(own), pa.array(np.full(len(own), table, np.int32))], ["choice", "rest", "fp", "t"])
 
-    large = shared.where(F.col("n") > in_task).select("t", "fp").mapInArrow(wildcards, "choice int, rest long, fp long")
-    # At most 2^radius different nodes share a wildcard key; all are within the radius of the least.
-    large = large.groupBy("choice", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
+    large = shared.where(F.col("n") > in_task).select("t", "fp").mapInArrow(wildcards, "choice int, rest long, fp long, t int")
+    # A choice clears other bits in another table. At most 2^radius different nodes share a table's wildcard key; all are within the radius of the least.
+    large = large.groupBy("t", "choice", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     return small.union(large).where("a != b").distinct()
 
 

@@ -289,6 +289,19 @@ def test_links_join_all_near_pairs(spark, in_task):
     assert [(i, least[find(u(f))]) for i, f in zip(ids, fps)] == brute_components(ids, [u(f) for f in fps], 2)
 
 
+def test_large_buckets_link_only_near_pairs(spark):
+    # Dense clusters in several tables' large buckets: wildcard keys of different tables must not meet.
+    rng = random.Random(13)
+    hub = rng.getrandbits(64)
+    fps = {hub}
+    for n in (3, 4):
+        for _ in range(1500):
+            fps.add(hub ^ sum(1 << b for b in rng.sample(range(64), n)))
+    got = simhash.links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long"), 2, 3).collect()
+    u = lambda x: x & (2**64 - 1)
+    assert got and all(1 <= (u(r.a) ^ u(r.b)).bit_count() <= 2 for r in got)
+
+
 def test_components(spark):
     rng = random.Random(9)
     base = words(rng, 400)
