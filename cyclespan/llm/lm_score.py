@@ -1,26 +1,29 @@
-"""Language-model scores from a log-frequency Bloom filter (Talbot and Osborne 2007).
+"""Language-model scores from a log-frequency Bloom filter (Talbot and Osborne 2007), parted by hash range.
 
-Counting: tasks hash tokens and n-grams to 64 bits, count them, and deal the sorted counts out by hash range as packed
-arrays; the task of a range adds them up and makes the range's part of the filter. A count c is quantised to the level
-1 + floor(log2 c), and the n-gram enters the filter once for each level up to its own. The filter is broadcast: a probe asks for
-level 1, 2, ... until one is missing, which gives a count back (the middle of its level) that is never too
-small by more than the quantising, and too large with the small probability of a false positive. MAX_FILTER_BYTES
-bounds the filter, whatever the corpus: up to that it has BITS_PER_ENTRY bits for each entry, and beyond
-that fewer. The counting itself covers all n-grams, shuffles in proportion to the corpus, and has no cutoffs.
+1. One pass over the texts hashes tokens and packs whole documents into blocks of about BLOCK_TOKENS tokens: the block's different words,
+   and each token as a place among them. All later steps read blocks, never texts.
+2. Each block sends its different n-grams, with how often learnt texts have them (0 for those of held-out texts alone), to the n-grams' hash
+   ranges. The number of ranges follows the corpus, so a range holds about RANGE_TOKENS learnt tokens at any size.
+3. A range's task adds up the counts and makes its part of the filter: a count of level k (LEVELS: 1, 2, 3, 4, then steps of a quarter) enters
+   once for each level up to k. Then it answers the blocks' n-grams from the part: membership of level 1, 2, ... is asked until one is
+   missing, which gives the level back, never too low, and too high with the small probability of a false positive.
+4. The answers meet their blocks again, and each text is scored.
 
-Score: p(w|v) = (c(vw) + MU p(w)) / (max(c(v), c(vw)) + MU) with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), applied from the
-highest order down, counts being those of the filter.
+The filter grows with the corpus at BITS_PER_ENTRY bits an entry and is never held whole by the driver or a worker: of one filter of 6 GB
+at 30 GB of text each worker would need a copy. There are no cutoffs and no bounds that change a score.
 
-base_score takes exact counts, not the filter's: the FREQUENT most frequent tokens are broadcast (a fixed bound), and all other
-tokens of a text are joined with their counts. Both sums are over all tokens.
+Score: p(w|uv) = (c(uvw) + MU p(w|v)) / (max(c(uv), c(uvw)) + MU), and so on down to p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), counts being the
+values of the filter's levels; before a text's first token stands the start, which is as frequent as the end. base_score takes exact counts, which the ranges send along.
 
 Defined cases: a null text is empty and has one token, the end. A null id counts as the text '' for the fold (so it is
 learnt from). Repeated rows are learnt from and scored each. Without learning rows N = V = 0, and all
-scores follow from the formulas. An empty table gives an empty result. Other columns are ignored.
+scores follow from the formulas. An empty table gives an empty result. A text longer than a block is a block of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,16 +32,14 @@ from xxhash import xxh64_intdigest
 
 from . import common
 
-ORDER = 2
-BITS_PER_ENTRY = 8
-PROBES = 4
-MAX_FILTER_BYTES = 256 << 20
+ORDER = 3
+BITS_PER_ENTRY = 10
+PROBES = 5
 MU = 4.0
-FREQUENT = 1 << 18
-#: UTF-8 bytes of text whose n-grams make one hash range.
-RANGE_BYTES = 4 << 20
-#: N-grams that a task counts before it deals them out.
-BATCH_NGRAMS = 3_000_000
+#: Tokens of a block, and learnt tokens of a hash range.
+BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 700_000
+#: Least number of ranges, so that small corpora are spread too.
+LEAST_RANGES = 12
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U = np.uint64
 
@@ -53,244 +54,293 @@ class WordHashes(dict):
     """Hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxh64_intdigest(word, 1)
         return h
 
 
-def tokens(texts: list[bytes], seen: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens in order, number of tokens of each text): words, then the end."""
-    parts, n, get = [], np.empty(len(texts), np.int64), seen.__getitem__
-    for i, t in enumerate(texts):
-        w = common.words(t)
-        n[i] = len(w) + 1
-        h = np.empty(len(w) + 1, np.uint64)
-        h[:-1] = np.fromiter(map(get, w), np.uint64, len(w))
-        h[-1] = _END
-        parts.append(h)
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64), n
-
-
-def ngrams(h: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams that end at each token, for n = 1 to order; before a text's first token stands the start."""
-    first = np.zeros(len(h), bool)
-    first[np.cumsum(n) - n] = True
-    out, before, place = [h], h, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+def _levels() -> np.ndarray:
+    least = [1]
+    while least[-1] < 1 << 62:
+        least.append(max(least[-1] + 1, math.ceil(1.25 * least[-1])))
+    return np.array(least, np.uint64)
+
+
+#: The least count of each level, from level 1 on.
+LEVELS = _levels()
+#: The count that a level stands for: the geometric middle of those in it; 0 for none.
+VALUES = np.r_[0.0, np.sqrt(LEVELS[:-1].astype(np.float64) * (LEVELS[1:] - _U(1)).astype(np.float64))]
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEVELS[:-1], counts.astype(np.uint64), "right").astype(np.uint8)
+
+
+def ngrams(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the n-grams that end at each token, for n = 1 to order; first marks each text's first token, before which stands the start."""
+    out = [h]
     for k in range(2, order + 1):
-        before = np.r_[_START, before[:-1]]
-        before[place < k - 1] = _START
+        before = np.r_[_START, out[-1][:-1]]
+        before[first] = _START
         out.append(mix(before * _U(0x9E3779B97F4A7C15) + mix(h + _U(k))))
-        before = out[-1]
     return out
 
 
-def contexts(grams: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
-    """Of each token, the hash of the n-gram before it, for n = 1 to order - 1."""
-    first = np.cumsum(n) - n
-    out = []
-    for g in grams[:-1]:
-        c = np.r_[_START, g[:-1]]
-        c[first] = _START
-        out.append(c)
-    return out
+def range_of(top: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of hashes by their upper 32 bits."""
+    return (top * _U(ranges)) >> _U(32)
+
+
+class Part:
+    """One range's part of the filter."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY):
+        self.nbits = _U(max(64, int(levels.sum(dtype=np.int64)) * bits_per_entry))
+        there = np.zeros(-(-int(self.nbits) // 8) * 8, bool)
+        for k in range(1, int(levels.max(initial=0)) + 1):
+            a, b = self._steps(keys[levels >= k], k)
+            for i in range(PROBES):
+                there[((a + _U(i) * b) % self.nbits).astype(np.int64)] = True
+        self.data = np.packbits(there)
+
+    def _steps(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(keys + _U(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        return x & _U(0xFFFFFFFF), (x >> _U(32)) | _U(1)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key: 0 if it isn't there."""
+        out, at = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for k in range(1, len(LEVELS)):
+            a, b = self._steps(keys[at], k)
+            for i in range(PROBES):
+                s = ((a + _U(i) * b) % self.nbits).astype(np.int64)
+                hit = (self.data[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+                at, a, b = at[hit], a[hit], b[hit]
+            if not len(at):
+                break
+            out[at] = k
+        return out
 
 
-def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return ((h >> _U(32)) * _U(ranges)) >> _U(32)
+# Packing
 
 
-def level_of(c: np.ndarray) -> np.ndarray:
-    return np.frexp(c.astype(np.float64))[1].astype(np.uint8)  # 1: 1, 2: 2-3, 3: 4-7, ...
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
+    top = int(c.max(initial=0))
+    return c.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
 
-#: The middle of each level (of the counts in it, geometrically); 0 for none.
-VALUES = np.array([0.0, 1.0] + [2.0 ** (k - 1) * 2**0.5 for k in range(2, 64)])
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n] if n else np.uint8).astype(np.uint64)
 
 
-def spots(h: np.ndarray, level: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-    """Bits, within the range's part, of the entry (h, level)."""
-    x = mix(h + level.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    a, b = x & _U(0xFFFFFFFF), (x >> _U(32)) | _U(1)
-    return [(a + _U(i) * b) % bits for i in range(PROBES)]
+_WIDE = _U(0xFFFFFFFF)
 
 
-class Filter:
-    """The whole filter: all ranges' parts, one after the other."""
+def pack_sorted(q: np.ndarray) -> bytes:
+    """Ascending numbers of up to 48 bits as differences of 32 bits; those that are wider follow behind."""
+    d = np.diff(q, prepend=_U(0))
+    wide = d >= _WIDE
+    return np.uint32(len(q)).tobytes() + np.where(wide, _WIDE, d).astype(np.uint32).tobytes() + d[wide].tobytes()
 
-    def __init__(self, parts: list[bytes]):
-        sizes = np.array([len(p) for p in parts], np.uint64)
-        self.bits = sizes * _U(8)
-        self.begin = (np.cumsum(sizes) - sizes) * _U(8)
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The count of each n-gram as the filter has it: 0 if it isn't there."""
-        level = np.zeros(len(h), np.int64)
-        at = np.arange(len(h))
-        if not len(self.bits) or not len(h):
-            return VALUES[level]
-        rng = range_of(h, len(self.bits)).astype(np.int64)
-        at = at[self.bits[rng] > 0]
-        for k in range(1, 60):
-            if not len(at):
-                break
-            own, bits, begin = h[at], self.bits[rng[at]], self.begin[rng[at]]
-            there = np.ones(len(at), bool)
-            for s in spots(own, np.full(len(at), k), bits):
-                s = s + begin
-                there &= (self.data[(s >> _U(3)).astype(np.int64)] >> (s & _U(7)).astype(np.uint8)) & 1 == 1
-            at = at[there]
-            level[at] = k
-        return VALUES[level]
-
-
-def _packed(h: np.ndarray, ranges: int, out: list, counted: np.ndarray | None = None) -> None:
-    """Rows (range, hashes, counts) of sorted n-grams."""
-    h, c = np.unique(h, return_counts=True)
-    rng = range_of(h, ranges)
-    edges = np.flatnonzero(np.r_[True, rng[1:] != rng[:-1]]) if len(h) else np.empty(0, np.int64)
-    for a, b in zip(edges, np.r_[edges[1:], len(h)]):
-        own = c[a:b]
-        out.append((int(rng[a]), h[a:b].tobytes(), own.astype(np.uint8 if own.max() < 256 else np.uint32 if own.max() < 1 << 32 else np.uint64).tobytes()))
-
-
-def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(hashes, np.uint64)
-    width = len(counts) // max(1, len(h))
-    return h, np.frombuffer(counts, {1: np.uint8, 4: np.uint32, 8: np.uint64}.get(width, np.uint8)).astype(np.uint64)
-
-
-def count(texts: DataFrame, order: int, ranges: int) -> DataFrame:
-    """(rng, part, words, counts, n_tokens): for each hash range its part of the filter and its tokens' exact counts."""
-    part_bytes = max(64, MAX_FILTER_BYTES // ranges)
-
-    def deal(batches):
-        seen, held, size = WordHashes(), [[] for _ in range(order)], 0
-
-        def flush():
-            rows = []
-            for k, arrays in enumerate(held):
-                if arrays:
-                    own: list = []
-                    _packed(np.concatenate(arrays), ranges, own)
-                    rows += [(r, k + 1, h, c) for r, h, c in own]
-                    arrays.clear()
-            columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["rng", "n", "h", "c"])
+def unpack_sorted(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    d = np.frombuffer(data, np.uint32, n, 4).astype(np.uint64)
+    wide = d == _WIDE
+    d[wide] = np.frombuffer(data, np.uint64, -1, 4 + 4 * n) if wide.any() else 0
+    return np.cumsum(d, dtype=np.uint64)
+
+
+def pack_places(i: np.ndarray) -> bytes:
+    """Places, byte by byte: all lowest bytes, then all second ones, ..."""
+    width = max(1, -(-int(i.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(i.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, -1, 1).reshape(width, -1)
+    return sum(planes[k].astype(np.int64) << (8 * k) for k in range(width))
+
+
+# Blocks
+
+BLOCK = "ids array<long>, held array<boolean>, n array<long>, words binary, places binary"
+
+
+def blocks(texts: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """texts (id, held_out, text) as blocks: ids, whether held out, tokens of each text; the block's word hashes, by frequency; the place of each token among them."""
+
+    def run(batches):
+        seen = WordHashes()
+        get = seen.__getitem__
+        ids, held, n, parts, size = [], [], [], [], 0
+
+        def made():
+            h = np.concatenate(parts)
+            words, places, counts = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([words[order].tobytes()], pa.binary()), pa.array([pack_places(rank[places])], pa.binary())],
+                ["ids", "held", "n", "words", "places"],
+            )
 
         for batch in batches:
             for piece in common.slices(batch):
-                h, n = tokens(common.utf8(piece), seen)
-                for k, g in enumerate(ngrams(h, n, order)):
-                    held[k].append(g)
-                    size += len(g)
-                if size > BATCH_NGRAMS:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
-
-    def add(table: pa.Table) -> pa.Table:
-        entries_h, entries_l, words, counts, total = [], [], np.empty(0, np.uint64), np.empty(0, np.uint64), 0
-        n = np.array(table.column("n").to_pylist())
-        hs, cs = table.column("h").to_pylist(), table.column("c").to_pylist()
-        for k in range(1, order + 1):
-            got = [_unpacked(hs[i], cs[i]) for i in np.flatnonzero(n == k)]
-            if not got:
-                continue
-            h, c = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            o = np.argsort(h, kind="stable")
-            h, c = h[o], c[o]
-            edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            h, c = h[edge], np.add.reduceat(c, edge)
-            if k == 1:
-                words, counts, total = h, c, int(c.sum())
-            entries_h.append(h), entries_l.append(level_of(c))
-        h, level = np.concatenate(entries_h), np.concatenate(entries_l)
-        # Larger contexts are asked for as starts of a text too; the start's count is that of the end.
-        nbits = 8 * min(part_bytes, max(8, int(level.sum()) * BITS_PER_ENTRY // 8 + 1))
-        bits = np.zeros(nbits // 8, np.uint8)
-        for k in range(1, int(level.max()) + 1):
-            own = h[level >= k]
-            for s in spots(own, np.full(len(own), k), _U(nbits)):
-                np.bitwise_or.at(bits, (s >> _U(3)).astype(np.int64), np.left_shift(np.uint8(1), (s & _U(7)).astype(np.uint8)))
-        rng = table.column("rng")[0].as_py()
-        return pa.table({"rng": pa.array([rng], pa.int32()), "part": pa.array([bits.tobytes()], pa.binary()), "words": pa.array([words.view(np.int64)], pa.list_(pa.int64())), "counts": pa.array([counts.astype(np.int64)], pa.list_(pa.int64())), "n_tokens": pa.array([total], pa.int64())})
-
-    dealt = texts.mapInArrow(deal, "rng int, n int, h binary, c binary")
-    return dealt.groupBy("rng").applyInArrow(add, "rng int, part binary, words array<bigint>, counts array<bigint>, n_tokens long")
-
-
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = 5, fold: int = 1) -> DataFrame:
+                for i, out, t in zip(common.column(piece, "id").to_pylist(), common.column(piece, "held_out").to_pylist(), common.utf8(piece)):
+                    w = common.words(t)
+                    h = np.empty(len(w) + 1, np.uint64)
+                    h[:-1] = np.fromiter(map(get, w), np.uint64, len(w))
+                    h[-1] = _END
+                    ids.append(i), held.append(out), n.append(len(h)), parts.append(h)
+                    size += len(h)
+                    if size >= block_tokens:
+                        yield made()
+                        ids, held, n, parts, size = [], [], [], [], 0
+        if ids:
+            yield made()
+
+    return texts.mapInArrow(run, BLOCK)
+
+
+class Block:
+    """A block as it was before it was packed."""
+
+    def __init__(self, held: list, n: list, words: bytes, places: bytes, order: int):
+        self.n = np.array(n, np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        by_rank = np.frombuffer(words, np.uint64)
+        by_hash = np.argsort(by_rank)
+        self.words = by_rank[by_hash]
+        place = np.empty(len(by_hash), np.int64)
+        place[by_hash] = np.arange(len(by_hash))
+        #: Of each token, its place among the words, which ascend.
+        self.at = place[unpack_places(places)]
+        self.learnt = np.repeat(~np.array(held, bool), self.n)
+        self.first = np.zeros(len(self.at), bool)
+        self.first[self.begin] = True
+        #: Of each token, the n-grams of order 2 and up that end there, as 48-bit numbers.
+        self.grams = [g >> _U(16) for g in ngrams(self.words[self.at], self.first, order)[1:]]
+
+
+def _edges(ranges_of: np.ndarray, ranges: int) -> np.ndarray:
+    return np.searchsorted(ranges_of, np.arange(ranges + 1, dtype=np.uint64))
+
+
+def asked(block_rows: DataFrame, order: int, ranges: int) -> DataFrame:
+    """(rng, block, words, word_counts, grams, gram_counts): each block's different n-grams by range, with their learnt counts."""
+
+    def run(batches):
+        for batch in batches:
+            for block, held, n, words, places in zip(*(common.column(batch, c).to_pylist() for c in ("block", "held", "n", "words", "places"))):
+                b = Block(held, n, words, places, order)
+                word_counts = np.bincount(b.at[b.learnt], minlength=len(b.words)).astype(np.uint64)
+                # The number above, whether it is learnt below: one sort gives both.
+                both = np.concatenate([g << _U(1) | b.learnt.astype(np.uint64) for g in b.grams] or [np.empty(0, np.uint64)])
+                both.sort()
+                q = both >> _U(1)
+                start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+                counts = np.add.reduceat(both & _U(1), start) if len(q) else np.empty(0, np.uint64)
+                q = q[start]
+                w_edge, q_edge = _edges(range_of(b.words >> _U(32), ranges), ranges), _edges(range_of(q >> _U(16), ranges), ranges)
+                rows = []
+                for r in np.flatnonzero((np.diff(w_edge) > 0) | (np.diff(q_edge) > 0)).tolist():
+                    w, g = slice(w_edge[r], w_edge[r + 1]), slice(q_edge[r], q_edge[r + 1])
+                    rows.append((r, block, b.words[w].tobytes(), pack_counts(word_counts[w]), pack_sorted(q[g]), pack_counts(counts[g])))
+                types = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["rng", "block", "words", "word_counts", "grams", "gram_counts"])
+
+    return block_rows.select("block", "held", "n", "words", "places").mapInArrow(run, "rng int, block long, words binary, word_counts binary, grams binary, gram_counts binary")
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys, their counts, the place of each given key among them)."""
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    k, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(back, np.concatenate(counts).astype(np.float64), len(k)).astype(np.uint64), back
+
+
+ANSWER = "rng int, block long, word_levels binary, word_counts binary, gram_levels binary, n_tokens long, n_words long"
+
+
+def answered(asks: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """For each row of asked its levels and exact word counts; and for each range one row of block -1 with its learnt tokens and words."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rng, block = table.column("rng")[0].as_py(), table.column("block").to_pylist()
+        words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+        grams = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
+        w, w_n, w_back = _added(words, [unpack_counts(c, len(x)) for x, c in zip(words, table.column("word_counts").to_pylist())])
+        g, g_n, g_back = _added(grams, [unpack_counts(c, len(x)) for x, c in zip(grams, table.column("gram_counts").to_pylist())])
+        keys = np.concatenate([w, g << _U(16)])
+        counts = np.concatenate([w_n, g_n])
+        there = counts > 0
+        part = Part(keys[there], level_of(counts[there]), bits_per_entry)
+        levels = part.levels(keys)
+        w_level, g_level = levels[: len(w)][w_back], levels[len(w) :][g_back]
+        w_count = w_n[w_back]
+        a, b = np.cumsum([0, *map(len, words)]), np.cumsum([0, *map(len, grams)])
+        columns = [
+            pa.array([rng] * (len(block) + 1), pa.int32()), pa.array([*block, -1], pa.int64()),
+            pa.array([*(w_level[i:j].tobytes() for i, j in zip(a, a[1:])), b""], pa.binary()), pa.array([*(pack_counts(w_count[i:j]) for i, j in zip(a, a[1:])), b""], pa.binary()),
+            pa.array([*(g_level[i:j].tobytes() for i, j in zip(b, b[1:])), b""], pa.binary()),
+            pa.array([0] * len(block) + [int(w_n.sum())], pa.int64()), pa.array([0] * len(block) + [int((w_n > 0).sum())], pa.int64()),
+        ]
+        return pa.Table.from_arrays(columns, ["rng", "block", "word_levels", "word_counts", "gram_levels", "n_tokens", "n_words"])
+
+    return asks.groupBy("rng").applyInArrow(answer, ANSWER)
+
+
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = 5, fold: int = 1, bits_per_entry: int = BITS_PER_ENTRY, block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): all rows scored, learning from those that aren't held out."""
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "lm")
+    scratch = common.Scratch(docs.sparkSession, "lm")
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold
-    base = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"), held.alias("held_out"))
-    train = base.where("not held_out").select("text")
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(12, -(-size // RANGE_BYTES))
-    counted = scratch.keep(count(train, order, ranges))
-    row = counted.agg(F.sum("n_tokens"), F.sum(F.size("words"))).first()
-    n_all, n_words = row[0] or 0, row[1] or 0
-    vocabulary = counted.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n")))).toDF("word", "n")
-    # A fixed number of words, whatever the corpus.
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
-    parts = [b""] * ranges
-    for r in counted.select("rng", "part").toLocalIterator(prefetchPartitions=True):  # at most MAX_FILTER_BYTES
-        parts[r.rng] = bytes(r.part)
-    frequent = top["word"].to_numpy(np.int64).view(np.uint64)
-    frequent_n = top["n"].to_numpy(np.int64)
-    sort = np.argsort(frequent)
-    sent = spark.sparkContext.broadcast((Filter(parts), frequent[sort], frequent_n[sort]))
-    del parts, top
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"), held.alias("held_out"))
+    # The number is drawn when the table is written, so it names the block from then on.
+    block_rows = scratch.keep(blocks(texts, block_tokens).withColumn("block", F.monotonically_increasing_id()))
+    size = block_rows.agg(F.sum(F.expr("aggregate(zip_with(held, n, (h, k) -> if(h, 0L, k)), 0L, (s, k) -> s + k)"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-size // range_tokens))
+    answers = scratch.keep(answered(asked(block_rows, order, ranges), bits_per_entry))
+    n_all, n_words = (x or 0 for x in answers.where("block = -1").agg(F.sum("n_tokens"), F.sum("n_words")).first())
     whole = n_all + 0.5 * (n_words + 1)
 
-    def make():
-        model, words, words_n = sent.value
-        seen = WordHashes()
-        unknown = np.log10(0.5 / whole)
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            h, n = tokens(common.utf8(batch), seen)
-            begin = np.cumsum(n) - n
-            # Exact: the frequent ones from the table, the rest by a join later.
-            u, back = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(words, u), max(0, len(words) - 1))
-            there = words[at] == u if len(words) else np.zeros(len(u), bool)
-            exact = np.where(there, words_n[at], 0) if len(words) else np.zeros(len(u), np.int64)
-            known = np.add.reduceat(there[back].astype(np.int64), begin)
-            base = np.add.reduceat(np.where(there, np.log10((exact + 0.5) / whole), unknown)[back], begin)
-            rest = [[] for _ in n] if there.all() else [h[a : a + k][~there[back[a : a + k]]].view(np.int64) for a, k in zip(begin, n)]
-            # The model: from the filter, order by order.
-            grams = ngrams(h, n, order)
-            p = ((model.counts(u) + 0.5) / whole)[back]
-            for g, c in zip(grams[1:], contexts(grams, n)):
-                # The start is as frequent as the end.
-                c = np.where(c == _START, _END, c)
-                v, vback = np.unique(c, return_inverse=True)
-                both, before = model.counts(g), model.counts(v)[vback]
-                p = (both + MU * p) / (np.maximum(before, both) + MU)
-            score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), begin)
-            columns = [common.column(batch, "id"), common.column(batch, "held_out"), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(rest, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "known", "base", "score", "rest"])
-
-        return f
-
-    # The key is drawn when the table is written, so rows that are alike stay apart.
-    scored = scratch.keep(common.map_slices(base, make, "id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<bigint>").withColumn("key", F.monotonically_increasing_id()))
-    rest = scored.select("key", F.explode("rest").alias("word")).groupBy("word", "key").agg(F.count("*").alias("times")) if n_words > FREQUENT else None
-    if rest is None:
-        added = scored.select("key", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("plus")).where("false")
-    else:
-        gain = F.log10(F.col("n") + 0.5) - F.lit(float(np.log10(0.5)))
-        added = rest.join(vocabulary, "word").groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * gain).alias("plus"))
-    out = scored.join(added, "key", "left")
-    return out.select(
-        F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), "score",
-    )
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, row = left.column("ids")[0].as_py(), {c: left.column(c)[0].as_py() for c in ("held", "n", "words", "places")}
+        b = Block(**row, order=order)
+        by_range = np.argsort(right.column("rng").to_numpy())
+        get = lambda c: [right.column(c)[int(i)].as_py() for i in by_range]
+        word_levels = [np.frombuffer(x, np.uint8) for x in get("word_levels")]
+        word_value = VALUES[np.concatenate(word_levels)]
+        exact = np.concatenate([unpack_counts(c, len(x)) for x, c in zip(word_levels, get("word_counts"))])
+        gram_value = VALUES[np.frombuffer(b"".join(get("gram_levels")), np.uint8)]
+        asked_grams, back = np.unique(np.concatenate(b.grams or [np.empty(0, np.uint64)]), return_inverse=True)
+        if len(word_value) != len(b.words) or len(gram_value) != len(asked_grams):
+            raise ValueError("a block's answers do not fit its n-grams")
+        base = np.add.reduceat(np.log10((exact + 0.5) / whole)[b.at], b.begin)
+        known = np.add.reduceat((exact > 0).astype(np.int64)[b.at], b.begin)
+        own = [word_value[b.at], *np.split(gram_value[back], order - 1)] if order > 1 else [word_value[b.at]]
+        end = np.searchsorted(b.words, _END)
+        p = (own[0] + 0.5) / whole
+        for below, c in zip(own, own[1:]):
+            context = np.r_[0.0, below[:-1]]
+            context[b.first] = word_value[end]
+            p = (c + MU * p) / (np.maximum(context, c) + MU)
+        total = np.add.reduceat(np.log10(np.minimum(p, 1.0)), b.begin)
+        m = len(ids)
+        columns = [pa.array(ids, pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.n), pa.array(known), pa.array([n_all] * m, pa.int64()), pa.array(base), pa.array(total)]
+        return pa.Table.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
+
+    kept = answers.where("block >= 0").select("block", "rng", "word_levels", "word_counts", "gram_levels")
+    return block_rows.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(score, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,11 @@
 import itertools
 import math
 import random
-import zlib
 
 import numpy as np
 import pytest
 
-from cyclespan.llm import common, decontaminate, lm_score, quality, simhash, substring
+from cyclespan.llm import common, decontaminate, quality, simhash, substring
 
 DATA = "/root/testdata"
 
@@ -22,61 +21,6 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", 1, 2, "s") for i, t in rows], "doc_id long, text string, id string, key long, n long, seed string")
 
 
-# LM
-
-
-def test_lm_base_scores(spark, monkeypatch):
-    rng = random.Random(1)
-    rows = [(i, words(rng, rng.randrange(0, 30)) + " The the THE é") for i in range(80)] + [(3, "twice"), (3, "twice"), (None, None), (200, "")]
-    for frequent in (1 << 18, 7):  # with and without tokens that are joined
-        monkeypatch.setattr(lm_score, "FREQUENT", frequent)
-        tokens = {k: (t or "").encode().lower().split() + [None] for k, (_, t) in enumerate(rows)}
-        held = {k: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for k, (i, _) in enumerate(rows)}
-        c = {}
-        for k, ts in tokens.items():
-            if not held[k]:
-                for t in ts:
-                    c[t] = c.get(t, 0) + 1
-        n, v = sum(c.values()), len(c)
-        want = sorted((str(i), len(tokens[k]), sum(t in c for t in tokens[k]), n, round(sum(math.log10((c.get(t, 0) + 0.5) / (n + 0.5 * (v + 1))) for t in tokens[k]), 6), held[k]) for k, (i, _) in enumerate(rows))
-        got = lm_score.scores(frame(spark, rows)).collect()
-        assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.held_out) for r in got) == want
-        assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
-
-
-def test_lm_prefers_its_corpus(spark):
-    # Word order is what the n-grams add.
-    text = "one two three four five six seven eight"
-    rows = [(i, text) for i in range(40)] + [(1000, " ".join(reversed(text.split())))]
-    got = lm_score.scores(frame(spark, rows)).collect()
-    own, other = (next(r for r in got if (r.doc_id == 1000) == x) for x in (False, True))
-    assert own.score > other.score
-
-
-def test_filter_counts():
-    h = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
-    c = np.random.default_rng(2).integers(1, 5000, 3000)
-    level = lm_score.level_of(c)
-    ranges, parts = 3, []
-    for r in range(ranges):
-        own = lm_score.range_of(h, ranges) == r
-        nbits = 8 * max(8, int(level[own].sum()) + 1)
-        bits = np.zeros(nbits // 8, np.uint8)
-        for k in range(1, level.max() + 1):
-            x = h[own][level[own] >= k]
-            for s in lm_score.spots(x, np.full(len(x), k), np.uint64(nbits)):
-                np.bitwise_or.at(bits, (s >> np.uint64(3)).astype(int), np.left_shift(np.uint8(1), (s & np.uint64(7)).astype(np.uint8)))
-        parts.append(bits.tobytes())
-    got = lm_score.Filter(parts).counts(h)
-    assert (got >= lm_score.VALUES[level]).all() and (got == lm_score.VALUES[level]).mean() > 0.9
-    other = np.random.default_rng(3).integers(0, 2**63, 3000).astype(np.uint64)
-    assert (lm_score.Filter(parts).counts(other) > 0).mean() < 0.1
-
-
-def test_lm_empty(spark):
-    assert lm_score.scores(frame(spark, [])).count() == 0
-
-
 # Classifier
 
 
