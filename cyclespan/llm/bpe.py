@@ -3,8 +3,9 @@
 A text is parted by the tokenizer's pattern. A word that is itself a token has that one id. All other
 different words go as lists of byte ids to a recursive query: token-position rows join the merge table, each word's
 leftmost pair of the least rank is contracted, and a word without a pair that merges is final. Ranks are ids, so the pair's rank
-is the merged token. Ordered aggregation of the tokens' bytes decodes the ids. Words seen before are kept by the
-worker (KEPT_WORDS at most), so the query sees a word about once a worker.
+is the merged token. Ordered aggregation of the tokens' bytes, looked up by id, decodes the ids of all words, single tokens too.
+A worker keeps the words of its last texts in two generations of KEPT_BYTES each; a word that is met again moves to the younger
+one, so frequent words stay and rare ones cost no memory for long.
 
 Words of over LONG bytes take a second query of the same kind, which contracts at once all non-overlapping occurrences of the
 least rank where no merge of the new token has a lower rank than its own (else the leftmost alone): the same result in
@@ -18,6 +19,7 @@ and a fixed limit and writes no files.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import lru_cache
 
@@ -30,9 +32,10 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
-KEPT_WORDS = 500_000
+#: Bytes of a generation of kept words, as estimated from their lengths.
+KEPT_BYTES = 16 << 20
 #: Words of one call of the recursive query.
-CALL_WORDS = 60_000
+CALL_WORDS = 20_000
 
 _SHORT_SQL = """
 WITH RECURSIVE s AS (
@@ -59,8 +62,9 @@ WITH RECURSIVE s AS (
    SELECT s.wid, v.ids, len(v.ids) = len(s.ids) FROM s JOIN v USING (wid) WHERE NOT s.final)
 ), f AS (SELECT wid, ids FROM s WHERE final)
 """
+_WHOLE_SQL = "WITH f AS (SELECT wid, list(id) AS ids FROM start GROUP BY wid)"
 _OUT_SQL = """
-SELECT wid, count(*)::INTEGER, string_agg(id::VARCHAR, ' ' ORDER BY pos), string_agg(hex(bytes), '' ORDER BY pos)
+SELECT wid, count(*)::INTEGER AS n, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex(bytes), '' ORDER BY pos) AS decoded
 FROM (SELECT wid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM f) JOIN vocabulary USING (id) GROUP BY wid
 """
 
@@ -97,51 +101,73 @@ class Encoder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT id, bytes FROM tokens")
         self.db.unregister("pairs"), self.db.unregister("tokens")
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0
 
-    def _contract(self, words: list[bytes], sql: str) -> list[tuple]:
+    def _run(self, wid: np.ndarray, pos: np.ndarray, ids: np.ndarray, sql: str) -> zip:
+        """(place, number of ids, ids, decoded bytes as hexadecimal digits) of each word."""
+        self.db.register("start", pa.table({"wid": wid, "pos": pos, "id": ids}))
+        out = self.db.execute(sql + _OUT_SQL).fetchnumpy()
+        self.db.unregister("start")
+        return zip(out["wid"].tolist(), out["n"].tolist(), out["ids"].tolist(), out["decoded"].tolist())
+
+    def _contract(self, words: list[bytes], sql: str) -> zip:
         lengths = np.array([len(w) for w in words])
         flat = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         wid = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        pos = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.db.register("start", pa.table({"wid": wid, "pos": pos, "id": flat}))
-        out = self.db.execute(sql + _OUT_SQL).fetchall()
-        self.db.unregister("start")
-        return out
+        return self._run(wid, np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths), flat, sql)
 
     def learn(self, words: set[str]) -> None:
         """Make all of words known."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+        if self.held > KEPT_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        new = words.difference(self.known)
+        again = new.intersection(self.older)
+        for w in again:
+            own = self.known[w] = self.older[w]
+            self.held += 300 + 3 * len(own[2]) + len(own[1])
+        whole: list[tuple[str, int]] = []
         rest: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
-        for w in words:
-            if w in self.known:
-                continue
+        ranks = self.ranks
+        for w in new - again:
             b = w.encode("utf-8", "surrogatepass")
-            rank = self.ranks.get(b)
+            rank = ranks.get(b)
             if rank is not None:
-                self.known[w] = (1, str(rank), b)
+                whole.append((w, rank))
             else:
                 rest[len(b) > LONG].append((w, b))
+        for at in range(0, len(whole), CALL_WORDS):
+            part = whole[at : at + CALL_WORDS]
+            self._keep([w for w, _ in part], self._run(np.arange(len(part), dtype=np.int32), np.zeros(len(part), np.int64), np.array([r for _, r in part], np.int32), _WHOLE_SQL))
         for long, own in rest.items():
-            at = 0
-            while at < len(own):
-                part = own[at : at + (1 if long else CALL_WORDS)]
-                at += len(part)
-                for wid, n, ids, decoded in self._contract([b for _, b in part], _LONG_SQL if long else _SHORT_SQL):
-                    self.known[part[wid][0]] = (n, ids, bytes.fromhex(decoded))
+            step = 1 if long else CALL_WORDS
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                self._keep([w for w, _ in part], self._contract([b for _, b in part], _LONG_SQL if long else _SHORT_SQL))
+
+    def _keep(self, words: list[str], made: zip) -> None:
+        known, held = self.known, 0
+        for wid, n, ids, decoded in made:
+            known[words[wid]] = (n, ids, bytes.fromhex(decoded))
+            held += 300 + 2 * len(decoded) + len(ids)
+        self.held += held
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by a space, their decoded bytes) of each text."""
-        parted = [self.pattern.findall(t) for t in texts]
-        words = set().union(*parted)
-        self.learn(words)
-        if any(w not in self.known for w in words):
-            raise ValueError("a word was not encoded")
-        known, out = self.known, []
-        for p in parted:
-            got = [known[w] for w in p]
-            out.append((sum([g[0] for g in got]), " ".join([g[1] for g in got]), b"".join([g[2] for g in got])))
-        return out
+        collects = gc.isenabled()
+        gc.disable()  # many tuples are made, and none in a cycle
+        try:
+            parted = [self.pattern.findall(t) for t in texts]
+            self.learn(set().union(*parted))
+            get, out = self.known.__getitem__, []
+            for p in parted:
+                # A word that was not encoded ends the task with a KeyError.
+                n, ids, decoded = zip(*map(get, p)) if p else ((), (), ())
+                out.append((sum(n), " ".join(ids), b"".join(decoded)))
+            return out
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -180,7 +206,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
         return f
 
-    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema)
+    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema, size=2 << 20)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -83,8 +83,8 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with about SLICE_BYTES of text each, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about `size` bytes of text each, one row at least."""
     n = batch.num_rows
     if not n:
         return
@@ -92,20 +92,20 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     begin, held = 0, 0
     for i in range(n):
         held += lengths[i]
-        if held >= SLICE_BYTES:
+        if held >= size:
             yield batch.slice(begin, i + 1 - begin)
             begin, held = i + 1, 0
     if begin < n:
         yield batch.slice(begin)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size; make() runs once a task and returns the function of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, size):
                 out = f(piece)
                 if out is not None and out.num_rows:
                     yield out
