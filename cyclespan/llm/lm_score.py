@@ -35,7 +35,7 @@ from . import common
 ORDER = 3
 BITS_PER_ENTRY = 10
 PROBES = 5
-MU = 4.0
+MU = 2.0
 #: Tokens of a block, and learnt tokens of a hash range.
 BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 700_000
 #: Least number of ranges, so that small corpora are spread too.
