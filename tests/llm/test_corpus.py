@@ -170,9 +170,9 @@ def test_runs_like_brute_force(spark, monkeypatch, group):
 
 
 def test_recall_of_fuzzy_passages():
-    # Seeds that two passages of 60 words share after random replacements: the README states these shares.
+    # Passages of 60 words that share two seeds after random replacements: the README states these shares.
     rng = random.Random(77)
-    for edits, least in ((3, 0.99), (6, 0.95), (9, 0.85)):
+    for edits, least in ((3, 0.99), (6, 0.98), (9, 0.88)):
         found = 0
         for _ in range(300):
             a = [rng.getrandbits(64) for _ in range(60)]
@@ -181,7 +181,7 @@ def test_recall_of_fuzzy_passages():
                 b[at] = rng.getrandbits(64)
             edge = lambda: [rng.getrandbits(64) for _ in range(20)]
             x, y = (substring.seeds(np.array(edge() + t + edge(), np.uint64))[1] for t in (a, b))
-            found += len(np.intersect1d(x, y)) > 0
+            found += len(np.intersect1d(x, y)) > 1
         assert found >= least * 300, (edits, found)
 
 
