@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join (Pass-Join, Li et al. 2011), with DataFrame functions only.
 
-Lines (parted at \\n) of MIN_CHARS code points or more are joined at an edit distance of THRESHOLD = 1. A line of length l is split
+All lines (parted at \\n) that are not empty take part: equal lines are one node. Those of MIN_CHARS code points or more are also joined at an edit distance
+of THRESHOLD = 1; an edit more or less is no likeness in shorter ones. A line of length l is split
 into THRESHOLD + 1 = 2 segments. One edit leaves a segment whole, and then the shared one is aligned with a line's
 begin or end, so the index of length l is probed by lines of length l and l + 1 with exactly one substring for each segment.
 
@@ -10,10 +11,13 @@ begin or end, so the index of length l is probed by lines of length l and l + 1
 3. What is left of a key's lines is split into two segments again, and so on; each round halves the rest, so groups fall apart by where
    the lines differ. A key of up to SMALL_GROUP lines with a short rest gives its pairs; a larger one is never paired.
 4. Pairs are verified on their rests by a banded bit-parallel edit distance (Hyyro 2003), a fold over the characters.
-5. Links give classes by connected components. Equal lines are one node. The first line of a class (by doc_id, the
+5. A larger group whose rest is one code point or none holds lines that differ in one sign at one place. Those of the same length are all linked: they are counted, and
+   each is linked to the least. A longer one is linked to those whose sign it holds there, at most two, by an equi-join. Two lines of
+   the same length meet in one group only, so the counts add up.
+6. Links give classes by connected components. The first line of a class (by doc_id, the
    text's hash, line number) is kept.
 
-Defined cases: a null text is empty; empty and shorter lines are always kept and have no class; of repeated rows (same id and
+Defined cases: a null text is empty; empty lines are always kept and have no class; shorter lines than MIN_CHARS are classed with equal ones; of repeated rows (same id and
 text) lines of the same place count as one place, so all copies of it are kept or none is; a null id comes first in the
 order; an empty table gives an empty result; other columns are ignored.
 """
@@ -27,6 +31,7 @@ from ..operators.components import connected_components
 from . import common
 
 THRESHOLD = 1
+#: Code points from which a line is joined at the threshold; shorter ones are joined if they are equal.
 MIN_CHARS = 20
 #: Lines of a key that are paired at once; larger groups are split further.
 SMALL_GROUP = 24
@@ -63,7 +68,7 @@ def _entries(prefix: Column, rest: Column, m: Column, delta: Column) -> Column:
 
 
 def _sized(occurrences: DataFrame) -> DataFrame:
-    """(line, n, f0, f1): lines that take part, with their length and that of the first segment in their own index and in the next shorter length's."""
+    """(line, n, f0, f1): lines that the edit join takes, with their length and that of the first segment in their own index and in the next shorter length's."""
     long = occurrences.select("line", F.length("line").alias("n")).where(F.col("n") >= MIN_CHARS)
     return long.withColumns({"f0": F.floor(F.col("n") / 2).cast("int"), "f1": F.floor((F.col("n") - 1) / 2).cast("int")})
 
@@ -129,8 +134,22 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     return F.when(m <= tau, F.levenshtein(a, b)).otherwise(folded)
 
 
-def links(occurrences: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(a, b): all pairs of different lines (by MD5) within the threshold."""
+def _one_sign(group: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large groups whose rests are one code point or none: stars (a, b) of the lines of the index's length, how many others each of these is linked to (lid, n_links),
+    and the pairs (a, b) with lines that are longer by one."""
+    index, probe = group.where("delta = 0"), group.where("delta = 1")
+    heads = scratch.keep(index.groupBy("key").agg(F.min("lid").alias("head"), F.count("*").alias("n0")).where("n0 > 1"))
+    own = scratch.keep(index.select("key", "lid").join(heads, "key"))
+    stars = own.where("lid != head").select(F.col("head").alias("a"), F.col("lid").alias("b"))
+    counts = own.select("lid", (F.col("n0") - 1).alias("n_links"))
+    # A key and a rest are one line.
+    asked = probe.select("key", F.col("lid").alias("b"), F.explode(F.when(F.col("m") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.filter(F.split("rest", ""), lambda c: c != "")))).alias("rest"))
+    longer = asked.join(index.select("key", "rest", F.col("lid").alias("a")), ["key", "rest"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stars, counts, longer
+
+
+def links(occurrences: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between different lines (by MD5), enough to connect all pairs within the threshold; (lid, n_links): the number of lines within it."""
     long = _sized(occurrences)
     keyed = long.select(F.xxhash64("line").alias("h"), F.inline(_keys(False)))
     shared = (
@@ -143,51 +162,61 @@ def links(occurrences: DataFrame, scratch: common.Scratch) -> DataFrame:
     rows = long.select(F.md5("line").alias("lid"), F.inline(_keys(True)))
     rows = rows.withColumn("word", word).join(F.broadcast(bitmap), "word").where("bit_get(bits, cast(key & 63 as int)) = 1")
     rows = scratch.keep(rows.select("key", "delta", "m", "lid", "rest").distinct())
-    found, parts, at = None, max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), 0
+    found, stars, counts, parts, at = None, None, None, max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), 0
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("delta").alias("least")).where("n > 1 and least = 0")
-        sized = scratch.keep(rows.join(sizes.select("key", "n"), "key"))
-        # Short rests are compared; so are longer ones once splitting has had its rounds. Large groups are always split, but for
-        # rests of one code point, which can't be: such a group is bounded by the characters that there are.
-        ready = ((F.col("n") <= SMALL_GROUP) & ((F.col("m") <= SHORT_REST) | F.lit(at >= SPLIT_ROUNDS))) | (F.col("m") <= 1)
-        small = sized.where(ready)
-        index, probe = (small.select("key", "delta", "lid", "rest").toDF("key", f"{x}_delta", f"{x}_lid", f"{x}_rest") for x in "ab")
+        # Written before the join, whose sides then come straight from exchanges, which adaptive execution can split at a hot key.
+        sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("delta").alias("least")).where("n > 1 and least = 0").select("key", "n"))
+        sized = scratch.keep(rows.join(sizes, "key"))
+        # Short rests are compared; so are longer ones once splitting has had its rounds. Large groups are split until nothing is left to split.
+        small = (F.col("n") <= SMALL_GROUP) & ((F.col("m") <= SHORT_REST) | F.lit(at >= SPLIT_ROUNDS))
+        last = (F.col("n") > SMALL_GROUP) & (F.col("m") <= 1)
+        index, probe = (sized.where(small).select("key", "delta", "lid", "rest").toDF("key", f"{x}_delta", f"{x}_lid", f"{x}_rest") for x in "ab")
         pairs = index.where("a_delta = 0").join(probe, "key").where("a_lid != b_lid and (b_delta = 1 or a_lid < b_lid)")
         pairs = pairs.select("a_lid", "b_lid", "a_rest", "b_rest").repartition(parts)
         pairs = pairs.withColumn("_a", F.filter(F.split("a_rest", ""), lambda c: c != "")).withColumn("_b", F.filter(F.split("b_rest", ""), lambda c: c != ""))
         near = pairs.where(banded_distance(F.col("a_rest"), F.col("b_rest"), THRESHOLD) <= THRESHOLD)
         near = near.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b"))
+        if not sized.where(last).isEmpty():
+            star, count, longer = _one_sign(sized.where(last), scratch)
+            near = near.union(longer)
+            stars, counts = (star, count) if stars is None else (stars.union(star), counts.union(count))
         near = scratch.keep(near)
         found = near if found is None else found.union(near)
-        left = sized.where(~ready)
+        left = sized.where(~small & ~last)
         if left.isEmpty():
             break
         rows = scratch.keep(left.select("lid", F.inline(_entries(F.col("key"), F.col("rest"), F.col("m"), F.col("delta")))).select("key", "delta", "m", "lid", "rest").distinct())
-        scratch.drop(sized)
+        if stars is None:
+            scratch.drop(sized)
         at += 1
-    return scratch.keep(found.distinct())
+    found = scratch.keep(found.distinct())
+    each = found.select(F.col("a").alias("lid")).union(found.select("b")).groupBy("lid").agg(F.count("*").alias("n_links"))
+    if stars is None:
+        return found, each
+    return found.union(stars), each.union(counts).groupBy("lid").agg(F.sum("n_links").alias("n_links"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, line_no, class_id, class_line, n_links, kept) of each line; class_id and class_line are the place of the class's first line."""
     scratch = common.Scratch(docs.sparkSession, "lines")
     every = lines(docs, id_col, text_col)
-    pairs = links(every, scratch)
-    counts = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).groupBy("lid").agg(F.count("*").alias("n_links"))
+    pairs, counts = links(every, scratch)
     labels = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep=scratch.keep, drop=scratch.drop)
-    labels = labels.select(F.col("node").alias("lid"), "component").join(counts, "lid")
-    places = every.select("id", "th", "line_no", F.when(F.length("line") >= MIN_CHARS, F.md5("line")).alias("lid"))
+    labels = scratch.keep(labels.select(F.col("node").alias("lid"), "component").join(counts, "lid"))
+    places = every.select("id", "th", "line_no", F.when(F.col("line") != "", F.md5("line")).alias("lid"))
     # Lines without a class, and with it a key to meet on, stay out of the joins.
     placed = places.where("lid is not null").join(labels, "lid", "left").select("id", "th", "line_no", F.coalesce("component", "lid").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     placed = scratch.keep(placed)
-    first = placed.groupBy("class").agg(F.min(F.struct("id", "th", "line_no")).alias("f"), F.count("*").alias("n"))
-    known = placed.join(first, "class").select(
+    # Most lines are alone in their class and their own first place; a table of the others is all that a hot class's places are joined with.
+    first = scratch.keep(placed.groupBy("class").agg(F.min(F.struct("id", "th", "line_no")).alias("f"), F.count("*").alias("n")).where("n > 1").select("class", "f"))
+    own = F.struct("id", "th", "line_no")
+    known = placed.join(first, "class", "left").withColumn("f", F.coalesce("f", own)).select(
         "id", "th", "line_no", F.col("f.id").alias("class_id"), F.col("f.line_no").alias("class_line"), "n_links",
         (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("line_no") == F.col("f.line_no"))).alias("kept"),
     )
     none = F.lit(None)
-    short = places.where("lid is null").select("id", "th", "line_no", none.cast("long").alias("class_id"), none.cast("int").alias("class_line"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    return known.unionByName(short)
+    blank = places.where("lid is null").select("id", "th", "line_no", none.cast("long").alias("class_id"), none.cast("int").alias("class_line"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return known.unionByName(blank)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,16 +231,17 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     left = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.id")) & (F.xxhash64(text) == F.col("g.th")), "left")
     lost = F.col("g.gone")
     cut = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
-    changed = {"text": cut, "n_chars": F.length(cut).cast("long")}
-    return left.select(*[(F.when(lost.isNull(), F.col(f"d.{c}")).otherwise(changed[c]) if c in changed else F.col(f"d.{c}")).alias(c) for c in docs.columns])
+    changed = {"text": cut, "n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": cut}
+    columns = {c: F.col(f"d.{common.quoted(c)}") for c in docs.columns}
+    return left.select(*[(F.when(lost.isNull(), x).otherwise(changed[c]) if c in changed else x).alias(c) for c, x in columns.items()])
 
 
 ORACLE = f"""
 WITH RECURSIVE o AS (
   SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-d AS (SELECT line, length(line) AS n FROM o WHERE length(line) >= {MIN_CHARS} GROUP BY line),
-e AS (SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n = a.n AND a.line < b.line WHERE levenshtein(a.line, b.line) <= {THRESHOLD}
-      UNION ALL SELECT a.line, b.line FROM d a JOIN d b ON b.n = a.n + 1 WHERE levenshtein(a.line, b.line) <= {THRESHOLD}),
+d AS (SELECT line, length(line) AS n FROM o WHERE line <> '' GROUP BY line),
+e AS (SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n = a.n AND a.line < b.line WHERE a.n >= {MIN_CHARS} AND levenshtein(a.line, b.line) <= {THRESHOLD}
+      UNION ALL SELECT a.line, b.line FROM d a JOIN d b ON b.n = a.n + 1 WHERE a.n >= {MIN_CHARS} AND levenshtein(a.line, b.line) <= {THRESHOLD}),
 s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
 c AS (SELECT line, least(line, coalesce(m, line)) AS class, coalesce(k, 0) AS n_links FROM d

@@ -165,6 +165,6 @@ def heads_of(docs: DataFrame, out: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_cyclespan_id"))
     # Nearly all ids stand for one row; only repeated ones need a choice.
     one = docs.join(heads.where("_cyclespan_n = 1").select("_cyclespan_id"), same, "left_semi")
-    again = docs.join(heads.where("_cyclespan_n > 1").select("_cyclespan_id"), same, "left_semi").select(F.struct(*docs.columns).alias("_row"), text.alias("_h"))
+    again = docs.join(heads.where("_cyclespan_n > 1").select("_cyclespan_id"), same, "left_semi").select(F.struct(*[F.col(common.quoted(c)) for c in docs.columns]).alias("_row"), text.alias("_h"))
     chosen = again.groupBy("_row.doc_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
     return one.unionByName(chosen)
