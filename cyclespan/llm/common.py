@@ -2,76 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Rounds
+
 #: Bytes of text that a Python worker holds as one slice of an Arrow batch.
 SLICE_BYTES = 4 << 20
 
-_scratch: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="cyclespan-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    for paths in _scratch.values():
-        for path in paths:
-            try:
-                _delete(spark, path)
-            except Exception:
-                return
-
-
-atexit.register(_at_exit)
 
-
-class Scratch:
-    """Parquet tables in the shared folder, which cut lineage and outlive lost executors."""
+class Scratch(Rounds):
+    """A run's tables in the shared folder, packed by zstd."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        _scratch.setdefault(self.root, []).append(self.root)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
-        path = f"{self.root}/{self.n}"
-        self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame | None) -> None:
-        """Free a table that no later plan reads."""
-        if path := getattr(df, "scratch_path", None):
-            _delete(self.spark, path)
+        super().__init__(spark, name, "zstd")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +71,25 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+#: 64-bit words of a bitmap of hashes: 8 MB, whatever the number of keys.
+BITMAP_WORDS = 1 << 20
+
+
+def bitmap(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits of the low end of each key (a long): BITMAP_WORDS words at most reach the driver, whatever the number of keys."""
+    word = F.shiftright(col, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    rows = keys.select(word.cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({col} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_WORDS, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def there(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys have their bit set."""
+    u = np.uint64
+    return (bits[((keys >> u(6)) & u(len(bits) - 1)).astype(np.int64)] >> (keys & u(63))) & u(1) == 1
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -1,15 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Short items are the queries and long documents the searched sets, so a fixed-length signature of a document would
-lose an item of 40 shingles among 20,000. As in LSH Ensemble (Zhu et al. 2016) the sets of known size are put in
-classes of like size, and each class turns the containment threshold into its own sketch: bottom-k MinHash, the
-k = upper - ceil(threshold * upper) + 1 least shingle hashes of an item, upper being the class's largest size. A document
-that holds the threshold's share of an item's shingles lacks fewer than k of them, so it holds one of the k
-least: the search loses nothing, and a document probes only hashes up to the class's greatest sketch value.
-Every candidate is then verified on the shingles themselves.
+lose an item of 40 shingles among 20,000. As in LSH Ensemble (Zhu et al. 2016) sets are put in size classes (doubling: 1, 2-3, 4-7, ...) and
+each class turns the containment threshold into its own sketch: bottom-k MinHash, the k least shingle hashes of an item, k being the most that a set
+of the class can lack, and one more. A document that holds the threshold's share of an item's shingles lacks fewer than k of them, so it holds one of the k
+least: the search loses nothing. Documents are partitioned by size too: one with fewer shingles than an item needs is never its candidate.
 
-Items are taken in blocks whose shingles stay within BLOCK_SHINGLES, so what is broadcast is bounded however many
-items there are; each block is searched against all documents.
+1. Items are a table with their sketches; a bitmap of fixed size over all sketch hashes is broadcast, nothing else, however many items there are.
+2. One scan of the documents: their shingle hashes (of every length that items have) probe the bitmap, and a document with hits is written with
+   these hashes.
+3. Hits are joined with the sketches by hash, which gives candidates (document, item).
+4. Every candidate is verified on the shingles themselves.
 
 Defined cases: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a null text is empty; an item of fewer than SHINGLE
 words has its whole word sequence as only shingle (searched among document shingles of that length); an item
@@ -20,6 +21,7 @@ empty table on either side gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,6 @@ from . import common
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Distinct shingles of the items of one block (about 100 bytes each where it is searched).
-BLOCK_SHINGLES = 250_000
 #: Multiplier of the word hashes' polynomial.
 _BASE = 0x9E3779B97F4A7C15
 
@@ -67,122 +67,117 @@ def hashes(w: list[bytes]) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(x) for x in w), np.uint64, len(w))
 
 
-def sketches(items: list[tuple], shingle: int, threshold: float) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """By shingle length, for each size class: sorted sketch hashes and the item (place in the list) of each.
-
-    items: (id, word list). Classes double in size: 1, 2-3, 4-7, ...
-    """
-    classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-    for at, (_, w) in enumerate(items):
-        if not w:
-            continue
-        length = min(shingle, len(w))
-        h = np.unique(rolling(hashes(w), length))
-        classes.setdefault((length, len(h).bit_length()), []).append((at, h))
-    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for (length, _), members in sorted(classes.items()):
-        upper = max(len(h) for _, h in members)
-        # k shrinks with the size at a fixed threshold, so the class's largest size bounds all its members.
-        k = max(s - least_needed(s, threshold) + 1 for s in range(1, upper + 1))
-        keys = np.concatenate([h[:k] for _, h in members])
-        owner = np.concatenate([np.full(min(k, len(h)), at) for at, h in members])
-        order = np.argsort(keys, kind="stable")
-        out.setdefault(length, []).append((keys[order], owner[order]))
-    return out
-
-
-class _Search:
-    """One block of items, ready to be probed by documents."""
-
-    def __init__(self, items: list[tuple], shingle: int, threshold: float):
-        self.items = [(i, common.words(t)) for i, t in items]
-        self.shingle, self.threshold = shingle, threshold
-        self.index = sketches(self.items, shingle, threshold)
-        self.sets = [shingles(w, min(shingle, len(w))) if w else set() for _, w in self.items]
-        # A bitmap over the hashes' top bits answers nearly all probes that miss.
-        self.filters = {}
-        for length, classes in self.index.items():
-            keys = np.concatenate([k for k, _ in classes])
-            bits = np.zeros(1 << 20, bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.filters[length] = bits
-        self.known: dict[bytes, int] = {}
-
-    def word_hashes(self, w: list[bytes]) -> np.ndarray:
-        if len(self.known) > 200_000:
-            self.known.clear()
-        known, out = self.known, []
-        for x in w:
-            h = known.get(x)
-            if h is None:
-                h = known[x] = xxh64_intdigest(x)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-    def matches(self, text: bytes) -> list[tuple]:
-        """(item id, shingles held, shingles of the item) of each item that the text contains."""
-        w = common.words(text)
-        if not w or not self.index:
-            return []
-        wh, found = self.word_hashes(w), set()
-        for length, classes in self.index.items():
-            h = rolling(wh, length)
-            h = h[self.filters[length][(h >> np.uint64(44)).astype(np.int64)]]
-            for keys, owner in classes:
-                own = np.unique(h[h <= keys[-1]])
-                first, last = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                for a, b in zip(first[first < last], last[first < last]):
-                    found.update(owner[a:b].tolist())
-        if not found:
-            return []
-        held: dict[int, set[bytes]] = {}
-        out = []
-        for at in sorted(found):
-            i, words = self.items[at]
-            length, own = min(self.shingle, len(words)), self.sets[at]
-            if length not in held:
-                held[length] = shingles(w, length)
-            n = len(own & held[length])
-            if n >= least_needed(len(own), self.threshold):
-                out.append((i, n, len(own)))
-        return out
-
-
-def _blocks(items: DataFrame, shingle: int) -> list[list[tuple]]:
-    """The items, in lists of at most BLOCK_SHINGLES shingles (or one item)."""
-    blocks, held = [[]], 0
-    for row in items.toLocalIterator():
-        n = max(1, len(row.text) // 2)
-        if held and held + n > BLOCK_SHINGLES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.id, row.text.encode()))
-        held += n
-    return [b for b in blocks if b]
+def size_class(n: int) -> int:
+    return n.bit_length()
+
+
+@lru_cache(maxsize=256)
+def sketch_size(c: int, threshold: float) -> int:
+    """The k of class c. Sizes go from 2^(c-1) to 2^c - 1."""
+    return max(n - least_needed(n, threshold) + 1 for n in range(1 << (c - 1), 1 << c))
+
+
+def sketch(h: np.ndarray, threshold: float) -> np.ndarray:
+    """The least hashes of a set of different ascending ones, as many as its size class asks for."""
+    return h[: sketch_size(size_class(len(h)), threshold)] if len(h) else h
+
+
+def _items(items: DataFrame, shingle: int, threshold: float, scratch: common.Scratch) -> DataFrame:
+    """(rid, item_id, item_text, length, n, sketch): one row for each item with words; n is the number of different shingles, of `length` words."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for i, t in zip(common.column(batch, "item_id").to_pylist(), common.utf8(batch, "item_text")):
+                if w := common.words(t):
+                    length = min(shingle, len(w))
+                    h = np.unique(rolling(hashes(w), length))
+                    rows.append((i, t.decode("utf-8", "surrogatepass"), length, len(h), sketch(h, threshold).view(np.int64)))
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["item_id", "item_text", "length", "n", "sketch"])
+
+        return f
+
+    made = common.map_slices(items, make, "item_id long, item_text string, length int, n long, sketch array<long>", column="item_text")
+    # The number is drawn when the table is written, so rows that are alike stay apart from then on.
+    return scratch.keep(made.withColumn("rid", F.monotonically_increasing_id()))
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
+def _hits(docs: DataFrame, lengths: list[int], sent, scratch: common.Scratch) -> DataFrame:
+    """(key, id, text, probes): the documents with shingle hashes whose bit is set, and these hashes."""
+
+    def make():
+        known, bits = _WordHashes(), sent.value
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found, probes = [], []
+            for at, t in enumerate(common.utf8(batch)):
+                w = common.words(t)
+                h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+                own = [r[common.there(bits, r)] for r in (rolling(h, n) for n in lengths) if len(r)]
+                if own and any(map(len, own)):
+                    found.append(at), probes.append(np.unique(np.concatenate(own)).view(np.int64))
+            out = batch.take(pa.array(found, pa.int32()))
+            return pa.RecordBatch.from_arrays([common.column(out, "id"), common.column(out, "text"), pa.array(probes, pa.list_(pa.int64()))], ["id", "text", "probes"])
+
+        return f
+
+    made = common.map_slices(docs, make, "id long, text string, probes array<long>")
+    return scratch.keep(made.withColumn("key", F.monotonically_increasing_id()))
+
+
+def _matches(docs: DataFrame, items: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) of docs (id, text) and items (item_id, item_text)."""
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, n_shared long, n_item long"
+    scratch = common.Scratch(spark, "decontaminate")
+    own = _items(items, shingle, threshold, scratch)
+    lengths = sorted(r[0] for r in own.select("length").distinct().collect())  # `shingle` numbers at most
+    if not lengths:
+        return spark.createDataFrame([], schema)
+    keys = own.select("rid", "n", F.explode("sketch").alias("h"))
+    sent = spark.sparkContext.broadcast(common.bitmap(keys, "h"))
+    hits = _hits(docs, lengths, sent, scratch)
+    sent.unpersist()
+    pairs = scratch.keep(hits.select("key", F.explode("probes").alias("h")).join(keys, "h").select("key", "rid").distinct())
+    rows = pairs.join(own.select("rid", "item_id", "item_text", "length"), "rid").join(hits.select("key", "id", "text"), "key").select("key", "id", "text", "item_id", "item_text", "length")
+
+    def verify(batches):
+        last, held, wanted = None, {}, {}
+        for batch in (piece for whole in batches for piece in common.slices(whole, "text")):
+            out = []
+            for key, i, t, item, q, length in zip(*(common.column(batch, c).to_pylist() for c in ("key", "id", "text", "item_id", "item_text", "length"))):
+                if key != last:
+                    last, w, held = key, common.words(t.encode("utf-8", "surrogatepass")), {}
+                if len(wanted) > 10_000:
+                    wanted.clear()
+                if q not in wanted:
+                    wanted[q] = shingles(common.words(q.encode("utf-8", "surrogatepass")), length)
+                need = least_needed(len(wanted[q]), threshold)
+                if len(w) - length + 1 < need:  # a smaller size class than the item asks for
+                    continue
+                if length not in held:
+                    held[length] = shingles(w, length)
+                n = len(wanted[q] & held[length])
+                if n >= need:
+                    out.append((i, item, n, len(wanted[q])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "n_shared", "n_item"])
+
+    return rows.mapInArrow(verify, schema)
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): all pairs where the document holds at least `threshold` of the item's distinct shingles."""
-    schema = "doc_id long, item_id long, n_shared long, n_item long"
-    out = None
     whole = docs.select(F.col(doc_id).cast("long").alias("id"), common.text_of(text).alias("text"))
-    for block in _blocks(items.select(F.col(item_id).cast("long").alias("id"), common.text_of(text).alias("text")), shingle):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(sent=sent):
-            search = _Search(sent.value, shingle, threshold)
-
-            def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [(d, *m) for d, t in zip(common.column(batch, "id").to_pylist(), common.utf8(batch)) for m in search.matches(t)]
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
-
-            return f
-
-        found = common.map_slices(whole, make, schema)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
+    out = _matches(whole, items.select(F.col(item_id).cast("long").alias("item_id"), common.text_of(text).alias("item_text")), shingle, threshold)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -191,21 +186,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item, in one pass over the texts (for each block of items)."""
-    for block in _blocks(items.select(F.col("item_id").cast("long").alias("id"), common.text_of().alias("text")), SHINGLE):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(sent=sent):
-            search = _Search(sent.value, SHINGLE, THRESHOLD)
-
-            def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-                texts = common.column(batch, "text").fill_null("").cast(pa.binary()).to_pylist()
-                return batch.filter(pa.array([not search.matches(t) for t in texts], pa.bool_()))
-
-            return f
-
-        docs = common.map_slices(docs, make, docs.schema)
-    return docs
+    """The rows of docs that contain no item. A row is known by its text's XXH64, since equal texts hold the same items."""
+    name = F.xxhash64(common.text_of())
+    found = _matches(docs.select(name.alias("id"), common.text_of().alias("text")), items.select(F.lit(None).cast("long").alias("item_id"), common.text_of().alias("item_text")), SHINGLE, THRESHOLD)
+    # A name that no table's own columns have.
+    gone = common.Scratch(docs.sparkSession, "contaminated").keep(found.select(F.col("doc_id").alias("_cyclespan_text")).distinct())
+    return docs.join(gone, name == F.col("_cyclespan_text"), "left_anti")
 
 
 _WORDS = "list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '')"

@@ -5,16 +5,16 @@ signs, digits, repeated words), as buckets. Each view weighs the features whose
 classes beyond chance by their log odds; a document's greatest and mean weights are calibrated by logistic regression on labelled rows that the weights
 have not been learnt from (halves of the labelled rows take turns). A document is bad if it is labelled as of quality 0 or toxic.
 
-Round 0 learns from at most MAX_LABELLED labelled rows (those with the least hash of doc_id: the documented bound). In each of ROUNDS rounds,
+Round 0 learns from at most MAX_LABELLED labelled documents (those with the least hash of doc_id: the documented bound). In each of ROUNDS rounds,
 all documents without a label are scored, and those that one view is confident of are counted, with its
-label, in the other view's model. Pseudo-labels weigh the features that labelled rows are too few for; where labels speak, their weights stay,
-since a view that can't see a kind of bad document (metadata: toxic ones) would else dilute it. At last both views are calibrated anew and joined by a logistic regression on their log
-odds and the greater of them. All documents are scored; a document is rejected from REJECT on.
+label, in the other view's model. Pseudo-labels move the weights of all features of both views; those of a class weigh PSEUDO_SHARE of its labels together at most, however many they are,
+so a view that can't see a kind of bad document (metadata: toxic ones) can't outvote the labels. At last both views are calibrated anew and joined by a logistic regression on their log
+odds and the greater of them. All documents are scored; a document is rejected from REJECT on. Model.history holds each round's error on labelled documents that its weights had not seen.
 
 Counting is distributed: tasks add up features, whose number is fixed (BINS), and only sums for each feature reach the driver.
 
 Defined cases: a null text is empty; null metadata is a value of its own; labels are taken once for a doc_id (bad if any of its rows is),
-without an id or with neither label they are ignored; repeated documents are scored, and counted, each; without labels of both classes every document has
+without an id or with neither label they are ignored; repeated documents are scored, and counted, each, but of the rows of a labelled id one is learnt from (that with the least features); without labels of both classes every document has
 the share of bad labels as score (0 without any) and is kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,6 +35,8 @@ MAX_LABELLED = 20_000
 ROUNDS = 2
 #: Probability of being bad from which a view's judgement becomes a pseudo-label; it is sure of a good document where the probability is below the share of bad ones.
 SURE_BAD = 0.95
+#: Weight of all pseudo-labels of a class, in labels of that class, at most.
+PSEUDO_SHARE = 0.5
 REJECT = 0.5
 #: Documents that a feature needs to count.
 LEAST_DOCS = 4
@@ -163,6 +165,7 @@ class Model:
     """What scoring needs: each view's weights and calibration, and the stacked combination. None of it grows with the corpus."""
 
     def __init__(self, weights: list[np.ndarray], calibrations: list[Logistic], joint: Logistic, share: float):
+        self.history: list[dict[str, float]] = []
         self.weights, self.calibrations, self.joint, self.share = [w.astype(np.float32) for w in weights], calibrations, joint, share
 
     def views(self, rows: tuple[list[np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
@@ -235,9 +238,14 @@ def _pseudo(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _weights(rows: list[np.ndarray], bad: np.ndarray, more: View) -> np.ndarray:
-    """Weights by the labelled rows, and for features that are too rare among them by these and the pseudo-labelled ones."""
+    """Weights by the labelled rows and, weighing less, the pseudo-labelled ones."""
     own = View().learn(rows, bad)
-    return np.where(own.tested(), own.weights(), View(more).learn(rows, bad).weights()) if more.docs.any() else own.weights()
+    for c in (0, 1):
+        if more.docs[c]:
+            share = PSEUDO_SHARE * min(1.0, own.docs[c] / more.docs[c])
+            own.has[c] += share * more.has[c]
+            own.docs[c] += share * more.docs[c]
+    return own.weights()
 
 
 def _fit(rows: tuple[list[np.ndarray], list[np.ndarray]], bad: np.ndarray, more: list[View]) -> Model:
@@ -252,14 +260,18 @@ def _fit(rows: tuple[list[np.ndarray], list[np.ndarray]], bad: np.ndarray, more:
         weights.append(_weights(x, bad, extra))
         calibrations.append(Logistic(made, bad))
         odds.append(calibrations[-1].odds(made))
-    return Model(weights, calibrations, Logistic(_both(*odds), bad), float(bad.mean()))
+    joint = Logistic(_both(*odds), bad)
+    model = Model(weights, calibrations, joint, float(bad.mean()))
+    wrong = lambda o: float(((_probability(o) >= REJECT) != (bad == 1)).mean())
+    model.history = [{"content": wrong(odds[0]), "metadata": wrong(odds[1]), "both": wrong(joint.odds(_both(*odds)))}]
+    return model
 
 
 class _Constant(Model):
     """Without labels of both classes."""
 
     def __init__(self, share: float):
-        self.share = share
+        self.share, self.history = share, []
 
     def bad(self, rows):
         p = np.full(len(rows[0]), self.share)
@@ -269,8 +281,9 @@ class _Constant(Model):
 def train(extracted: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model:
     """The co-trained model of a table of features."""
     chosen = labelled(labels, max_labelled)
-    # Bounded by max_labelled ids.
-    known = extracted.join(F.broadcast(chosen), "id").orderBy("id", F.xxhash64("content")).limit(2 * max_labelled).toArrow()
+    # One row for each of max_labelled ids at most.
+    one = extracted.join(F.broadcast(chosen), "id").groupBy("id", "bad").agg(F.min(F.struct("content", "metadata")).alias("x"))
+    known = one.select("id", "bad", "x.content", "x.metadata").orderBy("id").toArrow()
     bad = known.column("bad").to_numpy().astype(np.int64)
     if not len(bad) or bad.min() == bad.max():
         return _Constant(float(min(bad.mean(), REJECT / 2)) if len(bad) else 0.0)
@@ -285,7 +298,8 @@ def train(extracted: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_lab
                 more[view].docs += (good, ill)
             else:
                 more[view].has[:, bin_] += (good, ill)
-        model = _fit(rows, bad, more)
+        before, model = model, _fit(rows, bad, more)
+        model.history = before.history + model.history
     return model
 
 
