@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import cycles as C
+from .operators import edges as E
 from .operators import generator, merge, rings
 from .plans import control, detect
-from .sources import files, schema, transfers
+from .plans.scratch import Rounds
+from .sources import edge_store, files, schema, transfers
 
 
 def sizes(text: str) -> tuple[int, ...]:
@@ -39,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--quiet", action="store_true")
         s.add_argument("--dry-run", action="store_true", help="print the plan, run nothing")
         s.add_argument("--raw-out"), s.add_argument("--merged-out"), s.add_argument("--json-out")
+        if name == "detect":
+            s.add_argument("--edge-table", help="folder of the stored edges; detection reads them instead of summing all transfers")
+            s.add_argument("--prepare-aggregates", action="store_true", help="write the edge table first")
+            s.add_argument("--keep-existing-aggregates", action="store_true", help="leave stored pairs that the transfers lack")
+            s.add_argument("--aggregate-batch-size", type=int, default=edge_store.PARTS, help="parts of the edge table written at once")
     s = sub.add_parser("fragmentation")
     s.add_argument("--raw-jsonl", required=True), s.add_argument("--json-out")
     s = sub.add_parser("rings")
@@ -49,6 +58,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def dry_run(a: argparse.Namespace, accounts: DataFrame, moves: DataFrame, limits: dict) -> list[tuple[str, DataFrame]]:
+    """What a subcommand would run, by name. Iterative operators have no single plan: what their rounds start from stands for them."""
+    if a.command == "components":
+        return [("graph of the strong components", E.pairs(moves)), ("measures of all transfers of a pair", moves.groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amt")))]
+    if a.command == "inner":
+        return [("edges", E.edges(moves)), ("nodes", E.nodes(accounts))] + [(f"cycles of {k} inside a component", C.cycles(E.edges(moves), k, least=2)) for k in a.cycle_sizes]
+    if a.command == "baseline":
+        return [(f"paths of {k} transactions", C.transaction_paths(moves, k)) for k in a.cycle_sizes]
+    if a.graph_mode == "transactions":
+        return [(f"cycles of {k} with measures of all transfers", detect.transactions_mode(moves, accounts, k, a.limit, a.min_pair_transactions, a.min_pair_amount, **limits)) for k in a.cycle_sizes]
+    return [(f"cycles of {k}", C.cycles(E.edges(moves), k, a.min_pair_transactions, a.min_pair_amount, limit=a.limit, **limits)) for k in a.cycle_sizes]
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("cyclespan").getOrCreate()
@@ -82,14 +104,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     accounts, moves = transfers.label_blind(files.read_csv(spark, f"{a.dataset_dir}/accounts.csv", schema.ACCOUNTS), files.read_csv(spark, f"{a.dataset_dir}/transactions.csv", schema.TRANSACTIONS))
     limits = {"min_internal_transactions": a.min_internal_transactions, "min_total_amount": a.min_total_amount}
     if a.dry_run:
-        from .operators import cycles, edges
-
-        for k in a.cycle_sizes:
-            print(control.plan_text(cycles.cycles(edges.edges(moves), k, a.min_pair_transactions, a.min_pair_amount, limit=a.limit, **limits)))
+        for name, df in dry_run(a, accounts, moves, limits):
+            print(f"-- {name}\n{control.plan_text(df)}")
         return 0
+    began, edges = time.perf_counter(), None
+    if a.command == "detect" and a.edge_table:
+        if a.prepare_aggregates or not edge_store.exists(spark, a.edge_table):
+            n = edge_store.prepare(moves, a.edge_table, not a.keep_existing_aggregates, a.aggregate_batch_size)
+            control.log_line(f"{n} pairs written to the edge table")
+        edges = edge_store.load(spark, a.edge_table)
     with control.heartbeat(spark, a.command, 0 if a.quiet else a.progress_interval):
         if a.command == "detect":
-            r = detect.detect(accounts, moves, a.cycle_sizes, a.limit, a.min_pair_transactions, a.min_pair_amount, merge=not a.no_merge, mode=a.graph_mode, query_timeout=a.query_timeout, **limits)
+            r = detect.detect(accounts, moves, a.cycle_sizes, a.limit, a.min_pair_transactions, a.min_pair_amount, merge=not a.no_merge, mode=a.graph_mode, query_timeout=a.query_timeout, edges=edges, **limits)
             for path, df in ((a.raw_out, r.raw), (a.merged_out, r.merged)):
                 if path:
                     files.write_jsonl(df, path)
@@ -97,13 +123,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "components":
             found = detect.components(accounts, moves, a.min_component_size, a.max_component_size, a.limit)
             found = files.with_defaults(found, "GDS", "scc_candidate", "strong_components_label_blind", [F.desc("participant_count"), F.col("component_id")], "strongly_connected_component")
-            summary = {"merged_result_count": files.write_jsonl(found, a.raw_out) if a.raw_out else found.count()}
+            found = Rounds(spark, "found").keep(found).orderBy(F.desc("participant_count"), "component_id")
+            if a.raw_out:
+                files.write_jsonl(found, a.raw_out)
+            summary = detect.component_summary(accounts, moves, found, {"min_component_size": a.min_component_size, "max_component_size": a.max_component_size, "limit": a.limit}, began)
         elif a.command == "inner":
-            raw = detect.component_cycles(accounts, moves, a.cycle_sizes, a.min_component_size, a.max_component_size, **limits)
+            raw = Rounds(spark, "raw").keep(detect.component_cycles(accounts, moves, a.cycle_sizes, a.min_component_size, a.max_component_size, **limits))
             merged = detect.merged_component_cycles(raw, accounts, moves, a.limit)
             order = [F.desc("score"), F.desc("total_amount"), F.desc("participant_count"), F.col("participants")]
             merged = files.with_defaults(merged, "HYBRID_V02", "detected_cycle_component", "component_cycles_label_blind", order)
-            summary = {"raw_result_count": files.write_jsonl(raw, a.raw_out) if a.raw_out else raw.count(), "merged_result_count": files.write_jsonl(merged, a.merged_out) if a.merged_out else merged.count()}
+            merged = Rounds(spark, "merged").keep(merged).orderBy(*order)
+            for path, df in ((a.raw_out, raw), (a.merged_out, merged)):
+                if path:
+                    files.write_jsonl(df, path)
+            summary = detect.inner_summary(accounts, moves, raw, merged, a.cycle_sizes, began)
         else:
             runs = [detect.baseline(moves, k, f"{a.raw_out}/k{k}", a.cycle8_timeout if k == 8 else a.query_timeout, a.skip_cycle8 and k == 8) for k in a.cycle_sizes]
             summary = {"runs": runs}

@@ -18,6 +18,21 @@ SIGNALS = (
 MIN_FRAUD_SCORE = 0.35
 
 
+def round_half_even(x: Column, places: int) -> Column:
+    """x to so many places, a tie to the even digit, as the double's exact value has it (Spark's own bround takes the decimal text instead).
+
+    10^places * x is a double and what it leaves out, which is exact: factors split in halves give products without rounding (Dekker 1971).
+    A double that stands at a tie is above or below it by the sign of what it leaves out.
+    """
+    x, scale = x.cast("double"), float(10**places)
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    left_out = (high * scale - product) + (x - high) * scale
+    tie = F.abs(product - F.rint(product)) == 0.5
+    whole = F.when(tie & (left_out > 0), F.ceil(product)).when(tie & (left_out < 0), F.floor(product)).otherwise(F.rint(product))
+    return F.when(F.abs(x) < 1e15 / scale, whole.cast("double") / scale).otherwise(x)
+
+
 def unit(x: Column) -> Column:
     """x held within 0 and 1."""
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
@@ -39,6 +54,24 @@ def ring_score(n: Column, transactions: Column, amount: Column, cycles: Column,
     )
 
 
+# Weights of the two scores that documents describe. Both take 1 - risk, so a higher risk lowers them; detection never uses them.
+DOCUMENT_CYCLE_WEIGHTS = {"size": 0.2, "amount": 0.3, "safety": 0.2, "density": 0.3}
+DOCUMENT_RING_WEIGHTS = {"size": 0.2, "safety": 0.3, "amount": 0.3, "activity": 0.2}
+DOCUMENT_AMOUNT = 100_000.0
+
+
+def document_cycle_score(n: Column, amount: Column, risk: Column, density: Column) -> Column:
+    """The described variant of a cycle's score: size is not capped, the sum is."""
+    w, paid = DOCUMENT_CYCLE_WEIGHTS, F.least(amount.cast("double") / DOCUMENT_AMOUNT, F.lit(1.0))
+    return F.least(n * w["size"] + paid * w["amount"] + (1 - risk) * w["safety"] + density * w["density"], F.lit(1.0))
+
+
+def document_ring_score(n: Column, amount: Column, risk: Column, activity: Column) -> Column:
+    """The described variant of a ring's score."""
+    w, paid = DOCUMENT_RING_WEIGHTS, F.least(amount.cast("double") / DOCUMENT_AMOUNT, F.lit(1.0))
+    return F.least(n * w["size"] + (1 - risk) * w["safety"] + paid * w["amount"] + activity / 100 * w["activity"], F.lit(1.0))
+
+
 def signals(n: Column, transactions: Column, amount: Column, cycles: Column, risk: Column, density: Column, fraud_transactions: Column, fraud_members: Column) -> Column:
     """Names of the thresholds that are met, in the fixed order."""
     met = (n >= 3, amount >= 500_000, transactions >= F.greatest(n * 4, F.lit(8)), cycles >= 3, risk >= 0.65, density >= 0.35, fraud_transactions > 0, fraud_members > 0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Rounds
+from . import local_graph
 
 
 def connected_components(
@@ -15,6 +16,7 @@ def connected_components(
     keep: Callable[[DataFrame], DataFrame] | None = None,
     drop: Callable[[DataFrame], None] = lambda df: None,
     max_rounds: int = 60,
+    local_edges: int = 0,
 ) -> DataFrame:
     """(node, component): component is the least node that is reachable over `edges` (src, dst).
 
@@ -22,6 +24,7 @@ def connected_components(
     logarithm of the longest path, and a round shuffles the edges twice. A node of very many edges is met by
     aggregates with partial sums and by joins that adaptive execution can split, never by a list of its neighbours.
     `keep` writes a round's edges out, which cuts the lineage, and `drop` frees them; by default as Parquet in the shared folder.
+    Once no more than `local_edges` edges are left, by their count, one task ends the work (0: never).
     Null ends and self-loops are dropped; a node without other edges gets no row.
     """
     if keep is None:
@@ -33,6 +36,8 @@ def connected_components(
     for _ in range(max_rounds):
         if not state[0]:
             break
+        if state[0] <= local_edges:
+            return local_graph.solve(current.toDF("src", "dst"), local_graph.connected, "node", "component")
         step = keep(_small_star(_large_star(current)))
         drop(current)
         current, before, state = step, state, _state(step)

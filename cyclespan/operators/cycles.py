@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Rounds
 from .edges import threshold
 
 
@@ -49,9 +50,11 @@ def cycles(edges: DataFrame, k: int, min_pair_transactions: int = 0, min_pair_am
 
 
 def cycles_of(edges: DataFrame, sizes: Sequence[int], **options) -> DataFrame:
-    """Cycles of several sizes, one after the other."""
+    """Cycles of several sizes. The edges that pass are written once, and each size's chain of joins reads them."""
     least = options.get("least", 3)
-    return reduce(DataFrame.unionByName, [cycles(edges, k, **options) for k in check_sizes(sizes, least)])
+    kept = threshold(edges, options.get("min_pair_transactions", 0), options.get("min_pair_amount", 0.0))
+    kept = Rounds(edges.sparkSession, "cycles").keep(kept.select("src", "dst", "transaction_count", "total_amount"))
+    return reduce(DataFrame.unionByName, [cycles(kept, k, **options) for k in check_sizes(sizes, least)])
 
 
 def count_by_size(found: DataFrame) -> DataFrame:
@@ -65,19 +68,31 @@ def rotations(found: DataFrame, k: int) -> DataFrame:
 
 
 def transaction_paths(transfers: DataFrame, k: int) -> DataFrame:
-    """The unaggregated baseline: a row for each closed path of k transactions over k different accounts, every rotation and every parallel transaction."""
+    """The unaggregated baseline: a row for each closed path of k transactions over k different accounts, every rotation and every parallel transaction.
+
+    Closed paths are found over ordered pairs of accounts, in one rotation, so joins that prune never carry parallel transactions; these
+    are joined to the pairs of the cycles that there are, and rotations are made last.
+    """
     if k < 2:
         raise ValueError("cycle size must be at least 2")
-    t = transfers.where("src != dst").select("src", "dst", F.col("transaction_id").alias("id"), F.col("amount").alias("amt"))
-    path = t.select(F.col("src").alias("a0"), F.col("dst").alias("a1"), F.array("id").alias("ids"), "amt")
+    t = transfers.where("src != dst").select("src", "dst", F.col("transaction_id").alias("id"), F.col("amount").cast("decimal(38,2)").alias("amt"))
+    pairs = t.select("src", "dst").distinct()
+    path = pairs.where("dst > src").toDF("a0", "a1")
     for i in range(1, k):
-        hop = t.toDF("_s", "_d", "_id", "_amt")
-        last = i == k - 1
-        new = [F.col("_d") == F.col("a0")] if last else [F.col("_d") != F.col(f"a{j}") for j in range(i)]
+        hop, last = pairs.toDF("_s", "_d"), i == k - 1
+        new = [F.col("_d") == F.col("a0")] if last else [F.col("_d") > F.col("a0")] + [F.col("_d") != F.col(f"a{j}") for j in range(1, i)]
         path = path.join(hop, reduce(lambda x, y: x & y, new, F.col("_s") == F.col(f"a{i}")))
-        keep = [f"a{j}" for j in range(i + 1)] + ([] if last else [F.col("_d").alias(f"a{i + 1}")])
-        path = path.select(*keep, F.concat("ids", F.array("_id")).alias("ids"), (F.col("amt") + F.col("_amt")).cast("decimal(38,2)").alias("amt"))
-    return path.select(F.array(*[f"a{j}" for j in range(k)]).alias("participants"), F.lit(k).alias("cycle_size"), F.col("ids").alias("transaction_ids"), F.lit(k).cast("long").alias("transactions"), F.col("amt").alias("total_amount"))
+        path = path.select(*[f"a{j}" for j in range(i + 1)], *([] if last else [F.col("_d").alias(f"a{i + 1}")]))
+    path = path.withColumns({"ids": F.array().cast("array<string>"), "amt": F.lit(0).cast("decimal(38,2)")})
+    for i in range(k):
+        own = t.toDF("_s", "_d", "_id", "_amt")
+        path = path.join(own, (F.col("_s") == F.col(f"a{i}")) & (F.col("_d") == F.col(f"a{(i + 1) % k}")))
+        path = path.select(*[f"a{j}" for j in range(k)], F.concat("ids", F.array("_id")).alias("ids"), (F.col("amt") + F.col("_amt")).cast("decimal(38,2)").alias("amt"))
+    people, n = F.array(*[f"a{j}" for j in range(k)]), F.lit(k)
+    turned = lambda x, i: F.concat(F.slice(x, i + 1, n), F.slice(x, F.lit(1), i))
+    turns = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(turned(people, i).alias("p"), turned(F.col("ids"), i).alias("t"))))
+    out = path.select(turns.alias("x"), "amt")
+    return out.select(F.col("x.p").alias("participants"), F.lit(k).alias("cycle_size"), F.col("x.t").alias("transaction_ids"), F.lit(k).cast("long").alias("transactions"), F.col("amt").alias("total_amount"))
 
 
 def transaction_path_count(edges: DataFrame, k: int, **options) -> DataFrame:

@@ -251,6 +251,11 @@ def generate(spark: SparkSession, config: Config | str) -> dict[str, DataFrame]:
     return {"accounts": accounts(spark, c), "merchants": merchants(spark, c), "rings": planted, "transactions": background.unionByName(fraud)}
 
 
+def shuffled(df: DataFrame, seed: int, column: str = "transaction_id") -> DataFrame:
+    """Rows in an order drawn by MD5 of a column and the seed, ties by the column: the same one whatever the partitions."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed)))), column)
+
+
 def validate(data: dict[str, DataFrame], c: Config) -> DataFrame:
     """(check_name, passed, n_bad) of each check."""
     t, a, r = data["transactions"], data["accounts"], data["rings"]
@@ -273,4 +278,4 @@ def validate(data: dict[str, DataFrame], c: Config) -> DataFrame:
     return out
 
 
-__all__ = ["PRESETS", "Config", "RingProfile", "accounts", "background_transactions", "bridge_transactions", "from_document", "generate", "merchants", "normal_accounts", "normal_transactions", "ring_transactions", "rings", "validate"]
+__all__ = ["PRESETS", "Config", "RingProfile", "accounts", "background_transactions", "bridge_transactions", "from_document", "generate", "merchants", "normal_accounts", "normal_transactions", "ring_transactions", "rings", "shuffled", "validate"]

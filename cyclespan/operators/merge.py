@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Rounds
 from .components import connected_components
+from .local_graph import LOCAL_EDGES
 from .metrics import simple_graph_metrics, with_set_key
 
 
@@ -26,7 +27,7 @@ def overlap_clusters(records: DataFrame, scope: str | None = None) -> DataFrame:
     keyed = rounds.keep(keyed.withColumn("_node", F.concat(F.lit("s:"), prefix, F.col("set_key"))))
     ends = keyed.select(F.col("_node").alias("src"), F.explode("participants").alias("p"), *([scope] if scope else [])).distinct()
     links = ends.select("src", F.concat(F.lit("a:"), prefix, F.col("p")).alias("dst"))
-    labels = connected_components(links, keep=rounds.keep, drop=rounds.drop)
+    labels = connected_components(links, keep=rounds.keep, drop=rounds.drop, local_edges=LOCAL_EDGES)
     return keyed.join(labels.select(F.col("node").alias("_node"), F.col("component").alias("cluster")), "_node").drop("_node")
 
 

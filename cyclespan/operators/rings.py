@@ -36,7 +36,8 @@ def aggregate(records: DataFrame, strict: bool = False, instances: bool = False)
     """One row for each set of accounts. Group-level records give their greatest transactions and amount, others add up.
 
     strict: a group-level record's transactions are read from group_transactions alone, else its cycle size; by default `transactions` comes before that.
-    A set of mixed records takes the greater of the group-level ones and the others' sum.
+    A set of mixed records takes the greater of the group-level ones and the others' sum. Where records have a risk column, each counts in the mean
+    risk, a null as 0.5, and the mean is rounded to four places before anything is decided on it.
     """
     r = normalize(records).where(F.size("members") > 0)
     group_level = F.col("metrics_are_group_level")
@@ -45,10 +46,12 @@ def aggregate(records: DataFrame, strict: bool = False, instances: bool = False)
     exact = F.col("amount_of").cast("decimal(28,6)")
     best = lambda c: F.coalesce(F.max(F.when(group_level, F.col(c) if isinstance(c, str) else c)), F.lit(0))
     total = lambda c: F.coalesce(F.sum(F.when(~group_level, F.col(c) if isinstance(c, str) else c)), F.lit(0))
-    more = [F.collect_list(F.struct("participants", "cycle_size", F.col("amount_of").alias("total_amount"), "score", "density", "method", "component_id", "community_id")).alias("cycle_instances")] if instances else []
+    mean = F.sum(F.coalesce("avg_kyc_risk_score", F.lit(0.5)).cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))
+    risk = S.round_half_even(mean, 4) if "avg_kyc_risk_score" in records.columns else F.lit(None).cast("double")
+    more = [F.collect_list(F.struct("participants", "cycle_size", S.round_half_even(F.col("amount_of"), 2).alias("total_amount"), "score", "density", "method", "component_id", "community_id")).alias("cycle_instances")] if instances else []
     return r.groupBy(F.col("members").alias("participants")).agg(
         F.greatest(best("n_of"), total("n_of")).cast("long").alias("transactions"), F.greatest(best(exact), total(exact)).cast("double").alias("total_amount"), F.sum("cycles_of").alias("cycles"),
-        F.max("score").alias("score"), (F.sum(F.col("avg_kyc_risk_score").cast("decimal(28,12)")).cast("double") / F.count("avg_kyc_risk_score")).alias("avg_kyc_risk_score"), F.max("density").alias("density"),
+        F.max("score").alias("score"), risk.alias("avg_kyc_risk_score"), F.max("density").alias("density"),
         F.max("fraud_transaction_count").alias("fraud_transaction_count"), F.max("fraud_member_count").alias("fraud_member_count"), *more,
     ).withColumn("participant_count", F.size("participants")).withColumn("pattern", S.pattern_for_size(F.col("participant_count")))
 
@@ -61,7 +64,7 @@ def classify(rings: DataFrame, min_fraud_score: float = S.MIN_FRAUD_SCORE) -> Da
     some, both = (fraud_tx > 0) | (fraud_members > 0), (fraud_tx > 0) & (fraud_members > 0)
     scored = rings.withColumns(
         {
-            "fraud_score": F.bround(S.ring_score(n, tx, amount, cycles, risk, density, some), 4),
+            "fraud_score": S.round_half_even(S.ring_score(n, tx, amount, cycles, risk, density, some), 4),
             "fraud_signals": S.signals(n, tx, amount, cycles, risk, density, fraud_tx, fraud_members),
             "_kind": S.ring_kind(n, tx, amount, cycles, risk, density, both), "_proven": both & (n >= 3),
         }
@@ -97,7 +100,7 @@ def rings(records: DataFrame, prefix: str = "RING", strict: bool = False, fraud_
     out = numbered(out, [F.desc("total_amount"), F.desc("cycles"), F.desc("participant_count"), F.col("participants")], prefix)
     if source_approach:
         out = out.withColumn("source_approach", F.lit(source_approach))
-    out = out.withColumn("total_amount", F.bround("total_amount", 2))
+    out = out.withColumn("total_amount", S.round_half_even(F.col("total_amount"), 2))
     return out.select(*FIELDS, *[c for c in out.columns if c not in FIELDS and c != "_number"])
 
 

@@ -2,7 +2,8 @@
 
 Published multistep scheme (Slota et al. 2014): trim; one forward-backward search from the vertex of the largest in times out degree takes the giant
 component (Fleischer et al. 2000); colouring takes all others (Orzan 2004). Every round is a join on the edges' key with
-partial aggregates, its result is written to the shared folder, and only counts reach the driver.
+partial aggregates, its result is written to the shared folder, and only counts reach the driver. Rounds grow with the diameter, so as soon as few
+edges are left, one task solves them (local_graph). A limit of rounds ends in an error, never in labels that have not settled.
 """
 
 from __future__ import annotations
@@ -11,32 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Rounds
+from . import local_graph
 
 
-def strong_components(pairs: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 500) -> DataFrame:
+def strong_components(pairs: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 500, local_edges: int = local_graph.LOCAL_EDGES) -> DataFrame:
     """(account_id, component): component is its least account. pairs: (src, dst), self-loops allowed.
     Vertices without a partner are components of their own; without `vertices`, those are the ends of the pairs."""
     rounds = Rounds(pairs.sparkSession, "scc")
     graph = rounds.keep(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
     if vertices is None:
         vertices = graph.select(F.col("src").alias("account_id")).union(graph.select("dst")).distinct()
-    edges = _trim(rounds.keep(graph.where("src != dst")), rounds, max_rounds)
-    found = []
-    pivot = _pivot(edges)
-    if pivot is not None:
-        ahead = _reach(edges, pivot, rounds, max_rounds)
-        giant = rounds.keep(ahead.join(_reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot, rounds, max_rounds), "v", "left_semi"))
-        least = giant.agg(F.min("v")).first()[0]
-        found.append(giant.select("v", F.lit(least).alias("component")))
-        edges = _trim(rounds.keep(_without(edges, giant)), rounds, max_rounds)
-    for _ in range(max_rounds):
-        if edges.isEmpty():
+    found: list[DataFrame] = []
+    edges = graph.where("src != dst")
+    for step in (_giant, _coloured):
+        n = edges.count()
+        if n <= local_edges:
             break
-        done = _colour_round(edges, rounds, max_rounds)
-        found.append(done)
-        edges = _trim(rounds.keep(_without(edges, done)), rounds, max_rounds)
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
+        edges = step(_trim(rounds.keep(edges), n, rounds, max_rounds), found, rounds, max_rounds, local_edges)
+    if local_edges and not edges.isEmpty():
+        found.append(local_graph.solve(edges, local_graph.strong, "v", "component"))
     if not found:
         return vertices.select("account_id", F.col("account_id").alias("component"))
     labels = found[0]
@@ -46,14 +40,43 @@ def strong_components(pairs: DataFrame, vertices: DataFrame | None = None, max_r
     return out.select("account_id", F.coalesce("component", "account_id").alias("component"))
 
 
+def _giant(edges: DataFrame, found: list, rounds: Rounds, max_rounds: int, local_edges: int) -> DataFrame:
+    """The edges that are left without the component of the pivot."""
+    pivot = _pivot(edges)
+    if pivot is None:
+        return edges
+    ahead = _reach(edges, pivot, rounds, max_rounds)
+    behind = _reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot, rounds, max_rounds)
+    giant = rounds.keep(ahead.join(behind, "v", "left_semi"))
+    rounds.drop(ahead), rounds.drop(behind)
+    least = giant.agg(F.min("v")).first()[0]
+    found.append(giant.select("v", F.lit(least).alias("component")))
+    left = rounds.keep(_without(edges, giant))
+    rounds.drop(edges)
+    return left
+
+
+def _coloured(edges: DataFrame, found: list, rounds: Rounds, max_rounds: int, local_edges: int) -> DataFrame:
+    """The edges that are left, local_edges at most."""
+    for _ in range(max_rounds):
+        n = edges.count()
+        if n <= local_edges:
+            return edges
+        done = _colour_round(edges, rounds, max_rounds)
+        found.append(done)
+        left = rounds.keep(_without(edges, done))
+        rounds.drop(edges)
+        edges = _trim(left, left.count(), rounds, max_rounds)
+    raise RuntimeError(f"no end after {max_rounds} rounds")
+
+
 def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     v = gone.select("v")
     return edges.join(v.withColumnRenamed("v", "src"), "src", "left_anti").join(v.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst")
 
 
-def _trim(edges: DataFrame, rounds: Rounds, max_rounds: int) -> DataFrame:
-    """Edges without the vertices that nothing leads to or that lead nowhere, again and again while that takes a good share."""
-    n = edges.count()
+def _trim(edges: DataFrame, n: int, rounds: Rounds, max_rounds: int) -> DataFrame:
+    """The n edges without the vertices that nothing leads to or that lead nowhere, again and again while that takes a good share."""
     for _ in range(max_rounds):
         if not n:
             return edges
@@ -77,13 +100,15 @@ def _pivot(edges: DataFrame) -> str | None:
 
 def _reach(edges: DataFrame, start: str, rounds: Rounds, max_rounds: int) -> DataFrame:
     """(v): what can be reached from start."""
-    seen = front = rounds.keep(edges.sparkSession.createDataFrame([(start,)], "v string"))
+    seen = rounds.keep(edges.sparkSession.createDataFrame([(start,)], "v string"))
+    front = seen
     for _ in range(max_rounds):
         step = edges.join(front, edges["src"] == front["v"]).select(F.col("dst").alias("v")).distinct()
         front = rounds.keep(step.join(seen, "v", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = rounds.keep(seen.union(front))
+        before, seen = seen, rounds.keep(seen.union(front))
+        rounds.drop(before)
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
@@ -92,13 +117,16 @@ def _colour_round(edges: DataFrame, rounds: Rounds, max_rounds: int) -> DataFram
     vertices = edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct()
     colours = rounds.keep(vertices.withColumn("c", F.col("v")))
     for _ in range(max_rounds):
-        sent = edges.join(colours.toDF("src", "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
-        step = rounds.keep(colours.join(sent, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+        sent = edges.join(colours.select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
+        step = rounds.keep(colours.select("v", "c").join(sent, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
         moved = not step.where("moved").isEmpty()
         rounds.drop(colours)
-        colours = step.select("v", "c")
+        colours = step
         if not moved:
             break
+    else:
+        raise RuntimeError(f"colours have not settled after {max_rounds} rounds")
+    colours = colours.select("v", "c")
     same = edges.join(colours.toDF("src", "c"), "src").join(colours.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c")
     same = rounds.keep(same)
     front = seen = rounds.keep(colours.where("v = c").select("v", F.col("c").alias("component")))

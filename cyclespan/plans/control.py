@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from typing import Any
@@ -22,25 +23,24 @@ def log_line(message: str) -> None:
 
 @contextmanager
 def time_limit(spark: SparkSession, seconds: float):
-    """Jobs that start inside are cancelled after so many seconds; 0: never. It reaches all jobs of the application that were not at work before,
-    so runs with a limit go one after the other."""
+    """Jobs that this thread starts inside are cancelled after so many seconds; 0: never. They carry a tag of their own, so no other run is touched."""
     if seconds <= 0:
         yield
         return
-    sc = spark.sparkContext
-    before, over = set(sc.statusTracker().getActiveJobsIds()), threading.Event()
+    sc, over, tag = spark.sparkContext, threading.Event(), f"limit-{uuid.uuid4().hex[:12]}"
 
     def watch():
         until = time.monotonic() + seconds
         while not over.wait(max(0.2, until - time.monotonic())):
-            for job in set(sc.statusTracker().getActiveJobsIds()) - before:
-                sc._jsc.sc().cancelJob(job)
+            sc.cancelJobsWithTag(tag)
 
+    sc.addJobTag(tag)
     threading.Thread(target=watch, daemon=True).start()
     try:
         yield
     finally:
         over.set()
+        sc.removeJobTag(tag)
 
 
 @contextmanager

@@ -16,6 +16,7 @@ from ..operators import edges as E
 from ..operators import merge as M
 from ..operators import metrics as X
 from ..operators import scc as S
+from ..operators.rings import numbered
 from . import control
 from .scratch import Rounds
 
@@ -40,15 +41,30 @@ def transactions_mode(transfers: DataFrame, accounts: DataFrame, k: int, limit:
     return out.limit(limit) if limit > 0 else out
 
 
-def detect(accounts: DataFrame, transfers: DataFrame, sizes: Sequence[int] = (3, 5, 8), limit: int = 500, min_pair_transactions: int = 0, min_pair_amount: float = 0.0, min_internal_transactions: int = 0, min_total_amount: float = 0.0, merge: bool = True, mode: str = "aggregate", query_timeout: float = 0.0) -> Result:
+def graph_stats(accounts: DataFrame, transfers: DataFrame) -> dict[str, Any]:
+    """Accounts, transactions, ordered pairs, edges and density, as a summary has them."""
+    r = E.graph_stats(accounts, transfers).first()
+    return {"nodes": r["accounts"], "transactions": r["transactions"], "logical_pairs": r["logical_pairs"], "edges": r["edges"], "density": round(r["density"], 6)}
+
+
+def head(rows: DataFrame, n: int = 10) -> list[dict[str, Any]]:
+    """The first rows in their order, for a summary."""
+    return [r.asDict(recursive=True) for r in rows.limit(n).collect()]
+
+
+def _ms(since: float) -> float:
+    return round((time.perf_counter() - since) * 1000, 3)
+
+
+def detect(accounts: DataFrame, transfers: DataFrame, sizes: Sequence[int] = (3, 5, 8), limit: int = 500, min_pair_transactions: int = 0, min_pair_amount: float = 0.0, min_internal_transactions: int = 0, min_total_amount: float = 0.0, merge: bool = True, mode: str = "aggregate", query_timeout: float = 0.0, edges: DataFrame | None = None) -> Result:
+    """Cycles of the sizes, merged, with a summary. edges: the stored edge table, where there is one; else edges are made from the transfers."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark, began = transfers.sparkSession, time.perf_counter()
     rounds, sizes = Rounds(spark, "detect"), C.check_sizes(sizes)
     options = {"min_pair_transactions": min_pair_transactions, "min_pair_amount": min_pair_amount, "min_internal_transactions": min_internal_transactions, "min_total_amount": min_total_amount, "limit": limit}
-    with control.time_limit(spark, 0):
-        table = rounds.keep(E.threshold(E.edges(transfers), min_pair_transactions, min_pair_amount)) if mode == "aggregate" else None
-    parts = []
+    table = rounds.keep(E.threshold(E.edges(transfers) if edges is None else edges, min_pair_transactions, min_pair_amount)) if mode == "aggregate" else None
+    load_ms, began_detect, parts = _ms(began), time.perf_counter(), []
     for k in sizes:
         found = C.cycles(table, k, **options) if mode == "aggregate" else transactions_mode(transfers, accounts, k, **options)
         with control.time_limit(spark, query_timeout):
@@ -58,12 +74,14 @@ def detect(accounts: DataFrame, transfers: DataFrame, sizes: Sequence[int] = (3,
         raw = raw.unionByName(p, allowMissingColumns=True)
     per_size = {r["cycle_size"]: r["n_cycles"] for r in C.count_by_size(raw).collect()}
     merged = rounds.keep(M.merge_records(raw)) if merge and not raw.isEmpty() else None
+    out = M.ordered_merged(merged) if merged is not None else raw
     summary = {
-        "approach": "pair_aggregated_cycles_label_blind", "parameters": {"cycle_sizes": list(sizes), "limit_per_size": limit, "merge_overlapping": merge, "graph_mode": mode, "query_timeout_seconds": query_timeout} | {k: v for k, v in options.items() if k != "limit"},
-        "raw_result_count": sum(per_size.values()), "merged_result_count": merged.count() if merged is not None else sum(per_size.values()),
-        "results_by_cycle_size": {str(k): per_size.get(k, 0) for k in sizes}, "elapsed_ms": round((time.perf_counter() - began) * 1000, 3),
-    }
-    return Result(raw, M.ordered_merged(merged) if merged is not None else raw, summary)
+        "approach": "pair_aggregated_cycles_label_blind", "graph_stats": graph_stats(accounts, transfers),
+        "parameters": {"cycle_sizes": list(sizes), "limit_per_size": limit, "merge_overlapping": merge, "graph_mode": mode, "query_timeout_seconds": query_timeout} | {k: v for k, v in options.items() if k != "limit"},
+        "raw_result_count": sum(per_size.values()), "unique_participant_sets": raw.select(F.array_sort("participants")).distinct().count(), "merged_result_count": merged.count() if merged is not None else sum(per_size.values()),
+        "results_by_cycle_size": {str(k): per_size.get(k, 0) for k in sizes}, "load_elapsed_ms": load_ms, "detect_elapsed_ms": _ms(began_detect), "sample_results": head(out), "elapsed_ms": _ms(began),
+    }
+    return Result(raw, out, summary)
 
 
 def components(accounts: DataFrame, transfers: DataFrame, min_size: int = 3, max_size: int = 12, limit: int = 0) -> DataFrame:
@@ -95,10 +113,25 @@ def component_cycles(accounts: DataFrame, transfers: DataFrame, sizes: Sequence[
 
 
 def merged_component_cycles(raw: DataFrame, accounts: DataFrame, transfers: DataFrame, limit: int = 0) -> DataFrame:
-    out = M.merge_measured(raw, E.edges(transfers), E.nodes(accounts)).orderBy(F.desc("score"), F.desc("total_amount"), F.desc("participant_count"), "participants")
+    """Clusters by score. component_id numbers them before that, in the order of their accounts."""
+    merged = M.merge_measured(raw, E.edges(transfers), E.nodes(accounts))
+    out = numbered(merged, [F.col("participants")], "HYBRID_V02_COMPONENT", "component_id").drop("_number").orderBy(F.desc("score"), F.desc("total_amount"), F.desc("participant_count"), "participants")
     return out.limit(limit) if limit > 0 else out
 
 
+def component_summary(accounts: DataFrame, transfers: DataFrame, found: DataFrame, parameters: dict[str, Any], began: float) -> dict[str, Any]:
+    return {"approach": "strong_components_label_blind", "parameters": parameters, "graph_stats": graph_stats(accounts, transfers), "result_count": found.count(), "sample_results": head(found), "elapsed_ms": _ms(began)}
+
+
+def inner_summary(accounts: DataFrame, transfers: DataFrame, raw: DataFrame, merged: DataFrame, sizes: Sequence[int], began: float) -> dict[str, Any]:
+    per_size = {r["cycle_size"]: r["n_cycles"] for r in C.count_by_size(raw).collect()}
+    return {
+        "approach": "component_cycles_label_blind", "graph_stats": graph_stats(accounts, transfers), "parameters": {"cycle_sizes": list(sizes)}, "raw_result_count": sum(per_size.values()),
+        "unique_participant_sets": raw.select(F.array_sort("participants")).distinct().count(), "merged_result_count": merged.count(), "results_by_cycle_size": {str(k): per_size.get(k, 0) for k in sizes},
+        "sample_results": head(merged), "elapsed_ms": _ms(began),
+    }
+
+
 def baseline(transfers: DataFrame, k: int, path: str, timeout: float = 900.0, skip: bool = False) -> dict[str, Any]:
     """The unaggregated paths of one size, written as they are found; a limit gives a status instead of an error."""
     from ..sources.files import write_jsonl

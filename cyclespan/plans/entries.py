@@ -16,6 +16,7 @@ from ..operators import rings as R
 from ..operators import scc as K
 from ..sources import files, transfers
 from . import detect as D
+from .scratch import Rounds
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,20 +190,19 @@ def _(spark, d):
     return _plain(C.count_by_size(C.cycles_of(_edges(spark, d), (3, 5, 8), min_pair_transactions=2)))
 
 
-@query("j8_cycles_3_to_5", records_sql("rec", (3, 4, 5)) + "SELECT array_to_string(participants, '|') AS participants, CAST(cycle_size AS BIGINT) AS cycle_size FROM rec")
+@query("j8_cycles_3_to_8", records_sql("rec", (3, 4, 5, 6, 7, 8)) + "SELECT array_to_string(participants, '|') AS participants, CAST(cycle_size AS BIGINT) AS cycle_size FROM rec")
 def _(spark, d):
-    return _plain(C.cycles_of(_edges(spark, d), (3, 4, 5), min_pair_transactions=2).select("participants", "cycle_size"))
+    return _plain(C.cycles_of(_edges(spark, d), (3, 4, 5, 6, 7, 8), min_pair_transactions=2).select("participants", "cycle_size"))
 
 
 def _monotone_sql(k):
     return f"SELECT {participants_sql(k)} AS participants FROM ({cycle_sql(k)}) WHERE " + " AND ".join(f"a{i} < a{i + 1}" for i in range(k - 1))
 
 
-@query("j9_monotone_union", "SELECT DISTINCT participants FROM (" + " UNION ALL ".join(map(_monotone_sql, (3, 4))) + ")")
+@query("j9_monotone_union", "SELECT DISTINCT participants FROM (" + " UNION ALL ".join(map(_monotone_sql, (3, 4, 5))) + ")")
 def _(spark, d):
     e = _edges(spark, d)
-    parts = [C.cycles(e, k, monotone=True).select("participants") for k in (3, 4)]
-    return _plain(parts[0].union(parts[1]).distinct())
+    return _plain(C.cycles_of(e, (3, 4, 5), monotone=True).select("participants").distinct())
 
 
 @query("j10_triangles_by_amount", """SELECT a, b, c, total_amount, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, x_id, y_id, z_id FROM (SELECT x.src AS a, y.src AS b, z.src AS c, CAST(x.amount + y.amount + z.amount AS DOUBLE) AS total_amount, x.ts AS start_time,
@@ -240,7 +240,7 @@ def _paths_sql(k):
     return f"SELECT {j('src')} AS participants, CAST({k} AS BIGINT) AS cycle_size, {j('transaction_id')} AS transaction_ids, CAST({k} AS BIGINT) AS transactions, CAST({' + '.join(f't{i}.amount' for i in range(k))} AS DOUBLE) AS total_amount FROM t t0{joins}"
 
 
-for _k in (2, 3):
+for _k in (2, 3, 5):
 
     def _run(spark, d, k=_k):
         return _plain(C.transaction_paths(_transfers(spark, d), k))
@@ -248,9 +248,12 @@ for _k in (2, 3):
     query(f"j3_transaction_paths_k{_k}", _paths_sql(_k))(_run)
 
 
-@query("j3_path_count_k5", f"SELECT count(*) AS n_cycles, CAST(5 * sum(w) AS BIGINT) AS n_paths FROM (SELECT r0.n * r1.n * r2.n * r3.n * r4.n AS w FROM {cycle_sql(5, 2).split(' FROM ', 1)[1]})")
-def _(spark, d):
-    return C.transaction_path_count(_edges(spark, d), 5, min_pair_transactions=2)
+for _k, _pair in ((5, 0), (8, 2)):
+
+    def _run(spark, d, k=_k, pair=_pair):
+        return C.transaction_path_count(_edges(spark, d), k, min_pair_transactions=pair)
+
+    query(f"j3_path_count_k{_k}", f"SELECT count(*) AS n_cycles, CAST({_k} * coalesce(sum(w), 0) AS BIGINT) AS n_paths FROM (SELECT {' * '.join(f'r{i}.n' for i in range(_k))} AS w FROM {cycle_sql(_k, _pair).split(' FROM ', 1)[1]})")(_run)
 
 
 # Components
@@ -301,11 +304,11 @@ def _(spark, d):
 @query("a10_merged_component_cycles", _INNER + records_sql("rec0", (3, 5, 8), 0, "ie") + ", rec AS (SELECT *, row_number() OVER () AS rid FROM rec0)" + CLUSTER_SQL + """,
 grp AS (SELECT cluster, list_sort(list_distinct(flatten(list(participants)))) AS s, count(*) AS fragment_count, list_sort(list_distinct(list(cycle_size))) AS sizes FROM rec JOIN cluster USING (rid) GROUP BY cluster),
 sets AS (SELECT DISTINCT s FROM grp)""" + _MEASURES + """
-SELECT array_to_string(s, '|') AS participants, CAST(len(s) AS BIGINT) AS participant_count, fragment_count AS cycles, fragment_count, array_to_string(sizes, '|') AS candidate_cycle_sizes, transactions, total_amount, density, avg_risk, avg_activity, floor(score * 1e6 + 0.5) / 1e6 AS score FROM grp JOIN made USING (s)""", recursive=True)
+SELECT 'HYBRID_V02_COMPONENT_' || lpad(CAST(row_number() OVER (ORDER BY s) - 1 AS VARCHAR), 4, '0') AS component_id, array_to_string(s, '|') AS participants, CAST(len(s) AS BIGINT) AS participant_count, fragment_count AS cycles, fragment_count, array_to_string(sizes, '|') AS candidate_cycle_sizes, transactions, total_amount, density, avg_risk, avg_activity, floor(score * 1e6 + 0.5) / 1e6 AS score FROM grp JOIN made USING (s)""", recursive=True)
 def _(spark, d):
     a, t = transfers.load(spark, d)
     out = D.merged_component_cycles(D.component_cycles(a, t), a, t)
-    return _rounded(_plain(out.select("participants", "participant_count", "cycles", "fragment_count", "candidate_cycle_sizes", "transactions", "total_amount", "density", "avg_risk", "avg_activity", "score")), "score")
+    return _rounded(_plain(out.select("component_id", "participants", "participant_count", "cycles", "fragment_count", "candidate_cycle_sizes", "transactions", "total_amount", "density", "avg_risk", "avg_activity", "score")), "score")
 
 
 # Merging
@@ -363,6 +366,56 @@ def _(spark, d):
     return _plain(R.rings(_records(spark, d)).select("ring_id", "ring_type", "participants", "is_fraud_ring", "fraud_score", "fraud_signals"))
 
 
+_RISKS = _MODE.rsplit("SELECT participants, CAST(len(s)", 1)[0]
+_RISK_RING = _RISKS.format(r=_rotations_sql(3, 2)).rstrip() + """,
+rec AS (SELECT s, transactions AS n, total, CASE WHEN participants LIKE list_extract(s, 1) || '%' THEN NULL ELSE avg_kyc_risk_score END AS risk FROM rot JOIN flow USING (s) JOIN risk USING (s)),
+agg AS (SELECT s, len(s) AS pc, max(n)::BIGINT AS transactions, CAST(max(total) AS DOUBLE) AS total_amount, count(*) AS cycles, round_even(CAST(sum(CAST(coalesce(risk, 0.5) AS DECIMAL(28,12))) AS DOUBLE) / count(*), 4) AS avg_kyc_risk_score FROM rec GROUP BY s),
+kd AS (SELECT *, CASE WHEN avg_kyc_risk_score >= 0.65 THEN 'account_takeover' WHEN total_amount >= 1000000 OR (total_amount >= 500000 AND transactions >= pc * 4) THEN 'money_laundering' WHEN pc >= 8 OR cycles >= 5 THEN 'collusion' WHEN transactions >= pc * 3 AND total_amount < 1000000 THEN 'phishing' ELSE 'benign_cycle' END AS kind,
+  least(total_amount / 1000000, 1.0) * 0.30 + least(cycles / 5.0::DOUBLE, 1.0) * 0.20 + least(transactions / (5.0::DOUBLE * pc), 1.0) * 0.20 + avg_kyc_risk_score * 0.20 + 0.03 AS score FROM agg)
+SELECT array_to_string(s, '|') AS participants, transactions, total_amount, cycles, avg_kyc_risk_score, CASE WHEN floor(score * 1e4 + 0.5) / 1e4 >= 0.35 THEN kind ELSE 'benign_cycle' END AS ring_type FROM kd"""
+
+
+@query("a11_ring_aggregation_risk", _RISK_RING)
+def _(spark, d):
+    a, t = transfers.load(spark, d)
+    records = D.transactions_mode(t, a, 3, min_pair_transactions=2)
+    # A record whose first account is the least has no risk: it counts as 0.5.
+    unknown = F.col("participants")[0] == F.array_min("participants")
+    records = records.withColumn("avg_kyc_risk_score", F.when(~unknown, F.col("avg_kyc_risk_score"))).withColumn("total_amount", F.col("total_amount").cast("double"))
+    return _plain(R.classify(R.aggregate(records)).select("participants", "transactions", "total_amount", "cycles", "avg_kyc_risk_score", "ring_type"))
+
+
+@query("t7_sample_results", _REC + CLUSTER_SQL + """, grp AS (SELECT list_sort(list_distinct(flatten(list(participants)))) AS s, max(amt) AS amt, count(*) AS c FROM rec JOIN cluster USING (rid) GROUP BY cluster)
+SELECT array_to_string(s, '|') AS participants, CAST(amt AS DOUBLE) AS total_amount, c AS cycles FROM grp ORDER BY amt DESC, c DESC, s LIMIT 10""", recursive=True)
+def _(spark, d):
+    merged = Rounds(spark, "merged").keep(M.merge_records(_records(spark, d)))
+    return _plain(M.ordered_merged(merged).limit(10).select("participants", "total_amount", "cycles"))
+
+
+@query("t8_candidate_shuffle", " SELECT transaction_id, src, dst FROM t ORDER BY md5(transaction_id || ':42'), transaction_id LIMIT 200")
+def _(spark, d):
+    return N.shuffled(_transfers(spark, d), 42).limit(200).select("transaction_id", "src", "dst")
+
+
+@query("c17_document_scores", records_sql("rec0", (3, 5)) + ", sets AS (SELECT DISTINCT list_sort(participants) AS s FROM rec0)" + """, mem AS (SELECT s, unnest(s) AS p FROM sets),
+flow AS (SELECT x.s, sum(amt) AS amount, count(*) AS m FROM e JOIN mem x ON src = x.p JOIN mem y ON dst = y.p AND x.s = y.s GROUP BY x.s),
+nd AS (SELECT s, CAST(sum(CAST(CASE WHEN coalesce(kyc_risk_score, 0.5) = 0 THEN 0.5 ELSE coalesce(kyc_risk_score, 0.5) END AS DECIMAL(30,12))) AS DOUBLE) / count(*) AS r, sum(coalesce(monthly_transaction_count, 0))::BIGINT / count(*)::DOUBLE AS act FROM mem JOIN a ON p = account_id GROUP BY s),
+v AS (SELECT s, len(s) AS n, CAST(amount AS DOUBLE) AS amount, r, act, m / (len(s)::DOUBLE * (len(s) - 1)) AS dens FROM flow JOIN nd USING (s))
+SELECT array_to_string(s, '|') AS participants, floor(least(n * 0.2::DOUBLE + least(amount / 100000, 1.0) * 0.3 + (1 - r) * 0.2 + dens * 0.3, 1.0) * 1e6 + 0.5) / 1e6 AS cycle_score,
+  floor(least(n * 0.2::DOUBLE + (1 - r) * 0.3 + least(amount / 100000, 1.0) * 0.3 + act / 100 * 0.2, 1.0) * 1e6 + 0.5) / 1e6 AS ring_score FROM v""")
+def _(spark, d):
+    a, t = transfers.load(spark, d)
+    e = Rounds(spark, "edges").keep(E.edges(t))
+    sets = X.with_set_key(C.cycles_of(e, (3, 5), min_pair_transactions=2)).select("set_key", "participants").distinct()
+    made = sets.join(X.simple_graph_metrics(sets, e, E.nodes(a)), "set_key")
+    n = F.size("participants").cast("double")
+    scored = made.select(
+        "participants", S.document_cycle_score(n, F.col("total_amount"), F.col("avg_risk"), F.col("density")).alias("cycle_score"),
+        S.document_ring_score(n, F.col("total_amount"), F.col("avg_risk"), F.col("avg_activity")).alias("ring_score"),
+    )
+    return _rounded(_plain(scored), "cycle_score", "ring_score")
+
+
 @query("s16_ring_members", records_sql("rec0") + _RING + " SELECT 'RING_' || lpad(CAST(i AS VARCHAR), 4, '0') AS ring_id, CAST(unnest(range(len(s))) AS BIGINT) AS position, unnest(s) AS account_id FROM (SELECT * FROM rg ORDER BY floor(score * 1e4 + 0.5) / 1e4 DESC, i LIMIT 500)")
 def _(spark, d):
     return _plain(R.ring_tables(R.rings(_records(spark, d)))[1])
@@ -415,22 +468,55 @@ def _(spark, d):
     return G.triangle_counts(_transfers(spark, d).select("src", "dst"))
 
 
-@query("g7_shortest_path", """, sp AS (SELECT 'ACC_00000000' AS v, ['ACC_00000000'] AS path, CAST(0 AS DECIMAL(38,2)) AS cost, 0 AS hops UNION ALL
-  SELECT e.dst, list_append(path, e.dst), CAST(cost + amt AS DECIMAL(38,2)), hops + 1 FROM sp JOIN e ON e.src = sp.v WHERE hops < 3 AND NOT list_contains(path, e.dst))
-SELECT array_to_string(path, '|') AS path, CAST(cost AS DOUBLE) AS cost FROM sp WHERE v = 'ACC_00000002' ORDER BY sp.cost, sp.path LIMIT 1""", recursive=True)
+#: Rounds that the SQL of iterative queries writes out. The queries themselves go on until nothing changes.
+ROUNDS = 48
+
+
+def _path_sql(source: str, target: str) -> str:
+    """Relaxation, round by round: the cheapest path to each account, of equally cheap ones the least."""
+    out = f", b0 AS (SELECT '{source}' AS v, {{'cost': CAST(0 AS DECIMAL(38,2)), 'path': ['{source}']}} AS m)"
+    for i in range(1, ROUNDS + 1):
+        out += f""", b{i} AS MATERIALIZED (SELECT v, min(m) AS m FROM (SELECT v, m FROM b{i - 1} UNION ALL
+  SELECT e.dst, {{'cost': CAST(m.cost + amt AS DECIMAL(38,2)), 'path': list_append(m.path, e.dst)}} FROM b{i - 1} JOIN e ON e.src = v) GROUP BY v)"""
+    return out + f" SELECT array_to_string(m.path, '|') AS path, CAST(m.cost AS DOUBLE) AS cost FROM b{ROUNDS} WHERE v = '{target}'"
+
+
+@query("g7_shortest_path", _path_sql("ACC_00000000", "ACC_00000002"))
 def _(spark, d):
     return _plain(G.shortest_path(_edges(spark, d), "ACC_00000000", "ACC_00000002"))
 
 
-@query("g4_communities")
+def _communities_sql() -> str:
+    out = """, w AS MATERIALIZED (SELECT src, dst, sum(n) AS w FROM (SELECT src, dst, n FROM e UNION ALL SELECT dst, src, n FROM e) GROUP BY src, dst), l0 AS (SELECT DISTINCT src AS v, src AS c FROM w)"""
+    for r in range(ROUNDS):
+        out += f""", l{r + 1} AS MATERIALIZED (SELECT v, CASE WHEN substr(md5(v || ':{r}'), 1, 1) < '8' THEN near ELSE c END AS c FROM (
+  SELECT x.v, y.c, x.near, row_number() OVER (PARTITION BY x.v ORDER BY x.w DESC, x.near <> y.c, x.near) AS place FROM (SELECT dst AS v, c AS near, sum(w) AS w FROM w JOIN l{r} ON src = v GROUP BY dst, c) x JOIN l{r} y USING (v)) WHERE place = 1)"""
+    return out + f" SELECT v AS account_id, c AS community FROM l{ROUNDS}"
+
+
+@query("g4_communities", _communities_sql())
 def _(spark, d):
-    return G.communities(_edges(spark, d), 5)
+    return G.communities(_edges(spark, d))
+
 
+_BETWEEN = """, n AS MATERIALIZED (SELECT CAST(substr(account_id, 5) AS INTEGER) AS i, account_id FROM a),
+q AS MATERIALIZED (SELECT DISTINCT CAST(substr(src, 5) AS INTEGER) AS src, CAST(substr(dst, 5) AS INTEGER) AS dst FROM t WHERE src <> dst),
+walk(s, v, lvl) AS (SELECT i, i, 0 FROM n UNION SELECT walk.s, q.dst, walk.lvl + 1 FROM walk JOIN q ON q.src = walk.v WHERE walk.lvl < 14),
+lv AS MATERIALIZED (SELECT s, v, min(lvl) AS lvl FROM walk GROUP BY s, v),
+fw AS (SELECT i AS s, i AS v, 0 AS lvl, 1.0::DOUBLE AS paths FROM n UNION ALL
+  SELECT fw.s, q.dst, fw.lvl + 1, sum(fw.paths) FROM fw JOIN q ON q.src = fw.v JOIN lv ON lv.s = fw.s AND lv.v = q.dst AND lv.lvl = fw.lvl + 1 GROUP BY fw.s, q.dst, fw.lvl),
+fm AS MATERIALIZED (SELECT * FROM fw),
+bk AS (SELECT s, v, lvl, paths, 0.0::DOUBLE AS dep FROM fm WHERE lvl = (SELECT max(lvl) FROM fm) UNION ALL
+  (SELECT x.s, x.v, x.lvl, x.paths, coalesce(y.dep, 0.0) FROM fm x LEFT JOIN
+    (SELECT h.s, h.v, sum(h.paths / bk.paths * (1 + bk.dep)) AS dep FROM bk JOIN q ON q.dst = bk.v JOIN fm h ON h.s = bk.s AND h.v = q.src AND h.lvl = bk.lvl - 1 GROUP BY h.s, h.v) y ON y.s = x.s AND y.v = x.v
+   WHERE x.lvl = (SELECT min(lvl) FROM bk) - 1))
+SELECT account_id, score FROM (SELECT v, floor(sum(dep) * 1e6 + 0.5) / 1e6 AS score FROM bk WHERE s <> v GROUP BY v HAVING sum(dep) > 0) JOIN n ON i = v ORDER BY score DESC, account_id LIMIT 50"""
 
-@query("g5_betweenness")
+
+@query("g5_betweenness", _BETWEEN, recursive=True)
 def _(spark, d):
     a, t = transfers.load(spark, d)
-    return G.betweenness(E.pairs(t), a.where("account_id < 'ACC_00000016'"))
+    return _rounded(G.betweenness(E.pairs(t), E.account_ids(a)), "score")
 
 
 @query("j8_detect_summary", records_sql("rec") + "SELECT count(*) AS raw_result_count, count(DISTINCT list_sort(participants)) AS unique_sets, CAST(sum(n) AS BIGINT) AS transactions, CAST(sum(amt) AS DOUBLE) AS total_amount FROM rec")
@@ -447,7 +533,10 @@ def _(spark, d):
     return N.generate(spark, "academic")["transactions"]
 
 
-@query("n7_generator_checks")
+_CHECKS = ("no_duplicate_ids", "valid_amounts", "valid_timestamps", "fraud_label_consistency", "ring_structure_valid", "distribution_check", "known_accounts")
+
+
+@query("n7_generator_checks", " SELECT unnest([" + ", ".join(f"'{c}'" for c in _CHECKS) + "]) AS check_name, true AS passed, CAST(0 AS BIGINT) AS n_bad")
 def _(spark, d):
     return N.validate(N.generate(spark, "academic"), N.PRESETS["academic"])
 
@@ -457,7 +546,7 @@ def _(spark, d):
     return spark.createDataFrame([(k, c.background, c.ring_accounts, c.bridges) for k, c in sorted(N.PRESETS.items())], "name string, background long, ring_accounts long, bridges long")
 
 
-@query("n4_bridges")
+@query("n4_bridges", " SELECT 'background_bridge' AS transaction_type, 0 AS is_fraud, CAST(2 * 45 AS BIGINT) AS n")
 def _(spark, d):
     t = N.generate(spark, "academic")["transactions"]
     return t.where("transaction_type = 'background_bridge'").groupBy("transaction_type", "is_fraud").agg(F.count("*").alias("n"))
