@@ -33,10 +33,11 @@ from . import common
 BINS = 1 << 18
 MAX_LABELLED = 20_000
 ROUNDS = 2
-#: Probability of being bad from which a view's judgement becomes a pseudo-label; it is sure of a good document where the probability is below the share of bad ones.
-SURE_BAD = 0.95
+#: Probabilities of being bad from which, and up to which, a view's judgement becomes a pseudo-label. A view that can't see a kind of bad document knows from its
+#: calibration that some are left among those that look good, so it is seldom sure of these.
+SURE_BAD, SURE_GOOD = 0.95, 0.05
 #: Weight of all pseudo-labels of a class, in labels of that class, at most.
-PSEUDO_SHARE = 0.5
+PSEUDO_SHARE = 0.25
 REJECT = 0.5
 #: Documents that a feature needs to count.
 LEAST_DOCS = 4
@@ -120,12 +121,17 @@ class Logistic:
         self.w = np.zeros(z.shape[1])
         self.w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         ridge = np.r_[np.full(z.shape[1] - 1, 0.5), 1e-6]
+        loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 0.5 * (ridge * w * w)[:-1].sum()
+        now = loss(self.w)
         for _ in range(80):
             p = _probability(np.clip(z @ self.w, -30, 30))
             step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge), z.T @ (p - y) + ridge * np.r_[self.w[:-1], 0.0])
-            self.w -= np.clip(step, -2, 2)
+            # A step that overshoots is halved until the loss falls.
+            while np.abs(step).max() >= 1e-8 and (after := loss(self.w - step)) > now:
+                step = step / 2
             if np.abs(step).max() < 1e-8:
                 break
+            self.w, now = self.w - step, after
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale @ self.w[:-1] + self.w[-1], -30, 30)
@@ -224,7 +230,7 @@ def _pseudo(rows: DataFrame, model: Model) -> DataFrame:
             x = _lists(common.column(batch, "content")), _lists(common.column(batch, "metadata"))
             p = [_probability(o) for o in model.views(x)]
             for view, other in ((0, 1), (1, 0)):
-                for c, sure in ((0, p[other] <= model.share), (1, p[other] >= SURE_BAD)):
+                for c, sure in ((0, p[other] <= SURE_GOOD), (1, p[other] >= SURE_BAD)):
                     own = [r for r, s in zip(x[view], sure) if s]
                     if own:
                         n[view, c, 1:] += np.bincount(np.concatenate(own), minlength=BINS)

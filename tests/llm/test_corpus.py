@@ -242,7 +242,7 @@ def test_pseudo_labels_like_brute_force(spark):
     want = {}
     for view, other in ((0, 1), (1, 0)):
         for i, r in enumerate(x[view]):
-            for c, sure in ((0, p[other][i] <= first.share), (1, p[other][i] >= quality.SURE_BAD)):
+            for c, sure in ((0, p[other][i] <= quality.SURE_GOOD), (1, p[other][i] >= quality.SURE_BAD)):
                 if sure:
                     for b in [-1, *r.tolist()]:
                         want.setdefault((view, b), [0, 0])[c] += 1
