@@ -1,11 +1,14 @@
 """Secret scans: three base patterns, and an assignment-aware lexer that adds literals of sensitive names.
 
 The lexer parses source and configuration syntax (name = "x", name: x, "name": "x", name => x, NAME=x, keyword
-arguments, <name>x</name>) into tokens and name-literal pairs, joins adjacent or +-concatenated literals, and propagates
+arguments, <name>x</name>) into tokens and name-literal pairs, joins adjacent or +-concatenated literals (in parentheses over several lines), and propagates
 constants: a name bound to a literal, or to a name so bound, carries that literal to the names it is assigned to. A
 literal's score is the sensitivity of the most sensitive name it reaches plus marks for length, mixed character
 classes and entropy; at MIN_SCORE its span is reported as kind `literal`. Base spans always stay.
 
+A text with a part of a sensitive name in it is lexed whole, so comments hide what they hold however far above they began. An
+unquoted value is a constant's name if the text binds it, else the literal itself.
+
 Spans are start:end in code points, end exclusive; of a base match the whole match. The SHA-256 is of the joined base
 spans (of the empty string where there is none).
 
@@ -37,15 +40,14 @@ KINDS = ("assign", "access", "hex", "literal")
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 2.5, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api_key": 3.0, "access_key": 3.0, "private_key": 3.0, "credential": 2.5, "auth": 1.5, "signing_key": 3.0, "encryption_key": 3.0}
 MIN_SCORE = 4.0
 MIN_LENGTH = 8
-_SIGN = re.compile("[=:]")
-_OPEN = re.compile(r"[=:+({\[,\\]\x20*\r?$")
 _TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*|\#[^\n]*|/\*.{0,4000}?\*/)"""
-    r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r"""(?P<comment>(?<!:)//[^\n]*|(?<!\S)\#[^\n]*)|(?P<open>/\*)"""
+    r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|(?<![A-Za-z0-9])'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
     r"""|(?P<op>=>|:=|==|!=|<=|>=|[=:+,;(){}\[\]<>])"""
-    r"""|(?P<word>[A-Za-z0-9_$./+@%&*~!?-]+)|(?P<nl>\n)""",
+    r"""|(?P<word>(?:[A-Za-z0-9_$.+@%&*~!?-]|/(?![/*]))+)|(?P<nl>\n)""",
     re.S,
 )
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
 #: Parts of sensitive names as they may be written, for a first look at a text.
 _PARTS = tuple(sorted({p for part in SENSITIVE for p in (part, part.replace("_", ""), part.replace("_", "-"))}))
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*$")
@@ -71,19 +73,58 @@ def strength(value: str) -> float:
 
 
 def lex(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, text, start, end) of each token; a string's span and text leave out its quotes."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        kind, a, b = m.lastgroup, m.start(), m.end()
-        if kind == "comment":
-            continue
-        out.append((kind, m[0][1:-1], a + 1, b - 1) if kind == "string" else (kind, m[0], a, b))
+    """(kind, text, start, end) of each token outside comments; a string's span and text leave out its quotes."""
+    out, at, closed, search = [], 0, True, _TOKEN.search
+    while m := search(text, at):
+        kind, a, at = m.lastgroup, m.start(), m.end()
+        if kind == "open":
+            # One that is never closed is no comment, and then none behind it is closed either.
+            end = text.find("*/", at) if closed else -1
+            closed = end >= 0
+            at = end + 2 if closed else at
+        elif kind == "string":
+            out.append((kind, text[a + 1 : at - 1], a + 1, at - 1))
+        elif kind != "comment":
+            out.append((kind, m[0], a, at))
     return out
 
 
+def _value(tokens: list[tuple[str, str, int, int]], j: int) -> tuple[list[tuple], str | None]:
+    """(literal tokens, source name) of the value that begins at token j. An unquoted word may be either."""
+    n, depth, parts = len(tokens), 0, []
+
+    def after(j: int, lines: bool) -> int:
+        while lines and j < n and tokens[j][0] == "nl":
+            j += 1
+        return j
+
+    # A string may stand on the next line; parentheses may hold several lines.
+    k = after(j, True)
+    if k < n and tokens[k][0] == "string":
+        j = k
+    while j < n and tokens[j][:2] == ("op", "("):
+        depth, j = depth + 1, after(j + 1, True)
+    while j < n:
+        kind, t, *_ = tokens[j]
+        if kind == "string":
+            parts.append(tokens[j])
+        elif kind == "word" and not parts:
+            named = bool(_NAME.match(t))
+            ends = j + 1 == n or tokens[j + 1][0] == "nl"
+            return [tokens[j]] if not named or ends or re.search(r"\d", t) else [], t if named else None
+        else:
+            break
+        j = after(j + 1, depth > 0)
+        if j < n and tokens[j][:2] == ("op", "+"):
+            j = after(j + 1, True)
+        elif j >= n or tokens[j][0] != "string":
+            break
+    return parts, None
+
+
 def pairs(tokens: list[tuple[str, str, int, int]]) -> list[tuple[str, list[tuple], str | None]]:
     """(target name, literal tokens, source name): one for each assignment; a source name stands for a constant."""
-    out, n = [], len(tokens)
+    out = []
     for i, (kind, op, *_) in enumerate(tokens):
         if kind != "op" or op not in ("=", ":", ":=", "=>") or not i:
             continue
@@ -92,65 +133,38 @@ def pairs(tokens: list[tuple[str, str, int, int]]) -> list[tuple[str, list[tuple
             if not (name[0] == "op" and name[1] == "]" and i >= 3 and tokens[i - 2][0] == "string"):
                 continue
             name = tokens[i - 2]  # config["name"] = ...
-        j, parts, source = i + 1, [], None
-        while j < n:
-            k, t, *_ = tokens[j]
-            if k == "string":
-                parts.append(tokens[j])
-            elif k == "word" and not parts:
-                if _NAME.match(t) and not re.search(r"\d", t):
-                    source = t
-                    # an unquoted value that ends its line may be the literal itself (.env, YAML, INI)
-                    if j + 1 == n or tokens[j + 1][0] == "nl":
-                        parts.append(tokens[j])
-                else:
-                    parts.append(tokens[j])
-                break
-            else:
-                break
-            if j + 1 < n and tokens[j + 1][:2] == ("op", "+"):
-                j += 2
-            elif j + 1 < n and tokens[j + 1][0] == "string":
-                j += 1
-            else:
-                break
+        parts, source = _value(tokens, i + 1)
         if parts or source:
             out.append((name[1], parts, source))
     return out
 
 
-def statements(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines that hold an assignment sign, with the lines that an open one runs on to."""
-    out, n = [], len(text)
-    for m in _SIGN.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.end())
-        while 0 <= b < n - 1 and _OPEN.search(text, max(a, b - 80), b):
-            b = text.find("\n", b + 1)
-        out.append((a, n if b < 0 else b + 1))
+def elements(text: str) -> list[tuple[str, list[tuple], None]]:
+    """As pairs: the elements <name>x</name> that hold no others."""
+    out = []
+    for m in _ELEMENT.finditer(text):
+        value = m[2].strip()
+        if value:
+            a = m.start(2) + m[2].index(value)
+            out.append((m[1], [("string", value, a, a + len(value))], None))
     return out
 
 
 def literals(text: str) -> set[tuple[int, int]]:
     """Spans of literals whose score reaches MIN_SCORE."""
-    found = [p for a, b in statements(text) for p in pairs([(k, t, a + x, a + y) for k, t, x, y in lex(text[a:b])])]
-    bound: dict[str, list[int]] = {}
-    for at, (name, parts, _) in enumerate(found):
-        if parts:
-            bound.setdefault(name, []).append(at)
+    found = pairs(lex(text)) + (elements(text) if "</" in text else [])
+    bound = {name for name, parts, _ in found if parts}
+    # An unquoted word that the text binds elsewhere is that constant; one that it doesn't is a literal or nothing.
+    found = [(name, [] if source in bound and source != name else parts, source if source in bound else None) for name, parts, source in found]
     # From each target, along names bound to names, to the literal: the best sensitivity seen on the way.
     best = [sensitivity(name) for name, *_ in found]
     uses: dict[str, float] = {}
+    by_name: dict[str, list[str]] = {}
     for (name, _, source), s in zip(found, best):
         if source:
             uses[source] = max(uses.get(source, 0.0), s)
-    pending = [x for x, s in uses.items() if s > 0]
-    by_name: dict[str, list[str]] = {}
-    for name, _, source in found:
-        if source:
             by_name.setdefault(name, []).append(source)
+    pending = [x for x, s in uses.items() if s > 0]
     while pending:
         name = pending.pop()
         for source in by_name.get(name, ()):
@@ -160,8 +174,10 @@ def literals(text: str) -> set[tuple[int, int]]:
     out = set()
     for (name, parts, _), own in zip(found, best):
         s = max(own, uses.get(name, 0.0))
-        if parts and s > 0 and s + strength("".join(p[1] for p in parts)) >= MIN_SCORE and strength("".join(p[1] for p in parts)) > 0:
-            out.update((p[2], p[3]) for p in parts if p[3] > p[2])
+        if parts and s > 0:
+            held = strength("".join(p[1] for p in parts))
+            if held > 0 and s + held >= MIN_SCORE:
+                out.update((p[2], p[3]) for p in parts if p[3] > p[2])
     return out
 
 

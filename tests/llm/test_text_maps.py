@@ -150,6 +150,13 @@ def test_base_spans(spark):
         ('config["private_key"] = "q8Zr44TtPp1x"', "q8Zr44TtPp1x"),
         ("connect(user='bob', passphrase='q8Zr44TtPp1x')", "q8Zr44TtPp1x"),
         ("DB_PWD=q8Zr44TtPp1x\n", "q8Zr44TtPp1x"),
+        ('key1 = "q8Zr44TtPp1x"\npassword = key1', "q8Zr44TtPp1x"),
+        ("password = q8Zr44TtPp1x", "q8Zr44TtPp1x"),
+        ("<config><password>Ab3xY9kq</password></config>", "Ab3xY9kq"),
+        ('<secret id="x"> Ab3xY9kq </secret>', "Ab3xY9kq"),
+        ('{"apiKey":\n  "Zx81kkQ9aa02"}', "Zx81kkQ9aa02"),
+        ("don't say: secret_key = 'Zx81kkQ9aa02'", "Zx81kkQ9aa02"),
+        ('/* never closed\nauth_token = "Zx81kkQ9aa02"', "Zx81kkQ9aa02"),
     ],
 )
 def test_literals_of_sensitive_names(text, literal):
@@ -157,6 +164,27 @@ def test_literals_of_sensitive_names(text, literal):
     assert found == {literal}
 
 
+def test_parts_of_a_literal():
+    text = "private_key = (\n  'Zx81kkQ9'\n  'aa02Bb77'\n)\n" + 'signing_key = "q8Zr44Tt" +\n  "Pp1xYy02"'
+    assert {text[a:b] for a, b in secrets.literals(text)} == {"Zx81kkQ9", "aa02Bb77", "q8Zr44Tt", "Pp1xYy02"}
+
+
+def test_comments_hide_literals_however_long():
+    inside = 'password = "Zx81kkQ9aa02"'
+    for text in (f"/*{'x ' * 5000}\n{inside}\n{'y ' * 5000}*/", f"// {inside}", f"# {inside}", f"/*\n * {inside}\n */"):
+        assert not secrets.literals(text), text[:50]
+        assert len(secrets.literals(text + "\n" + inside)) == 1
+
+
+def test_lexing_is_linear():
+    import time
+
+    for text in ("/* " * 300_000, "'" * 300_000, 'a = "' * 100_000, "<a>" * 200_000, "password = (" * 60_000):
+        began = time.process_time()
+        secrets.literals(text + " secret")
+        assert time.process_time() - began < 20
+
+
 def test_harmless_literals():
     for text in ('name = "Zx81kkQ9aa02"', 'password = "changeme"', 'secret = os.environ["X"]', "the token: a word", 'author = "Mary Smith"'):
         assert not secrets.literals(text), text
