@@ -16,6 +16,7 @@ from cyclespan.operators import metrics as X
 from cyclespan.operators import rings as R
 from cyclespan.operators import scc as K
 from cyclespan.plans import detect as D
+from cyclespan.sources import edge_store
 from cyclespan.sources import transfers as T
 
 FLOWS = [("A", "B", 10), ("A", "B", 20), ("B", "C", 5), ("C", "A", 1), ("C", "A", 2), ("C", "A", 3), ("A", "C", 7), ("A", "A", 100)]
@@ -176,6 +177,36 @@ def test_long_path_components(spark):
     assert {r.component for r in CC.connected_components(pairs).collect()} == {"0000"}
 
 
+@pytest.mark.parametrize("local", [0, 30, 1 << 20])
+def test_components_by_rounds_and_in_one_task(spark, local):
+    # A ring longer than a limit of rounds would allow, a dense group, a path: the same labels however the work ends.
+    ring, group = [f"R{i:02d}" for i in range(24)], [f"G{i}" for i in range(6)]
+    rows = [(ring[i], ring[(i + 1) % 24]) for i in range(24)] + [(x, y) for x in group for y in group] + [("G0", "R00"), ("R05", "P0"), ("P0", "P1"), ("S", "S")]
+    pairs = spark.createDataFrame(rows, "src string, dst string")
+    got = {r.account_id: r.component for r in K.strong_components(pairs, local_edges=local).collect()}
+    assert got == {x: "R00" for x in ring} | {x: "G0" for x in group} | {x: x for x in ("P0", "P1", "S")}
+    weak = {r.node: r.component for r in CC.connected_components(pairs, local_edges=local).collect()}
+    assert weak == {x: "G0" for x in ring + group + ["P0", "P1"]}
+
+
+def test_rounds_never_end_unsettled(spark):
+    rows = [(f"R{i:02d}", f"R{(i + 1) % 24:02d}") for i in range(24)] + [(f"G{i}", f"G{j}") for i in range(6) for j in range(6)]
+    pairs = spark.createDataFrame(rows, "src string, dst string")
+    with pytest.raises(RuntimeError):
+        K.strong_components(pairs, max_rounds=8, local_edges=0)
+    with pytest.raises(RuntimeError):
+        G.shortest_path(E.edges(moves(spark, [(f"V{i}", f"V{i + 1}", 1) for i in range(9)])), "V0", "V9", max_rounds=5)
+
+
+def test_long_paths_and_rings(spark):
+    name = lambda i: f"V{i:05d}"
+    path = [(name(i), name(i + 1)) for i in range(10_000)]
+    one = spark.createDataFrame(path, "src string, dst string")
+    assert K.strong_components(one).where("account_id != component").count() == 0
+    ring = spark.createDataFrame([*path, (name(10_000), name(0))], "src string, dst string")
+    assert {r.component for r in K.strong_components(ring).collect()} == {name(0)}
+
+
 def test_extras(spark):
     t = moves(spark, [("A", "B", 1), ("B", "C", 1), ("A", "C", 5), ("C", "D", 1), ("D", "D", 3)])
     assert {r.account_id: r.triangles for r in G.triangle_counts(E.pairs(t)).collect()} == {"A": 1, "B": 1, "C": 1}
@@ -184,7 +215,10 @@ def test_extras(spark):
     assert G.shortest_path(E.edges(t), "D", "A").count() == 0
     sources = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "account_id string")
     assert {r.account_id: r.score for r in G.betweenness(E.pairs(t), sources).collect()} == {"C": 2.0}
-    assert G.communities(E.edges(t), 3).count() == 4
+    two = [(x, y, 1) for g in ("ABCD", "WXYZ") for x in g for y in g if x != y] + [("A", "W", 1)]
+    found = {r.account_id: r.community for r in G.communities(E.edges(moves(spark, two))).collect()}
+    assert len({found[x] for x in "ABCD"}) == 1 and len({found[x] for x in "WXYZ"}) == 1 and found["A"] != found["W"]
+    assert G.communities(E.edges(t)).count() == 4
 
 
 def test_upsert(spark):
@@ -196,6 +230,42 @@ def test_upsert(spark):
         E.page(spark.createDataFrame([("A",)], "account_id string"), "", 0)
 
 
+def test_half_even_rounding_of_binary_values(spark):
+    rng = random.Random(3)
+    xs = [0.64995, 0.48145, 2.5, 0.5, 1.005, 2.675, 1e-9, 0.0, 123456.78905, 1e17] + [round(rng.random() * 10, 5) for _ in range(3000)] + [rng.randrange(10**6) * 5e-5 for _ in range(3000)]
+    df = spark.createDataFrame([(float(x), -float(x)) for x in xs], "x double, y double")
+    for places in (2, 4):
+        got = df.select("x", S.round_half_even(F.col("x"), places).alias("a"), S.round_half_even(F.col("y"), places).alias("b")).collect()
+        assert all(r.a == round(r.x, places) and r.b == -round(r.x, places) for r in got)
+
+
+def test_mean_risk_of_rings(spark):
+    cols = "participants array<string>, cycle_size int, transactions long, total_amount double, cycles long, metrics_are_group_level boolean, avg_kyc_risk_score double"
+    df = spark.createDataFrame([(list("ABC"), 3, 1, 1.0, 1, True, 0.7999), (list("BCA"), 3, 1, 1.0, 1, True, None), (list("XYZ"), 3, 1, 1.0, 1, True, 0.64996)], cols)
+    got = {"".join(r.participants): r for r in R.rings(df, instances=True).collect()}
+    # A null counts as 0.5; 0.64996 is rounded before it is compared with the limit.
+    assert got["ABC"].avg_kyc_risk_score == 0.65 and got["ABC"].cycles == 2 and "high_average_kyc_risk" in got["ABC"].fraud_signals
+    assert got["XYZ"].avg_kyc_risk_score == 0.65 and "high_average_kyc_risk" in got["XYZ"].fraud_signals
+
+
+def test_stored_edges(spark, tmp_path):
+    path = f"file://{tmp_path}/edges"
+    first, more = moves(spark, [("A", "B", 1), ("B", "C", 2), ("A", "A", 9)]), moves(spark, [("A", "B", 5), ("X", "Y", 1)])
+    held = lambda: {(r.src, r.dst): float(r.total_amount) for r in edge_store.load(spark, path).collect()}
+    assert edge_store.prepare(first, path, parts_at_once=7) == 2 and held() == {("A", "B"): 1.0, ("B", "C"): 2.0}
+    assert edge_store.load(spark, path).dtypes == E.edges(first).dtypes
+    assert edge_store.prepare(more, path, rebuild=False, parts_at_once=10) == 2 and held() == {("A", "B"): 5.0, ("B", "C"): 2.0, ("X", "Y"): 1.0}
+    assert edge_store.prepare(more, path) == 2 and held() == {("A", "B"): 5.0, ("X", "Y"): 1.0}
+    with pytest.raises(ValueError):
+        edge_store.prepare(more, path, parts_at_once=0)
+
+
+def test_document_scores(spark):
+    c = spark.createDataFrame([(3, 50_000.0, 0.5, 0.5, 10.0)], "n int, a double, r double, d double, t double")
+    got = c.select(S.document_cycle_score(F.col("n"), F.col("a"), F.col("r"), F.col("d")).alias("x"), S.document_ring_score(F.col("n"), F.col("a"), F.col("r"), F.col("t")).alias("y")).first()
+    assert (round(got.x, 9), round(got.y, 9)) == (1.0, 0.92)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("3.7", "x"), (" 12 ", "nan"), (None, "2.5")], "a string, b string")
     got = [(r.n, r.x) for r in df.select(S.as_long(F.col("a"), -1).alias("n"), S.as_double(F.col("b"), -1.0).alias("x")).collect()]

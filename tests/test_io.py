@@ -90,6 +90,15 @@ def test_control(spark):
     assert control.guarded(spark, lambda: 1, skip=True)["status"] == control.BY_FLAG
     slow = spark.range(0, 10**11, 1, 4).selectExpr("sum(hash(id))")
     assert control.guarded(spark, slow.collect, 1.0)["status"] == control.SKIPPED
+    # A limit reaches its own jobs only.
+    import threading
+
+    other = threading.Thread(target=lambda: done.append(spark.range(0, 2 * 10**9, 1, 4).selectExpr("sum(hash(id))").collect()))
+    done: list = []
+    other.start()
+    assert control.guarded(spark, slow.collect, 0.5)["status"] == control.SKIPPED
+    other.join()
+    assert len(done) == 1
     with pytest.raises(ZeroDivisionError):
         control.guarded(spark, lambda: 1 / 0)
     assert "Physical Plan" in control.plan_text(spark.range(3))
@@ -105,9 +114,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["fragmentation", "--raw-jsonl", str(tmp_path / "raw")], spark) == 0
     assert json.loads(capsys.readouterr().out)["total"]["raw_cycles"] == s["raw_result_count"]
     assert cli.main(["rings", "--raw-jsonl", str(tmp_path / "raw"), "--out", str(tmp_path / "rings")], spark) == 0
+    store = ["--edge-table", f"file://{tmp_path}/edges"]
+    capsys.readouterr()
+    assert cli.main(["detect", *base, *store, "--aggregate-batch-size", "16"], spark) == 0
+    own = json.loads(capsys.readouterr().out)
+    assert cli.main(["detect", *base, *store, "--prepare-aggregates", "--keep-existing-aggregates"], spark) == 0
+    again = json.loads(capsys.readouterr().out)
+    for key in ("results_by_cycle_size", "unique_participant_sets", "graph_stats", "sample_results"):
+        assert s[key] == own[key] == again[key]
+    assert len(s["sample_results"]) <= 10 and s["load_elapsed_ms"] + s["detect_elapsed_ms"] <= s["elapsed_ms"] + 1
     assert cli.main(["components", *base], spark) == 0
+    assert json.loads(capsys.readouterr().out)["result_count"] >= 1
+    assert cli.main(["inner", *base], spark) == 0
+    assert "unique_participant_sets" in json.loads(capsys.readouterr().out)
     assert cli.main(["baseline", *base, "--cycle-sizes", "3", "--raw-out", str(tmp_path / "paths")], spark) == 0
-    assert cli.main(["detect", *base, "--dry-run", "--cycle-sizes", "3"], spark) == 0
+    for command in ("detect", "components", "inner", "baseline"):
+        capsys.readouterr()
+        assert cli.main([command, *base, "--dry-run", "--cycle-sizes", "3"], spark) == 0
+        out = capsys.readouterr().out
+        assert "Physical Plan" in out and out.startswith("-- ")
     assert cli.sizes("8,3,3") == (3, 8)
 
 
