@@ -334,15 +334,18 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(extracted, labels))
     scratch.drop(extracted)
 
+    # Places for names, which may be any.
+    at = {c.lower(): i for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+
     def make():
         seen, model = Beginnings(), sent.value
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            have = {c.lower(): c for c in batch.schema.names}
             none = pa.nulls(batch.num_rows)
-            view = pa.RecordBatch.from_arrays([common.column(batch, have[c]) if c in have else none for c in ("text", "lang", "source", "n_chars")], ["text", "lang", "source", "n_chars"])
+            view = pa.RecordBatch.from_arrays([batch.column(at[c]) if c in at else none for c in ("text", "lang", "source", "n_chars")], ["text", "lang", "source", "n_chars"])
             return batch.filter(pa.array(model.bad(features(view, seen))[2] < REJECT))
 
         return f
 
-    return common.map_slices(docs, make, docs.schema)
+    return common.map_slices(plain, make, plain.schema, column=f"_{at['text']}").toDF(*docs.columns)

@@ -50,16 +50,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): one row for each row of docs, fp the fingerprint as a signed long."""
+    """(id, th, fp): one row for each row of docs, th the text's XXH64, fp the fingerprint as a signed long."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             fp = np.array([fingerprint(t, shingle) for t in common.utf8(batch)], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([common.column(batch, "id"), pa.array(fp)], ["id", "fp"])
+            return pa.RecordBatch.from_arrays([common.column(batch, "id"), common.column(batch, "th"), pa.array(fp)], ["id", "th", "fp"])
 
         return f
 
-    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, "id long, fp long")
+    text = common.text_of(text_col)
+    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")), make, "id long, th long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS, seed: int = 7) -> list[int]:
@@ -132,7 +133,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, in_task: int = BUCKET_IN_TASK)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id): the smallest id reachable over links of at most `radius` differing bits."""
+    """(id, th, fp, group, component_id): the component, and the smallest id in it, over links of at most `radius` differing bits."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "simhash")
     fps = scratch.keep(fingerprints(docs, id_col, text_col, shingle))
@@ -142,8 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep=scratch.keep, drop=scratch.drop)
     member = nodes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = member.join(least, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("id", "fp", "component_id")
+    classes = member.join(least, "component").select("fp", F.col("component").alias("group"), "component_id")
+    return fps.join(classes, "fp").select("id", "th", "fp", "group", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -157,14 +158,16 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 
 
 def heads_of(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """The rows of docs that one_of_each keeps, given their (id, component_id)."""
-    spark = docs.sparkSession
-    text = F.xxhash64(common.text_of())
+    """One row of docs for each group of out (id, th, group, component_id): of those with its smallest id the one with the least text hash, whatever rows share the id elsewhere."""
     # Names that no table's own columns have.
-    heads = common.Scratch(spark, "heads").keep(out.where("id <=> component_id").groupBy(F.col("id").alias("_cyclespan_id")).agg(F.count("*").alias("_cyclespan_n")))
-    same = F.col("doc_id").eqNullSafe(F.col("_cyclespan_id"))
-    # Nearly all ids stand for one row; only repeated ones need a choice.
-    one = docs.join(heads.where("_cyclespan_n = 1").select("_cyclespan_id"), same, "left_semi")
-    again = docs.join(heads.where("_cyclespan_n > 1").select("_cyclespan_id"), same, "left_semi").select(F.struct(*[F.col(common.quoted(c)) for c in docs.columns]).alias("_row"), text.alias("_h"))
-    chosen = again.groupBy("_row.doc_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
-    return one.unionByName(chosen)
+    chosen = out.where("id <=> component_id").groupBy("group").agg(F.min("th").alias("_cyclespan_th"), F.first("id").alias("_cyclespan_id"))
+    rows = out.groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.count("*").alias("_cyclespan_n"))
+    heads = chosen.join(rows, F.col("_cyclespan_id").eqNullSafe(F.col("_i")) & (F.col("_cyclespan_th") == F.col("_t"))).select("_cyclespan_id", "_cyclespan_th", "_cyclespan_n")
+    heads = common.Scratch(docs.sparkSession, "heads").keep(heads)
+    text = F.xxhash64(common.text_of())
+    same = F.col("doc_id").eqNullSafe(F.col("_cyclespan_id")) & (text == F.col("_cyclespan_th"))
+    # Nearly all heads stand for one row; only repeated ones need a choice.
+    one = docs.join(heads.where("_cyclespan_n = 1"), same, "left_semi")
+    again = docs.join(heads.where("_cyclespan_n > 1"), same, "left_semi").select(F.struct(*[F.col(common.quoted(c)) for c in docs.columns]).alias("_row"), text.alias("_h"))
+    kept = again.groupBy("_row.doc_id", "_h").agg(F.first("_row").alias("_row"))
+    return one.unionByName(kept.select(*[F.col(f"_row.{common.quoted(c)}").alias(c) for c in docs.columns]))

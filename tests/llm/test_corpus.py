@@ -378,6 +378,18 @@ def test_large_buckets_link_only_near_pairs(spark):
     assert got and all(1 <= (u(r.a) ^ u(r.b)).bit_count() <= 2 for r in got)
 
 
+def test_fingerprint_by_the_letter():
+    import xxhash
+
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 4, 30, 20_000):
+        w = (words(rng, n) + " The THE É").split() if n else []
+        runs = [w[i : i + 3] for i in range(len(w) - 2)] or ([w] if w else [])
+        hashes = [xxhash.xxh64(" ".join(x.translate({c: c + 32 for c in range(65, 91)}) for x in r).encode(), 42).intdigest() for r in runs]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(" ".join(w).encode()) == want
+
+
 def test_components(spark):
     rng = random.Random(9)
     base = words(rng, 400)
@@ -392,6 +404,15 @@ def test_components(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_an_id_of_several_texts(spark):
+    # Id 7 is the head of one group and a copy in another; both groups keep one row, the copy goes.
+    rng = random.Random(10)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(7, a), (9, a), (3, b), (7, b), (None, a), (3, b)]
+    got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows)).collect())
+    assert got == sorted([(7, a), (3, b)])
+
+
 # Pipeline
 
 
@@ -417,6 +438,55 @@ def test_pipeline(spark):
     assert {r[0] for r in whole} <= good and out.where("not round_trip").count() == 0
 
 
+def odd_documents(spark):
+    rng = random.Random(41)
+    text = words(rng, 80)
+    rows = [(1, text, "en", "web", 5), (1, text, "en", "web", 5), (2, None, None, None, None), (3, "", "en", "web", 0), (None, words(rng, 40), "en", None, 7), (None, None, None, None, None), (4, text + "\nline", "de", "x", 1), (5, words(rng, 40_000), "en", "web", 2), (6, "\n\n", "en", "web", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # Names that operators use inside, and signs that a parser stumbles over.
+    clashing = ("id", "key", "th", "gone", "fp", "node", "words", "a.b", "back`tick", "_cyclespan_text_")
+    for c in clashing:
+        docs = docs.withColumn(c, F.lit(c))
+    return rows, docs
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows, docs = odd_documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 1, 0), (6, 1, 0), (2, 0, None), (None, 1, 0), (99, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "these words stand in no document at all")], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet"), items.write.parquet(f"{tmp_path}/benchmark.parquet"), docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = docs
+    for name, stage in cp.STAGES:
+        own = stage(spark, docs, str(tmp_path))
+        if name == "bpe":
+            assert own.count() == len(rows)
+            continue
+        assert own.columns == docs.columns and own.dtypes == docs.dtypes
+        # Near duplicates: the text with its copy and its longer form, the rows without words, and two others.
+        assert own.count() == (4 if name == "simhash" else len(rows)), name
+        # Nothing left, nothing to do.
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_stage(spark):
+    import corpus_pipeline as cp
+
+    rows, docs = odd_documents(spark)
+    got = cp.encoding(spark, docs, "").collect()
+    assert len(got) == len(rows) and all(r.round_trip and len(r.ids) == r.n_tokens for r in got)
+
+
 def test_pipeline_removes_similar_texts(spark):
     import corpus_pipeline as cp
 
