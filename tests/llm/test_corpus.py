@@ -517,6 +517,30 @@ def test_pipeline_removes_similar_texts(spark):
     assert cp.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("small,block", [(0, 400_000), (0, 900), (3, 2_000)])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, small, block):
+    # Many edited copies of one text, some within the limit of each other: links like those of all pairs, however buckets are dealt out.
+    from cyclespan.llm import similar
+
+    monkeypatch.setattr(similar, "SMALL_BUCKET", small), monkeypatch.setattr(similar, "BLOCK_SHINGLES", block)
+    rng = random.Random(61)
+    base, rows = words(rng, 100).split(), []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            t[rng.randrange(100)] = words(rng, 1)
+        rows.append((i, " ".join(t)))
+    sets = [set(similar.shingle_set(t.encode()).tolist()) for _, t in rows]
+    part = list(range(60))
+    for x, y in itertools.combinations(range(60), 2):
+        if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]):
+            part = [part[x] if f == part[y] else f for f in part]
+    want = {i: min(j for j in range(60) if part[j] == part[i]) for i in range(60)}
+    assert 1 < len(set(want.values())) < 60
+    got = {r.id: r.component_id for r in similar.near_duplicates(frame(spark, rows), keys=lambda s: [1, 2]).collect()}
+    assert got == want
+
+
 def test_bucket_of_several_components(spark):
     from cyclespan.llm import similar
 
