@@ -35,9 +35,9 @@ MAX_LABELLED = 20_000
 ROUNDS = 2
 #: Probabilities of being bad from which, and up to which, a view's judgement becomes a pseudo-label. A view that can't see a kind of bad document knows from its
 #: calibration that some are left among those that look good, so it is seldom sure of these.
-SURE_BAD, SURE_GOOD = 0.95, 0.05
+SURE_BAD, SURE_GOOD = 0.98, 0.05
 #: Weight of all pseudo-labels of a class, in labels of that class, at most.
-PSEUDO_SHARE = 0.25
+PSEUDO_SHARE = 0.1
 REJECT = 0.5
 #: Documents that a feature needs to count.
 LEAST_DOCS = 4
