@@ -162,7 +162,8 @@ def links(occurrences: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, D
     rows = long.select(F.md5("line").alias("lid"), F.inline(_keys(True)))
     rows = rows.withColumn("word", word).join(F.broadcast(bitmap), "word").where("bit_get(bits, cast(key & 63 as int)) = 1")
     rows = scratch.keep(rows.select("key", "delta", "m", "lid", "rest").distinct())
-    found, stars, counts, parts, at = None, None, None, max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), 0
+    found, stars, counts, parts, at = None, None, None, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), 0
+    parts = max(1, min(parts, 2 * scratch.spark.sparkContext.defaultParallelism))  # all cores compare, without a host of small files
     while True:
         # Written before the join, whose sides then come straight from exchanges, which adaptive execution can split at a hot key.
         sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("delta").alias("least")).where("n > 1 and least = 0").select("key", "n"))
