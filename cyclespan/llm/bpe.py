@@ -33,9 +33,9 @@ from . import common
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Bytes of a generation of kept words, as estimated from their lengths.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 24 << 20
 #: Words of one call of the recursive query.
-CALL_WORDS = 20_000
+CALL_WORDS = 30_000
 
 _SHORT_SQL = """
 WITH RECURSIVE s AS (
@@ -64,8 +64,8 @@ WITH RECURSIVE s AS (
 """
 _WHOLE_SQL = "WITH f AS (SELECT wid, list(id) AS ids FROM start GROUP BY wid)"
 _OUT_SQL = """
-SELECT wid, count(*)::INTEGER AS n, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex(bytes), '' ORDER BY pos) AS decoded
-FROM (SELECT wid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM f) JOIN vocabulary USING (id) GROUP BY wid
+, d AS (SELECT wid, string_agg(hex(bytes), '' ORDER BY pos) AS decoded FROM (SELECT wid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM f) JOIN vocabulary USING (id) GROUP BY wid)
+SELECT wid, len(ids)::INTEGER AS n, array_to_string(ids, ' ') AS ids, decoded FROM f JOIN d USING (wid)
 """
 
 
@@ -126,15 +126,13 @@ class Encoder:
         for w in again:
             own = self.known[w] = self.older[w]
             self.held += 300 + 3 * len(own[2]) + len(own[1])
-        whole: list[tuple[str, int]] = []
+        left = list(new - again)
+        own = [w.encode("utf-8", "surrogatepass") for w in left]
+        ranks = list(map(self.ranks.get, own))
+        whole = [(w, r) for w, r in zip(left, ranks) if r is not None]
         rest: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
-        ranks = self.ranks
-        for w in new - again:
-            b = w.encode("utf-8", "surrogatepass")
-            rank = ranks.get(b)
-            if rank is not None:
-                whole.append((w, rank))
-            else:
+        for w, b, r in zip(left, own, ranks):
+            if r is None:
                 rest[len(b) > LONG].append((w, b))
         for at in range(0, len(whole), CALL_WORDS):
             part = whole[at : at + CALL_WORDS]
