@@ -33,9 +33,9 @@ from . import common
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Bytes of a generation of kept words, as estimated from their lengths.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 48 << 20
 #: Words of one call of the recursive query.
-CALL_WORDS = 30_000
+CALL_WORDS = 60_000
 
 _SHORT_SQL = """
 WITH RECURSIVE s AS (
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
         return f
 
-    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema, size=2 << 20)
+    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
