@@ -4,7 +4,7 @@ A text is parted by the tokenizer's pattern. A word that is itself a token has t
 different words go as lists of byte ids to a recursive query: token-position rows join the merge table, each word's
 leftmost pair of the least rank is contracted, and a word without a pair that merges is final. Ranks are ids, so the pair's rank
 is the merged token. Ordered aggregation of the tokens' bytes, looked up by id, decodes the ids of all words, single tokens too.
-A worker keeps the words of its last texts in two generations of KEPT_BYTES each; a word that is met again moves to the younger
+A task keeps the words of its last texts in two generations of KEPT_BYTES each; a word that is met again moves to the younger
 one, so frequent words stay and rare ones cost no memory for long.
 
 Words of over LONG bytes take a second query of the same kind, which contracts at once all non-overlapping occurrences of the
@@ -33,7 +33,7 @@ from . import common
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
 #: Bytes of a generation of kept words, as estimated from their lengths.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 40 << 20
 #: Words of one call of the recursive query.
 CALL_WORDS = 60_000
 
@@ -104,6 +104,11 @@ class Encoder:
         self.older: dict[str, tuple[int, str, bytes]] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        """Free the words; the tables stay."""
+        self.known, self.older, self.held = {}, {}, 0
+        trim()
+
     def _run(self, wid: np.ndarray, pos: np.ndarray, ids: np.ndarray, sql: str) -> zip:
         """(place, number of ids, ids, decoded bytes as hexadecimal digits) of each word."""
         self.db.register("start", pa.table({"wid": wid, "pos": pos, "id": ids}))
@@ -168,6 +173,16 @@ class Encoder:
                 gc.enable()
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -202,6 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 columns += [pa.array([[int(x) for x in s.split()] for _, s, _ in done], pa.list_(pa.int32())), pa.array([b for *_, b in done], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
+        f.close = e.forget
         return f
 
     return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema)

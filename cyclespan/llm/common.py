@@ -58,15 +58,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
 
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text", size: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over slices of bounded size; make() runs once a task and returns the function of a slice."""
+    """mapInArrow over slices of bounded size; make() runs once a task and returns the function of a slice. Where that has a `close`, it is called at the task's end:
+    workers live on between stages, and what they keep adds up with what the next stage needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for piece in slices(batch, column, size):
-                out = f(piece)
-                if out is not None and out.num_rows:
-                    yield out
+        try:
+            for batch in batches:
+                for piece in slices(batch, column, size):
+                    out = f(piece)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            getattr(f, "close", lambda: None)()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
