@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, lm_score, quality, secrets, simhash, substring, token_counts, winnow
+from . import bpe, centroids, decontaminate, line_dedup, lm_score, quality, secrets, simhash, substring, token_counts, toxicity, turns, winnow
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_bpe": bpe.query,
     "op10_secrets": secrets.query,
+    "op11_centroids": centroids.query,
+    "op12_toxicity": toxicity.query,
+    "op13_turns": turns.query,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
+    "op11_centroids": centroids.ORACLE,
 }
