@@ -1,6 +1,6 @@
 """Toxicity by a noisy channel: disguised words are restored under a character language model, and the restored text is scored.
 
-Language model: trigrams of ALPHABET classes (a to z with accents folded away, other letters, digits, and one boundary for all else), counted over all documents.
+Language model: trigrams of 29 classes (a to z with accents folded away, other letters, digits, and one boundary for all else), counted over all documents, digits beside letters left out.
 Its table has a fixed size, so only that reaches the driver; probabilities are interpolated with bigrams and unigrams and add up to one.
 
 Channel: a writer may put a sign in place of a letter (LEET), stretch a letter (runs of three and more stand for one or two), or part a word's
@@ -78,8 +78,12 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
 
 
 def language_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
-    """log p(c | a, b) at [a, b, c]: trigrams, smoothed by bigrams, these by unigrams, these by one more of each."""
+    """log p(c | a, b) at [a, b, c]: trigrams, smoothed by bigrams, these by unigrams, these by one more of each. The model is one of undisguised text: digits
+    beside letters count for nothing, however many there are."""
     n3 = counts.reshape(SIZE, SIZE, SIZE).astype(np.float64)
+    for letters, digits in ((slice(1, SIZE - 1), SIZE - 1), (SIZE - 1, slice(1, SIZE - 1))):
+        n3[letters, digits, :] = 0
+        n3[:, letters, digits] = 0
     n2, n1 = n3.sum(0), n3.sum((0, 1))
     p1 = (n1 + 1) / (n1.sum() + SIZE)
     p2 = (n2 + weight * p1) / (n2.sum(1, keepdims=True) + weight)
@@ -91,7 +95,8 @@ _S = re.escape(_SIGNS)
 _LETTER = r"[^\W\d_]"
 #: A token in which a sign stands before a letter, or after two letters; parted single letters; a stretched letter.
 _SIGNED = re.compile(rf"(?<![\w{_S}])(?=(?:{_LETTER})*+(?:[{_S}])++{_LETTER}|{_LETTER}{{2,}}+[0-9@$€£])[\w{_S}]++")
-_PARTED = re.compile(rf"(?<![\w{_S}.*-])(?:{_LETTER}|[{_S}])([ ._*-])(?:{_LETTER}|[{_S}])(?:\1(?:{_LETTER}|[{_S}]))++(?![\w{_S}])")
+_SINGLE = rf"(?:{_LETTER}|[{_S}])(?![^\W_]|[{_S}])"
+_PARTED = re.compile(rf"(?<![\w{_S}.*-]){_SINGLE}([ ._*-]){_SINGLE}(?:\1{_SINGLE})++")
 _STRETCHED = re.compile(rf"({_LETTER})\1\1++")
 _WORD_END = re.compile(rf"[^\w{_S}]|\Z")
 
