@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-LOCAL_EDGES = 1 << 20
+LOCAL_EDGES = 1 << 15
 
 
 def solve(edges: DataFrame, labels_of: Callable[[int, np.ndarray, np.ndarray], np.ndarray], node: str, label: str) -> DataFrame:

@@ -189,11 +189,44 @@ def test_components_by_rounds_and_in_one_task(spark, local):
     assert weak == {x: "G0" for x in ring + group + ["P0", "P1"]}
 
 
+@pytest.mark.parametrize("growth", [1.5, 0.0])
+def test_components_of_many_shapes_by_rounds_alone(spark, growth, monkeypatch):
+    # growth 0: elimination never goes on, so searches and colours have to do the rest.
+    monkeypatch.setattr(K, "GROWTH", growth)
+    rng, pairs, want = random.Random(4), [], {}
+    shapes = [(12, m) for m in (6, 10, 12, 14, 18, 24, 30, 50)]
+    for g, (n, m) in enumerate(shapes):
+        own = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        if g % 3 == 0:  # both ways, as on a ladder
+            own |= {(b, a) for a, b in own}
+        name = lambda v, g=g: f"{g}V{v:02d}"
+        pairs += [(name(a), name(b)) for a, b in own]
+        ends = {v for p in own for v in p}
+        want |= {name(v): name(c) for v, c in tarjan(n, sorted(own)).items() if v in ends}
+    got = {r.account_id: r.component for r in K.strong_components(spark.createDataFrame(pairs, "src string, dst string"), local_edges=0).collect()}
+    assert got == want
+
+
+def test_elimination_rounds_follow_the_logarithm(spark, monkeypatch):
+    took = []
+    once = K._Run._eliminate_once
+    monkeypatch.setattr(K._Run, "_eliminate_once", lambda self, factor: took.append(self.n) or once(self, factor))
+    n = 300_000
+    mixed = lambda i: F.xxhash64(i)
+    ring = spark.range(n).select(mixed(F.col("id")).alias("src"), mixed((F.col("id") + 1) % n).alias("dst"))
+    chains = spark.range(n, 2 * n).where("id % 5000 != 0").select(mixed(F.col("id")).alias("src"), mixed(F.col("id") + 1).alias("dst"))
+    labels = K.strong_components(ring.union(chains), local_edges=20_000)
+    sizes = labels.groupBy("component").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert {r["count"] for r in sizes} == {1, n} and {r["count"]: r["n"] for r in sizes}[n] == 1
+    # A third of a ring goes each time.
+    assert len(took) <= 12 and all(b < 0.8 * a for a, b in zip(took, took[1:]))
+
+
 def test_rounds_never_end_unsettled(spark):
     rows = [(f"R{i:02d}", f"R{(i + 1) % 24:02d}") for i in range(24)] + [(f"G{i}", f"G{j}") for i in range(6) for j in range(6)]
     pairs = spark.createDataFrame(rows, "src string, dst string")
     with pytest.raises(RuntimeError):
-        K.strong_components(pairs, max_rounds=8, local_edges=0)
+        K.strong_components(pairs, max_rounds=2, local_edges=0)
     with pytest.raises(RuntimeError):
         G.shortest_path(E.edges(moves(spark, [(f"V{i}", f"V{i + 1}", 1) for i in range(9)])), "V0", "V9", max_rounds=5)
 
