@@ -7,9 +7,11 @@ is the merged token. Ordered aggregation of the tokens' bytes, looked up by id,
 A task keeps the words of its last texts in two generations of KEPT_BYTES each; a word that is met again moves to the younger
 one, so frequent words stay and rare ones cost no memory for long.
 
-Words of over LONG bytes take a second query of the same kind, which contracts at once all non-overlapping occurrences of the
-least rank where no merge of the new token has a lower rank than its own (else the leftmost alone): the same result in
-a number of rounds that doesn't grow with the length of a run.
+Words of over LONG bytes go through the same query as overlapping windows, since its rounds grow with a word's length. Windows are joined only where
+two of them have the same token before and behind a cut, which proves the cut: call two tokens compatible if their bytes together are encoded as just these two. Neighbours in any
+encoding are compatible (no merge crossed them, and a merge depends on nothing but the bytes that it joins). And a row of tokens whose neighbours are all compatible is the encoding of its bytes: the first
+merge to cross a cut would cross it for the two tokens at the cut alone, too. Where windows have no cut in common, as in repeated patterns that they begin
+at different places of, the next one begins at a cut of the last; where that fails, all is done again with windows of twice the size. Time and memory grow with a word's length.
 
 Defined cases: a null text is empty: no tokens, digests of the empty string. Repeated rows are encoded each; null ids
 are kept; an empty table gives an empty result; other columns are ignored. DuckDB runs in memory with one thread
@@ -32,6 +34,10 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256
+#: Bytes of a window at first, and windows of one call.
+WINDOW, CALL_WINDOWS = 64, 4096
+#: Ids of one list that is decoded at once.
+DECODE_IDS = 50_000
 #: Bytes of a generation of kept words, as estimated from their lengths.
 KEPT_BYTES = 40 << 20
 #: Words of one call of the recursive query.
@@ -47,22 +53,7 @@ WITH RECURSIVE s AS (
    FROM s LEFT JOIN best USING (wid) WHERE NOT final)
 ), f AS (SELECT wid, ids FROM s WHERE final)
 """
-_LONG_SQL = """
-WITH RECURSIVE s AS (
-  SELECT wid, list(id ORDER BY pos) AS ids, false AS final FROM start GROUP BY wid
-  UNION ALL
-  (WITH t AS (SELECT wid, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos, unnest(ids[2:]) AS r FROM s WHERE NOT final),
-   h AS (SELECT wid, pos, merged, min(merged) OVER (PARTITION BY wid) AS least FROM t JOIN merges ON pair = ((id::BIGINT << 32) | r)),
-   g AS (SELECT wid, pos, merged, row_number() OVER (PARTITION BY wid ORDER BY pos) AS n FROM h WHERE merged = least),
-   c AS (SELECT g.wid, pos, g.merged FROM (SELECT *, row_number() OVER (PARTITION BY wid, pos - n ORDER BY pos) AS place FROM g) g
-         LEFT JOIN early ON early.merged = g.merged WHERE CASE WHEN early.merged IS NULL THEN place % 2 = 1 ELSE n = 1 END),
-   u AS (SELECT t.wid, t.pos, coalesce(c.merged, t.id) AS id FROM t LEFT JOIN c ON c.wid = t.wid AND c.pos = t.pos
-         LEFT JOIN c b ON b.wid = t.wid AND b.pos = t.pos - 1 WHERE b.pos IS NULL),
-   v AS (SELECT wid, list(id ORDER BY pos) AS ids FROM u GROUP BY wid)
-   SELECT s.wid, v.ids, len(v.ids) = len(s.ids) FROM s JOIN v USING (wid) WHERE NOT s.final)
-), f AS (SELECT wid, ids FROM s WHERE final)
-"""
-_WHOLE_SQL = "WITH f AS (SELECT wid, list(id) AS ids FROM start GROUP BY wid)"
+_WHOLE_SQL = "WITH f AS (SELECT wid, list(id ORDER BY pos) AS ids FROM start GROUP BY wid)"
 _OUT_SQL = """
 , d AS (SELECT wid, string_agg(hex(bytes), '' ORDER BY pos) AS decoded FROM (SELECT wid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM f) JOIN vocabulary USING (id) GROUP BY wid)
 SELECT wid, len(ids)::INTEGER AS n, array_to_string(ids, ' ') AS ids, decoded FROM f JOIN d USING (wid)
@@ -74,6 +65,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Window:
+    """The encoding of a part of a word: ids, where each begins, and the end."""
+
+    def __init__(self, start: int, ids: tuple[int, ...], length: dict[int, int]):
+        self.start, self.ids, self.starts, at = start, ids, [], start
+        for i in ids:
+            self.starts.append(at)
+            at += length[i]
+        self.end = at
+
+    def cut(self, following: "Window", least: int) -> tuple[int, int] | None:
+        """(i, j): from its token j on, `following` can go on instead of this window's token i and all behind it; i is at least `least`."""
+        place = {at: i for i, at in enumerate(self.starts)}
+        for j, at in enumerate(following.starts):
+            i = place.get(at, -1)
+            # The same token behind the cut, and before it, too, where `following` has one there.
+            if i >= max(least, 1) and self.ids[i] == following.ids[j] and (j == 0 or self.ids[i - 1] == following.ids[j - 1]):
+                return i, j
+        return None
+
+
 class Encoder:
     """One worker's tables and the words that it has met."""
 
@@ -84,6 +96,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.ranks = load_ranks(path)
         self.byte_id = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        self.length = {rank: len(token) for token, rank in self.ranks.items()}
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -116,11 +129,11 @@ class Encoder:
         self.db.unregister("start")
         return zip(out["wid"].tolist(), out["n"].tolist(), out["ids"].tolist(), out["decoded"].tolist())
 
-    def _contract(self, words: list[bytes], sql: str) -> zip:
+    def _contract(self, words: list[bytes]) -> zip:
         lengths = np.array([len(w) for w in words])
         flat = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         wid = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        return self._run(wid, np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths), flat, sql)
+        return self._run(wid, np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths), flat, _SHORT_SQL)
 
     def learn(self, words: set[str]) -> None:
         """Make all of words known."""
@@ -142,11 +155,59 @@ class Encoder:
         for at in range(0, len(whole), CALL_WORDS):
             part = whole[at : at + CALL_WORDS]
             self._keep([w for w, _ in part], self._run(np.arange(len(part), dtype=np.int32), np.zeros(len(part), np.int64), np.array([r for _, r in part], np.int32), _WHOLE_SQL))
-        for long, own in rest.items():
-            step = 1 if long else CALL_WORDS
-            for at in range(0, len(own), step):
-                part = own[at : at + step]
-                self._keep([w for w, _ in part], self._contract([b for _, b in part], _LONG_SQL if long else _SHORT_SQL))
+        short = rest[False]
+        for at in range(0, len(short), CALL_WORDS):
+            part = short[at : at + CALL_WORDS]
+            self._keep([w for w, _ in part], self._contract([b for _, b in part]))
+        for w, b in rest[True]:
+            self._keep([w], self._decoded(self.encode_long(b)))
+
+    def _decoded(self, ids: list[int]) -> list[tuple[int, int, str, str]]:
+        """A long word as _run gives it, decoded in lists of bounded length."""
+        texts, decoded = [], []
+        for at in range(0, len(ids), DECODE_IDS):
+            part = np.array(ids[at : at + DECODE_IDS], np.int32)
+            ((_, _, text, own),) = self._run(np.zeros(len(part), np.int32), np.arange(len(part), dtype=np.int64), part, _WHOLE_SQL)
+            texts.append(text), decoded.append(own)
+        return [(0, len(ids), " ".join(texts), "".join(decoded))]
+
+    def encode_long(self, word: bytes, size: int = WINDOW) -> list[int]:
+        """The ids of a word of any length."""
+        while True:
+            ids = self._spliced(word, size)
+            if ids is not None:
+                return ids
+            size *= 2
+
+    def _spliced(self, word: bytes, size: int) -> list[int] | None:
+        """The ids by windows of this size; none if some of them can't be joined."""
+        step, n, made, out = size // 2, len(word), {}, []
+
+        def window(start: int) -> Window:
+            text = word[start : start + size]
+            if text not in made:
+                # The windows that come next are contracted in the same call.
+                if len(made) > 4 * CALL_WINDOWS:
+                    made.clear()
+                first = start // step * step
+                wanted = list({text, *(word[i : i + size] for i in range(first, min(n, first + CALL_WINDOWS * step), step))}.difference(made) if start % step == 0 else {text})
+                for wid, _, ids, _ in self._contract(wanted):
+                    made[wanted[wid]] = tuple(map(int, ids.split()))
+            return Window(start, made[text], self.length)
+
+        now, at = window(0), 0
+        while now.end < n:
+            places = [(now.end - step) // step * step]
+            middle = now.starts[len(now.starts) // 2 :]
+            places += middle[:1]
+            for start in places:
+                if start > now.start and (cut := now.cut(following := window(start), at)):
+                    out += now.ids[at : cut[0]]
+                    now, at = following, cut[1]
+                    break
+            else:
+                return None
+        return [*out, *now.ids[at:]]
 
     def _keep(self, words: list[str], made: zip) -> None:
         known, held = self.known, 0

@@ -109,12 +109,33 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.encode(frame(spark, [])).count() == 0
 
 
-def test_long_words_by_both_queries():
-    e = bpe.Encoder(P.path(bpe.VOCABULARY), P.PATTERN)
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(P.path(bpe.VOCABULARY), P.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
+
+
+@pytest.mark.parametrize("size", [4, 16, bpe.WINDOW])
+def test_windows_give_the_query_of_whole_words(encoder, size):
     rng = np.random.default_rng(2)
-    words = [bytes(rng.choice(list(b"abest"), n)) for n in (5, 40, 300, 900)] + [b"a" * 300, b"ab" * 150, b"=" * 257]
-    short, long = e._contract(words, bpe._SHORT_SQL), e._contract(words, bpe._LONG_SQL)
-    assert sorted(short) == sorted(long)
+    words = [rng.choice(list(b"abest"), n).astype(np.uint8).tobytes() for n in (5, 40, 300, 500)] + [b"a" * 300, b"ab" * 150, b"=" * 257, b"abc" * 99, b"-=" * 120, "日本語テキスト".encode() * 9, b"the" * 60 + b"q" * 31]
+    whole = {wid: [int(x) for x in ids.split()] for wid, _, ids, _ in encoder._contract(words)}
+    for i, w in enumerate(words):
+        assert encoder.encode_long(w, size) == whole[i], (w, size)
+
+
+def test_long_unbroken_words_like_the_library(encoder, library):
+    rng = np.random.default_rng(7)
+    letters = lambda n, of=b"abcdefghijklmnopqrstuvwxyz": rng.choice(list(of), n).astype(np.uint8).tobytes().decode()
+    english = "".join(rng.choice(["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dogs", "internationalisation"], 4000))
+    texts = [letters(100_000), letters(50_000, b"ACGT"), english, "a" * 4_000_000, "abc" * 100_000, "ab" * 99_999 + "xyz" * 70_000, "=" * 100_001, "漢字仮名交じり文" * 5000, letters(3000) + " " + "z" * 70_000]
+    for text, (n, ids, decoded) in zip(texts, encoder.encode(texts)):
+        want = library.encode_ordinary(text)
+        assert n == len(want) and ids == " ".join(map(str, want)) and decoded == text.encode()
 
 
 def spans_by_the_letter(text):
