@@ -8,9 +8,10 @@ prunes at once, and a cycle is found in one rotation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Rounds
@@ -25,13 +26,15 @@ def check_sizes(sizes: Sequence[int], least: int = 3) -> tuple[int, ...]:
     return out
 
 
-def cycles(edges: DataFrame, k: int, min_pair_transactions: int = 0, min_pair_amount: float = 0.0, min_internal_transactions: int = 0, min_total_amount: float = 0.0, limit: int = 0, least: int = 3, monotone: bool = False) -> DataFrame:
+def cycles(edges: DataFrame, k: int, min_pair_transactions: int = 0, min_pair_amount: float = 0.0, min_internal_transactions: int = 0, min_total_amount: float = 0.0, limit: int = 0, least: int = 3, monotone: bool = False, starts: tuple | None = None) -> DataFrame:
     """All directed cycles of k different accounts: participants (from the least on, in the cycle's order), cycle_size, transactions,
     total_amount (sums over the cycle's edges), cycles, metrics_are_group_level. With a limit, the first by participants.
-    monotone keeps only cycles whose accounts ascend up to the closing edge."""
+    monotone keeps only cycles whose accounts ascend up to the closing edge. starts: (after, upto), the range of first accounts; None leaves an end open."""
     check_sizes([k], least)
     kept = threshold(edges, min_pair_transactions, min_pair_amount).select("src", "dst", F.col("transaction_count").alias("n"), F.col("total_amount").alias("amt"))
     path = kept.where("dst > src").select(F.col("src").alias("a0"), F.col("dst").alias("a1"), "n", "amt")
+    for end, inside in zip(starts or (), (lambda x: F.col("a0") > x, lambda x: F.col("a0") <= x)):
+        path = path if end is None else path.where(inside(end))
     for i in range(1, k - 1):
         hop = kept.toDF("_s", "_d", "_n", "_amt")
         new = [F.col("_d") > F.col("a0")] + [F.col("_d") != F.col(f"a{j}") for j in range(1, i)]
@@ -49,6 +52,32 @@ def cycles(edges: DataFrame, k: int, min_pair_transactions: int = 0, min_pair_am
     return out.orderBy("participants").limit(limit) if limit > 0 else out
 
 
+#: First accounts of the first range that first_cycles looks at.
+FIRST_STARTS = 256
+
+
+def first_cycles(edges: DataFrame, k: int, limit: int = 0, **options) -> DataFrame:
+    """The rows of cycles() with a limit, without making all cycles: since the order is by participants, first accounts are taken range by range, in ascending order,
+    until the cycles that begin there are enough. Each range is as long as those before let expect, twice as long as all before at least."""
+    if limit <= 0:
+        return cycles(edges, k, limit=limit, **options)
+    rounds = Rounds(edges.sparkSession, "first")
+    kept = threshold(edges, options.pop("min_pair_transactions", 0), options.pop("min_pair_amount", 0.0)).select("src", "dst", "transaction_count", "total_amount")
+    kept = rounds.keep(kept)
+    accounts = rounds.keep(kept.where("dst > src").select("src").distinct())
+    parts, have, seen, after, take = [cycles(kept.where("false"), k, **options)], 0, 0, None, FIRST_STARTS
+    while have < limit:
+        rest = accounts if after is None else accounts.where(F.col("src") > after)
+        n, upto = rest.orderBy("src").limit(take).agg(F.count("*"), F.max("src")).first()
+        if not n:
+            break
+        found = rounds.keep(cycles(kept, k, starts=(after, upto), **options))
+        have, seen, after = have + found.count(), seen + n, upto
+        take = max(2 * seen, seen * (limit - have) // max(1, have))
+        parts.append(found)
+    return reduce(DataFrame.union, parts).orderBy("participants").limit(limit)
+
+
 def cycles_of(edges: DataFrame, sizes: Sequence[int], **options) -> DataFrame:
     """Cycles of several sizes. The edges that pass are written once, and each size's chain of joins reads them."""
     least = options.get("least", 3)
@@ -88,6 +117,11 @@ def transaction_paths(transfers: DataFrame, k: int) -> DataFrame:
         own = t.toDF("_s", "_d", "_id", "_amt")
         path = path.join(own, (F.col("_s") == F.col(f"a{i}")) & (F.col("_d") == F.col(f"a{(i + 1) % k}")))
         path = path.select(*[f"a{j}" for j in range(k)], F.concat("ids", F.array("_id")).alias("ids"), (F.col("amt") + F.col("_amt")).cast("decimal(38,2)").alias("amt"))
+    return _turned(path, k)
+
+
+def _turned(path: DataFrame, k: int) -> DataFrame:
+    """A row of transaction_paths for each rotation of the paths (a0, ..., ids, amt)."""
     people, n = F.array(*[f"a{j}" for j in range(k)]), F.lit(k)
     turned = lambda x, i: F.concat(F.slice(x, i + 1, n), F.slice(x, F.lit(1), i))
     turns = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(turned(people, i).alias("p"), turned(F.col("ids"), i).alias("t"))))
@@ -111,10 +145,129 @@ def transaction_path_count(edges: DataFrame, k: int, **options) -> DataFrame:
 
 
 def triangles_by_amount(transfers: DataFrame, limit: int = 100) -> DataFrame:
-    """Closed paths of three transactions with their amount and the first one's time, all rotations, by amount; ties by the ids."""
+    """Closed paths of three transactions with their amount and the first one's time, all rotations, by amount; ties by the ids.
+
+    Triangles are found over ordered pairs. Of a pair's parallel transactions only the first `limit` by amount can be in the result: in place of a later one, each
+    of those before gives a row that comes earlier."""
     t = transfers.select("src", "dst", F.col("transaction_id").alias("id"), "amount", "ts")
-    x, y, z = (t.toDF(*[f"{p}_{c}" for c in t.columns]) for p in "xyz")
-    joined = x.join(y, F.col("x_dst") == F.col("y_src")).join(z, (F.col("y_dst") == F.col("z_src")) & (F.col("z_dst") == F.col("x_src")))
-    different = joined.where("x_id != y_id and y_id != z_id and x_id != z_id")  # a pattern never takes the same transaction twice
-    out = different.select(F.col("x_src").alias("a"), F.col("y_src").alias("b"), F.col("z_src").alias("c"), (F.col("x_amount") + F.col("y_amount") + F.col("z_amount")).cast("double").alias("total_amount"), F.col("x_ts").alias("start_time"), "x_id", "y_id", "z_id")
+    place = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("amount"), "id"))
+    best = Rounds(transfers.sparkSession, "triangles").keep(t.withColumn("place", place).where(F.col("place") <= limit).drop("place"))
+    pairs = best.select("src", "dst").distinct()
+    p, q, r = (pairs.toDF(f"{c}_s", f"{c}_d") for c in "pqr")
+    found = p.join(q, F.col("p_d") == F.col("q_s")).join(r, (F.col("q_d") == F.col("r_s")) & (F.col("r_d") == F.col("p_s"))).select(F.col("p_s").alias("a"), F.col("q_s").alias("b"), F.col("r_s").alias("c"))
+    for x, s, d in (("x", "a", "b"), ("y", "b", "c"), ("z", "c", "a")):
+        own = best.toDF("_s", "_d", f"{x}_id", f"{x}_amount", f"{x}_ts")
+        found = found.join(own, (F.col("_s") == F.col(s)) & (F.col("_d") == F.col(d))).drop("_s", "_d")
+    different = found.where("x_id != y_id and y_id != z_id and x_id != z_id")  # a pattern never takes the same transaction twice
+    out = different.select("a", "b", "c", (F.col("x_amount") + F.col("y_amount") + F.col("z_amount")).cast("double").alias("total_amount"), F.col("x_ts").alias("start_time"), "x_id", "y_id", "z_id")
     return out.orderBy(F.desc("total_amount"), "x_id", "y_id", "z_id").limit(limit)
+
+
+def reachable(edges: DataFrame, k: int, rounds: Rounds) -> dict[int, DataFrame]:
+    """{i: (a0, v)} for i from 1 to k - 1: v lies i hops behind a0 on a closed walk of k edges whose other accounts are all above a0.
+
+    Sets of pairs, not paths: hop by hop forward, then back from those that close, so that each pair that is left is on such a walk (a semi-join reduction of the chain of joins).
+    """
+    e = edges.select("src", "dst")
+    ahead = {1: rounds.keep(e.where("dst > src").toDF("a0", "v"))}
+    for i in range(2, k):
+        ahead[i] = rounds.keep(ahead[i - 1].join(e.toDF("v", "w"), "v").where("w > a0").select("a0", F.col("w").alias("v")).distinct())
+    closing = e.where("src > dst").select(F.col("dst").alias("a0"), F.col("src").alias("v"))
+    out = {k - 1: rounds.keep(ahead[k - 1].join(closing, ["a0", "v"], "left_semi"))}
+    for i in range(k - 2, 0, -1):
+        before = out[i + 1].join(e.toDF("u", "v"), "v").select("a0", F.col("u").alias("v"))
+        out[i] = rounds.keep(ahead[i].join(before, ["a0", "v"], "left_semi"))
+    for df in ahead.values():
+        rounds.drop(df)
+    return out
+
+
+def _halves(kept: DataFrame, k: int, sums: dict, rounds: Rounds) -> DataFrame:
+    """(a0, ..., a{k-1}, and the columns of sums) of all simple cycles of k accounts, a0 the least: paths from a0 to the account half round, joined with those from there back to a0.
+    kept: (src, dst, values); sums: {value: how two of it are put together}."""
+    values, h = list(sums), k // 2
+    on = reachable(kept, k, rounds)
+    hop = kept.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *[F.col(v).alias(f"_{v}") for v in values])
+
+    def longer(path: DataFrame, names: list[str], at: int) -> DataFrame:
+        """Paths that end at names[-1], one hop further; the new account lies `at` hops behind a0."""
+        new = [F.col("_d") > F.col("a0")] + [F.col("_d") != F.col(x) for x in names if x != "a0"]
+        step = path.join(hop, reduce(lambda x, y: x & y, new, F.col("_s") == F.col(names[-1])))
+        step = step.join(on[at].toDF("_a", "_v"), (F.col("a0") == F.col("_a")) & (F.col("_d") == F.col("_v")), "left_semi")
+        return step.select("a0", *[x for x in names if x != "a0"], F.col("_d").alias(f"a{at}"), *[sums[v](F.col(v), F.col(f"_{v}")).alias(v) for v in values])
+
+    first = kept.toDF("a0", "a1", *values).join(on[1].toDF("a0", "a1"), ["a0", "a1"], "left_semi")
+    for i in range(1, h):
+        first = longer(first, [f"a{j}" for j in range(i + 1)], i + 1)
+    # The other half begins with its first hop, from the account half round.
+    second = on[h].toDF("a0", f"a{h}").join(hop, (F.col("_s") == F.col(f"a{h}")) & (F.col("_d") > F.col("a0")))
+    second = second.join(on[h + 1].toDF("_a", "_v"), (F.col("a0") == F.col("_a")) & (F.col("_d") == F.col("_v")), "left_semi")
+    second = second.select("a0", f"a{h}", F.col("_d").alias(f"a{h + 1}"), *[F.col(f"_{v}").alias(v) for v in values])
+    for i in range(h + 1, k - 1):
+        second = longer(second, ["a0", *[f"a{j}" for j in range(h, i + 1)]], i + 1)
+    second = second.join(hop, (F.col("_s") == F.col(f"a{k - 1}")) & (F.col("_d") == F.col("a0")))
+    second = second.select(F.col("a0").alias("_a"), F.col(f"a{h}").alias("_m"), *[f"a{j}" for j in range(h + 1, k)], *[sums[v](F.col(v), F.col(f"_{v}")).alias(f"_{v}") for v in values])
+    apart = [F.col(f"a{i}") != F.col(f"a{j}") for i in range(1, h) for j in range(h + 1, k)]
+    whole = first.join(second, reduce(lambda x, y: x & y, apart, (F.col("a0") == F.col("_a")) & (F.col(f"a{h}") == F.col("_m"))))
+    return whole.select(*[f"a{j}" for j in range(k)], *[sums[v](F.col(v), F.col(f"_{v}")).alias(v) for v in values])
+
+
+def cycles_by_halves(edges: DataFrame, k: int, min_pair_transactions: int = 0, min_pair_amount: float = 0.0) -> DataFrame:
+    """The rows of cycles(), for longer cycles of dense graphs: a chain of k joins carries about degree^(k-1) paths an account, halves carry degree^(k/2), and only on accounts that a closed walk of k hops reaches."""
+    if k < 4:
+        return cycles(edges, k, min_pair_transactions, min_pair_amount)
+    rounds = Rounds(edges.sparkSession, "halves")
+    kept = threshold(edges, min_pair_transactions, min_pair_amount).where("src != dst")
+    kept = rounds.keep(kept.select("src", "dst", F.col("transaction_count").alias("n"), F.col("total_amount").cast("decimal(38,2)").alias("amt")))
+    add = lambda x, y: (x + y)
+    found = _halves(kept, k, {"n": add, "amt": lambda x, y: (x + y).cast("decimal(38,2)")}, rounds)
+    return found.select(
+        F.array(*[f"a{j}" for j in range(k)]).alias("participants"), F.lit(k).alias("cycle_size"), F.col("n").alias("transactions"), F.col("amt").alias("total_amount"),
+        F.lit(1).cast("long").alias("cycles"), F.lit(True).alias("metrics_are_group_level"),
+    )
+
+
+@dataclass
+class FactorisedPaths:
+    """The paths of transaction_paths() for k accounts, kept as factors: cycles (a0, ..., n: how many paths each stands for in one rotation) and the transfers (src, dst, id, amt) of the ordered pairs on a cycle."""
+
+    k: int
+    cycles: DataFrame
+    transfers: DataFrame
+
+    def count(self) -> DataFrame:
+        """(n_cycles, n_paths), exact, from the factors alone."""
+        return self.cycles.agg(F.count("*").alias("n_cycles"), (F.coalesce(F.sum("n"), F.lit(0)) * self.k).cast("long").alias("n_paths"))
+
+    def expand(self, where: str | None = None) -> DataFrame:
+        """All paths, or those of the cycles that a condition on (a0, ...) takes: each pair's transfers are joined, hop by hop."""
+        k, path = self.k, self.cycles.where(where) if where else self.cycles
+        people = [f"a{j}" for j in range(k)]
+        path = path.select(*people, F.array().cast("array<string>").alias("ids"), F.lit(0).cast("decimal(38,2)").alias("amt"))
+        for i in range(k):
+            path = path.join(self.transfers.toDF("_s", "_d", "_id", "_amt"), (F.col("_s") == F.col(f"a{i}")) & (F.col("_d") == F.col(f"a{(i + 1) % k}")))
+            path = path.select(*people, F.concat("ids", F.array("_id")).alias("ids"), (F.col("amt") + F.col("_amt")).cast("decimal(38,2)").alias("amt"))
+        return _turned(path, k)
+
+
+def factorised_paths(transfers: DataFrame, k: int, min_pair_transactions: int = 0) -> FactorisedPaths:
+    """transaction_paths() without unfolding parallel transactions and rotations: as many rows as there are cycles and transactions on them."""
+    if k < 2:
+        raise ValueError("cycle size must be at least 2")
+    rounds = Rounds(transfers.sparkSession, "factors")
+    t = transfers.where("src != dst").select("src", "dst", F.col("transaction_id").alias("id"), F.col("amount").cast("decimal(38,2)").alias("amt"))
+    sums = t.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= min_pair_transactions)
+    kept = rounds.keep(sums.select("src", "dst", F.col("n").cast("decimal(38,0)").alias("n")))
+    times = lambda x, y: (x * y).cast("decimal(38,0)")
+    if k < 4:
+        path = kept.where("dst > src").toDF("a0", "a1", "n")
+        hop = kept.toDF("_s", "_d", "_n")
+        if k == 3:
+            path = path.join(hop, (F.col("_s") == F.col("a1")) & (F.col("_d") > F.col("a0"))).select("a0", "a1", F.col("_d").alias("a2"), times(F.col("n"), F.col("_n")).alias("n"))
+        path = path.join(hop, (F.col("_s") == F.col(f"a{k - 1}")) & (F.col("_d") == F.col("a0")))
+        found = path.select(*[f"a{j}" for j in range(k)], times(F.col("n"), F.col("_n")).alias("n"))
+    else:
+        found = _halves(kept, k, {"n": times}, rounds)
+    found = rounds.keep(found)
+    used = reduce(DataFrame.union, [found.select(F.col(f"a{i}").alias("src"), F.col(f"a{(i + 1) % k}").alias("dst")).distinct() for i in range(k)]).distinct()
+    return FactorisedPaths(k, found, rounds.keep(t.join(used, ["src", "dst"], "left_semi")))

@@ -47,6 +47,19 @@ def page(accounts: DataFrame, after: str, batch_size: int) -> DataFrame:
     return accounts.select("account_id").where(F.col("account_id") > after).orderBy("account_id").limit(batch_size)
 
 
+def pages(accounts: DataFrame, batch_size: int) -> DataFrame:
+    """(page, after, last, accounts): all keyset pages at once. Page after page, `page(accounts, after, batch_size)` gives the same accounts; the first one's `after` is null.
+    Accounts are numbered by sorted ranges and their counts, so no page waits for the one before."""
+    from .rings import numbered
+
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
+    rows = numbered(accounts.select("account_id").where("account_id is not null").distinct(), [F.col("account_id")], "PAGE", "_id")
+    own = rows.groupBy(F.floor(F.col("_number") / batch_size).alias("page")).agg(F.max("account_id").alias("last"), F.count("*").alias("accounts"))
+    before = own.select((F.col("page") + 1).alias("page"), F.col("last").alias("after"))
+    return own.join(before, "page", "left").select("page", "after", "last", "accounts")
+
+
 def threshold(edges: DataFrame, min_pair_transactions: int = 0, min_pair_amount: float = 0.0) -> DataFrame:
     """Edges of enough transactions and amount, filtered once before any join."""
     return edges.where((F.col("transaction_count") >= min_pair_transactions) & (F.col("total_amount") >= min_pair_amount))

@@ -1,6 +1,7 @@
 """Measures of account groups over the transfers inside them.
 
-Pairs inside a group are found by two equi-joins (source among the members, then destination), never by comparing a group with all pairs.
+Pairs inside a group of PAIRED accounts at most are found by one equi-join of its ordered pairs, whose number is bounded, so a hub's other edges meet no group. Larger
+groups take two equi-joins (source among the members, then destination), never a comparison with all pairs.
 """
 
 from __future__ import annotations
@@ -11,15 +12,22 @@ from pyspark.sql import functions as F
 from .edges import DEFAULT_RISK
 
 
+#: Accounts of a group up to which its own ordered pairs are joined: that many squared, at most, for each.
+PAIRED = 16
+
+
 def members(groups: DataFrame, key: str) -> DataFrame:
     return groups.select(key, F.explode("participants").alias("account_id"))
 
 
 def inside(groups: DataFrame, weighed_pairs: DataFrame, key: str) -> DataFrame:
-    """(key, src, dst, ...): the pairs with both ends in a group."""
-    m = members(groups, key)
-    found = m.withColumnRenamed("account_id", "src").join(weighed_pairs, "src")
-    return found.join(m.withColumnRenamed("account_id", "dst"), [key, "dst"])
+    """(key, src, dst, ...): the pairs with both ends in a group, self-loops too."""
+    small = groups.where(F.size("participants") <= PAIRED).select(key, F.explode("participants").alias("src"), "participants").select(key, "src", F.explode("participants").alias("dst"))
+    columns = [key, "src", "dst", *[c for c in weighed_pairs.columns if c not in ("src", "dst")]]
+    near = small.join(weighed_pairs, ["src", "dst"]).select(*columns)
+    m = members(groups.where(F.size("participants") > PAIRED), key)
+    far = m.withColumnRenamed("account_id", "src").join(weighed_pairs, "src").join(m.withColumnRenamed("account_id", "dst"), [key, "dst"]).select(*columns)
+    return near.union(far)
 
 
 def with_set_key(records: DataFrame) -> DataFrame:

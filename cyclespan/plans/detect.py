@@ -66,8 +66,8 @@ def detect(accounts: DataFrame, transfers: DataFrame, sizes: Sequence[int] = (3,
     table = rounds.keep(E.threshold(E.edges(transfers) if edges is None else edges, min_pair_transactions, min_pair_amount)) if mode == "aggregate" else None
     load_ms, began_detect, parts = _ms(began), time.perf_counter(), []
     for k in sizes:
-        found = C.cycles(table, k, **options) if mode == "aggregate" else transactions_mode(transfers, accounts, k, **options)
         with control.time_limit(spark, query_timeout):
+            found = C.first_cycles(table, k, **options) if mode == "aggregate" else transactions_mode(transfers, accounts, k, **options)
             parts.append(rounds.keep(found.withColumn("total_amount", F.col("total_amount").cast("double"))))
     raw = parts[0]
     for p in parts[1:]:
@@ -133,8 +133,10 @@ def inner_summary(accounts: DataFrame, transfers: DataFrame, raw: DataFrame, mer
 
 
 def baseline(transfers: DataFrame, k: int, path: str, timeout: float = 900.0, skip: bool = False) -> dict[str, Any]:
-    """The unaggregated paths of one size, written as they are found; a limit gives a status instead of an error."""
-    from ..sources.files import write_jsonl
+    """The unaggregated paths of one size, written as they are found; a limit gives a status instead of an error, and rows are then those that had been written: all of finished tasks."""
+    from ..sources.files import count_lines, write_jsonl
 
-    done = control.guarded(transfers.sparkSession, lambda: write_jsonl(C.transaction_paths(transfers, k), path), timeout, skip)
-    return {"cycle_size": k, "status": done["status"], "rows": done["result"] or 0, "elapsed_ms": done["elapsed_ms"], "error": done["error"]}
+    spark = transfers.sparkSession
+    done = control.guarded(spark, lambda: write_jsonl(C.transaction_paths(transfers, k), path, keep_finished=True), timeout, skip)
+    rows = 0 if skip else done["result"] if done["result"] is not None else count_lines(spark, path)
+    return {"cycle_size": k, "status": done["status"], "rows": rows, "elapsed_ms": done["elapsed_ms"], "error": done["error"]}

@@ -14,7 +14,7 @@ from ..operators import merge as M
 from ..operators import metrics as X
 from ..operators import rings as R
 from ..operators import scc as K
-from ..sources import files, transfers
+from ..sources import cluster_store, edge_store, files, transfers
 from . import detect as D
 from .scratch import Rounds
 
@@ -114,6 +114,12 @@ def _(spark, d):
     return E.pairs(_transfers(spark, d))
 
 
+@query("s5_keyset_pages", """, q AS (SELECT account_id, (row_number() OVER (ORDER BY account_id) - 1) // 40 AS page FROM a)
+SELECT page, lag(last) OVER (ORDER BY page) AS after, last, accounts FROM (SELECT page, max(account_id) AS last, count(*) AS accounts FROM q GROUP BY page)""")
+def _(spark, d):
+    return E.pages(_accounts(spark, d), 40)
+
+
 @query("s5_keyset_page", "SELECT account_id FROM a WHERE account_id > 'ACC_00000100' ORDER BY account_id LIMIT 50")
 def _(spark, d):
     return E.page(_accounts(spark, d), "ACC_00000100", 50)
@@ -140,6 +146,16 @@ def _(spark, d):
     return _plain(E.upsert(E.edges(t.where(old)), E.edges(t.where(~old)), rebuild=False))
 
 
+@query("s15_edge_table", _HALVES + _EDGE.format("u"))
+def _(spark, d):
+    """The stored table: made of the older transfers, then brought up to date with the newer ones in batches of parts."""
+    t, path = _transfers(spark, d), f"{Rounds(spark, 'store').root}/edges"
+    old = F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz")
+    edge_store.prepare(t.where(old), path)
+    edge_store.prepare(t.where(~old), path, rebuild=False, parts_at_once=16)
+    return _plain(edge_store.load(spark, path))
+
+
 @query("s15_edges_rebuild", _HALVES + _EDGE.format("hn"))
 def _(spark, d):
     t = _transfers(spark, d)
@@ -180,6 +196,11 @@ for _name, _k, _pair, _n, _m in (("j1_cycles_k3", 3, 2, 0, 0), ("j1_cycles_k5",
     query(_name, _CYCLE.format(p=participants_sql(_k), k=_k, q=cycle_sql(_k, _pair), n=_n, m=_m))(_run)
 
 
+@query("t3_first_cycles", _CYCLE.format(p=participants_sql(3), k=3, q=cycle_sql(3, 0), n=0, m=0) + " ORDER BY participants LIMIT 50")
+def _(spark, d):
+    return _plain(C.first_cycles(_edges(spark, d), 3, 50))
+
+
 @query("t3_cycle_limit", _CYCLE.format(p=participants_sql(3), k=3, q=cycle_sql(3, 2), n=0, m=0) + " ORDER BY participants LIMIT 10")
 def _(spark, d):
     return _plain(C.cycles(_edges(spark, d), 3, 2, limit=10))
@@ -256,9 +277,51 @@ for _k, _pair in ((5, 0), (8, 2)):
     query(f"j3_path_count_k{_k}", f"SELECT count(*) AS n_cycles, CAST({_k} * coalesce(sum(w), 0) AS BIGINT) AS n_paths FROM (SELECT {' * '.join(f'r{i}.n' for i in range(_k))} AS w FROM {cycle_sql(_k, _pair).split(' FROM ', 1)[1]})")(_run)
 
 
+_COUNT8 = f"""
+, h AS MATERIALIZED (SELECT x.src AS a0, x.dst AS a1, y.dst AS a2, z.dst AS a3, w.dst AS a4, x.n * y.n * z.n * w.n AS n, x.n + y.n + z.n + w.n AS s, x.amt + y.amt + z.amt + w.amt AS amt FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst JOIN e w ON w.src = z.dst
+  WHERE x.src <> y.dst AND x.src <> z.dst AND x.src <> w.dst AND x.dst <> z.dst AND x.dst <> w.dst AND y.dst <> w.dst),
+c AS (SELECT f.a0 AS account, f.n * b.n AS n, f.s + b.s AS s, f.amt + b.amt AS amt FROM h f JOIN h b ON b.a0 = f.a4 AND b.a4 = f.a0
+  WHERE f.a0 < least(f.a1, f.a2, f.a3, f.a4, b.a1, b.a2, b.a3) AND {' AND '.join(f'f.a{i} <> b.a{j}' for i in (1, 2, 3) for j in (1, 2, 3))})"""
+
+
+@query("j1_cycles_k8_unthresholded", _COUNT8 + " SELECT account, count(*) AS n_cycles, CAST(sum(s) AS BIGINT) AS transactions, CAST(sum(amt) AS DOUBLE) AS total_amount FROM c GROUP BY account")
+def _(spark, d):
+    """All of them, added up by their least account."""
+    found = C.cycles_by_halves(_edges(spark, d), 8)
+    return _plain(found.groupBy(F.col("participants")[0].alias("account")).agg(F.count("*").alias("n_cycles"), F.sum("transactions").alias("transactions"), F.sum("total_amount").alias("total_amount")))
+
+
+for _k in (5, 6):
+
+    def _run(spark, d, k=_k):
+        return _plain(C.cycles_by_halves(_edges(spark, d), k))
+
+    query(f"j1_cycles_k{_k}_unthresholded", _CYCLE.format(p=participants_sql(_k), k=_k, q=cycle_sql(_k, 0), n=0, m=0))(_run)
+
+
+@query("j3_path_count_k8_unthresholded", _COUNT8 + " SELECT count(*) AS n_cycles, CAST(8 * coalesce(sum(n), 0) AS BIGINT) AS n_paths FROM c")
+def _(spark, d):
+    return C.factorised_paths(_transfers(spark, d), 8).count()
+
+
+for _k in (2, 3):
+
+    def _run(spark, d, k=_k):
+        return _plain(C.factorised_paths(_transfers(spark, d), k).expand())
+
+    query(f"j3_factorised_paths_k{_k}", _paths_sql(_k))(_run)
+
+
 # Components
 
 
+@query("g1_strong_components_by_rounds", SCC_SQL + " SELECT account_id, component FROM scc", recursive=True)
+def _(spark, d):
+    """Without the end in one task."""
+    a, t = transfers.load(spark, d)
+    return K.strong_components(E.pairs(t), E.account_ids(a), local_edges=0)
+
+
 @query("g1_strong_components", SCC_SQL + " SELECT account_id, component FROM scc", recursive=True)
 def _(spark, d):
     a, t = transfers.load(spark, d)
@@ -320,9 +383,12 @@ def _records(spark, d):
     return C.cycles_of(_edges(spark, d), (3, 5, 8), min_pair_transactions=2)
 
 
-@query("a9_merged_records", _REC + CLUSTER_SQL + """
+_MERGED_SQL = _REC + CLUSTER_SQL + """
 SELECT array_to_string(list_sort(list_distinct(flatten(list(participants)))), '|') AS participants, CAST(len(list_distinct(flatten(list(participants)))) AS BIGINT) AS participant_count, CAST(max(n) AS BIGINT) AS transactions, CAST(max(amt) AS DOUBLE) AS total_amount,
-  count(*) AS cycles, count(*) AS fragment_count, array_to_string(list_sort(list_distinct(list(cycle_size))), '|') AS candidate_cycle_sizes FROM rec JOIN cluster USING (rid) GROUP BY cluster""", recursive=True)
+  count(*) AS cycles, count(*) AS fragment_count, array_to_string(list_sort(list_distinct(list(cycle_size))), '|') AS candidate_cycle_sizes FROM rec JOIN cluster USING (rid) GROUP BY cluster"""
+
+
+@query("a9_merged_records", _MERGED_SQL, recursive=True)
 def _(spark, d):
     return _plain(M.ordered_merged(M.merge_records(_records(spark, d))).select("participants", "participant_count", "transactions", "total_amount", "cycles", "fragment_count", "candidate_cycle_sizes"))
 
@@ -335,12 +401,35 @@ def _scoped_clusters(k):
 cl{k} AS (SELECT i, j FROM l{k} UNION SELECT cl{k}.i, l{k}.j FROM cl{k} JOIN l{k} ON cl{k}.j = l{k}.i), cluster{k} AS (SELECT i AS rid, min(j) AS cluster FROM cl{k} GROUP BY i)"""
 
 
-@query("a13_fragmentation", _REC + CLUSTER_SQL + "".join(map(_scoped_clusters, (3, 5, 8))) + ", ff AS (" + " UNION ALL ".join([_FF.format(s="total", c="cluster", w="")] + [_FF.format(s=k, c=f"cluster{k}", w="") for k in (3, 5, 8)]) + """)
-SELECT *, raw_cycles::DOUBLE / unique_sets AS ff_enumeration, unique_sets::DOUBLE / merged_clusters AS ff_fragmentation, raw_cycles::DOUBLE / merged_clusters AS ff_total FROM ff""", recursive=True)
+_FRAGMENTATION_SQL = _REC + CLUSTER_SQL + "".join(map(_scoped_clusters, (3, 5, 8))) + ", ff AS (" + " UNION ALL ".join([_FF.format(s="total", c="cluster", w="")] + [_FF.format(s=k, c=f"cluster{k}", w="") for k in (3, 5, 8)]) + """)
+SELECT *, raw_cycles::DOUBLE / unique_sets AS ff_enumeration, unique_sets::DOUBLE / merged_clusters AS ff_fragmentation, raw_cycles::DOUBLE / merged_clusters AS ff_total FROM ff"""
+
+
+@query("a13_fragmentation", _FRAGMENTATION_SQL, recursive=True)
 def _(spark, d):
     return M.fragmentation(_records(spark, d))
 
 
+def _appended(spark, d):
+    """The records in three appends to a stored cluster table."""
+    path = f"{Rounds(spark, 'store').root}/clusters"
+    records = Rounds(spark, "records").keep(_records(spark, d))
+    third = F.pmod(F.xxhash64("participants"), F.lit(3))
+    for i in range(3):
+        cluster_store.append(records.where(third == i), path)
+    return path
+
+
+@query("a9_merged_records_appended", _MERGED_SQL, recursive=True)
+def _(spark, d):
+    return _plain(M.ordered_merged(cluster_store.merged(spark, _appended(spark, d))).select("participants", "participant_count", "transactions", "total_amount", "cycles", "fragment_count", "candidate_cycle_sizes"))
+
+
+@query("a13_fragmentation_appended", _FRAGMENTATION_SQL, recursive=True)
+def _(spark, d):
+    return cluster_store.fragmentation(spark, _appended(spark, d))
+
+
 # Rings
 
 _RING = """, agg AS (SELECT list_sort(participants) AS s, max(n)::BIGINT AS transactions, CAST(max(amt) AS DOUBLE) AS total_amount, count(*) AS cycles FROM rec0 GROUP BY 1),

@@ -23,16 +23,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CYCLE_RECO
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def write_jsonl(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> int:
-    """Lines of JSON, nulls left out, written where the rows are; the number of rows. single_file: through one task, for small results."""
+def write_jsonl(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite", keep_finished: bool = False) -> int:
+    """Lines of JSON, nulls left out, written where the rows are; the number of rows. single_file: through one task, for small results.
+    keep_finished: a task's file is in its place as soon as the task is done, so those that are done outlive a run that stops."""
     from pyspark.sql import Observation
 
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    (counted.coalesce(1) if single_file else counted).write.mode(mode).json(path)
+    writer = (counted.coalesce(1) if single_file else counted).write.mode(mode)
+    if keep_finished:
+        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.json(path)
     return int(seen.get["n"])
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines in the files that are in their place; 0 without a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.text(path).count() if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else 0
+
+
 def with_defaults(df: DataFrame, prefix: str, ring_type: str, source_approach: str, order: list, pattern: str | None = None) -> DataFrame:
     """Candidates with ring_id (prefix and number in the given order), ring_type, source_approach and pattern where they have none."""
     from ..operators.rings import numbered
