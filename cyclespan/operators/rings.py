@@ -32,28 +32,51 @@ def normalize(records: DataFrame) -> DataFrame:
     )
 
 
-def aggregate(records: DataFrame, strict: bool = False, instances: bool = False) -> DataFrame:
-    """One row for each set of accounts. Group-level records give their greatest transactions and amount, others add up.
-
-    strict: a group-level record's transactions are read from group_transactions alone, else its cycle size; by default `transactions` comes before that.
-    A set of mixed records takes the greater of the group-level ones and the others' sum. Where records have a risk column, each counts in the mean
-    risk, a null as 0.5, and the mean is rounded to four places before anything is decided on it.
-    """
+def partials(records: DataFrame, strict: bool = False, instances: bool = False) -> DataFrame:
+    """One row for each set of accounts, with sums and greatest values from which `finished` makes a ring's measures. Rows of several runs can be put together by `combined`."""
     r = normalize(records).where(F.size("members") > 0)
     group_level = F.col("metrics_are_group_level")
     stated = [F.col("group_transactions")] + ([] if strict else [F.when(F.col("transactions") != 0, F.col("transactions"))])
     r = r.withColumn("n_of", F.when(group_level, F.coalesce(*stated, F.col("cycle_size").cast("long"))).otherwise(F.col("loose_transactions")))
     exact = F.col("amount_of").cast("decimal(28,6)")
-    best = lambda c: F.coalesce(F.max(F.when(group_level, F.col(c) if isinstance(c, str) else c)), F.lit(0))
-    total = lambda c: F.coalesce(F.sum(F.when(~group_level, F.col(c) if isinstance(c, str) else c)), F.lit(0))
-    mean = F.sum(F.coalesce("avg_kyc_risk_score", F.lit(0.5)).cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))
-    risk = S.round_half_even(mean, 4) if "avg_kyc_risk_score" in records.columns else F.lit(None).cast("double")
+    best = lambda c: F.max(F.when(group_level, c))
+    total = lambda c: F.sum(F.when(~group_level, c))
+    # Without a risk column no record counts in the mean.
+    with_risk = "avg_kyc_risk_score" in records.columns
+    risk = F.coalesce("avg_kyc_risk_score", F.lit(0.5)) if with_risk else F.lit(0.0)
     more = [F.collect_list(F.struct("participants", "cycle_size", S.round_half_even(F.col("amount_of"), 2).alias("total_amount"), "score", "density", "method", "component_id", "community_id")).alias("cycle_instances")] if instances else []
     return r.groupBy(F.col("members").alias("participants")).agg(
-        F.greatest(best("n_of"), total("n_of")).cast("long").alias("transactions"), F.greatest(best(exact), total(exact)).cast("double").alias("total_amount"), F.sum("cycles_of").alias("cycles"),
-        F.max("score").alias("score"), risk.alias("avg_kyc_risk_score"), F.max("density").alias("density"),
-        F.max("fraud_transaction_count").alias("fraud_transaction_count"), F.max("fraud_member_count").alias("fraud_member_count"), *more,
-    ).withColumn("participant_count", F.size("participants")).withColumn("pattern", S.pattern_for_size(F.col("participant_count")))
+        best(F.col("n_of")).cast("long").alias("best_n"), total(F.col("n_of")).cast("long").alias("sum_n"), best(exact).cast("decimal(38,6)").alias("best_amount"), total(exact).cast("decimal(38,6)").alias("sum_amount"),
+        F.sum("cycles_of").alias("cycles"), F.max("score").alias("score"), F.sum(risk.cast("decimal(28,12)")).cast("decimal(38,12)").alias("risk_sum"), F.count(F.lit(1) if with_risk else F.lit(None)).alias("risk_rows"),
+        F.max("density").alias("density"), F.max("fraud_transaction_count").alias("fraud_transaction_count"), F.max("fraud_member_count").alias("fraud_member_count"), *more,
+    )
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """Rows of `partials` of several runs, one for each set of accounts."""
+    sums, kinds = ("sum_n", "sum_amount", "cycles", "risk_sum", "risk_rows"), dict(rows.dtypes)
+    return rows.groupBy("participants").agg(*[(F.sum(c) if c in sums else F.max(c)).cast(kinds[c]).alias(c) for c in rows.columns if c != "participants"])
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Rings of the rows of `partials` or `combined`."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    risk = F.when(F.col("risk_rows") > 0, S.round_half_even(F.col("risk_sum").cast("double") / F.col("risk_rows"), 4))
+    more = ["cycle_instances"] if "cycle_instances" in rows.columns else []
+    return rows.select(
+        "participants", F.greatest(zero("best_n"), zero("sum_n")).cast("long").alias("transactions"), F.greatest(zero("best_amount"), zero("sum_amount")).cast("double").alias("total_amount"), "cycles",
+        "score", risk.alias("avg_kyc_risk_score"), "density", "fraud_transaction_count", "fraud_member_count", *more,
+    ).withColumn("participant_count", F.size("participants")).withColumn("pattern", S.pattern_for_size(F.col("participant_count")))
+
+
+def aggregate(records: DataFrame, strict: bool = False, instances: bool = False) -> DataFrame:
+    """One row for each set of accounts. Group-level records give their greatest transactions and amount, others add up.
+
+    strict: a group-level record's transactions are read from group_transactions alone, else its cycle size; by default `transactions` comes before that.
+    A set of mixed records takes the greater of the group-level ones and the others' sum. Where records have a risk column, each counts in the mean
+    risk, a null as 0.5, and the mean is rounded to four places before anything is decided on it.
+    """
+    return finished(partials(records, strict, instances))
 
 
 def classify(rings: DataFrame, min_fraud_score: float = S.MIN_FRAUD_SCORE) -> DataFrame:
@@ -94,7 +117,12 @@ def numbered(rows: DataFrame, order: list, prefix: str, column: str = "ring_id")
 
 def rings(records: DataFrame, prefix: str = "RING", strict: bool = False, fraud_only: bool = False, min_fraud_score: float = S.MIN_FRAUD_SCORE, instances: bool = False, source_approach: str | None = None) -> DataFrame:
     """Aggregated, classified, ordered by amount, cycles and size, numbered; fields in FIELDS come first, the amount is rounded after the order."""
-    out = classify(aggregate(records, strict, instances), min_fraud_score)
+    return listed(aggregate(records, strict, instances), prefix, fraud_only, min_fraud_score, source_approach)
+
+
+def listed(found: DataFrame, prefix: str = "RING", fraud_only: bool = False, min_fraud_score: float = S.MIN_FRAUD_SCORE, source_approach: str | None = None) -> DataFrame:
+    """The same for rings that are aggregated already."""
+    out = classify(found, min_fraud_score)
     if fraud_only:
         out = out.where("is_fraud_ring")
     out = numbered(out, [F.desc("total_amount"), F.desc("cycles"), F.desc("participant_count"), F.col("participants")], prefix)

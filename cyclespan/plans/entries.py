@@ -12,9 +12,10 @@ from ..operators import generator as N
 from ..operators import graph_extras as G
 from ..operators import merge as M
 from ..operators import metrics as X
+from ..operators import modularity as Q
 from ..operators import rings as R
 from ..operators import scc as K
-from ..sources import cluster_store, edge_store, files, transfers
+from ..sources import cluster_store, edge_store, files, ring_store, transfers
 from . import detect as D
 from .scratch import Rounds
 
@@ -438,11 +439,24 @@ kd AS (SELECT *, CASE WHEN total_amount >= 1000000 OR (total_amount >= 500000 AN
 rg AS (SELECT *, floor(score * 10000 + 0.5) / 10000 >= 0.35 AND kind <> 'benign_cycle' AS is_fraud_ring, row_number() OVER (ORDER BY total_amount DESC, cycles DESC, pc DESC, s) - 1 AS i FROM kd)"""
 
 
-@query("a11_ring_aggregation", records_sql("rec0") + _RING + " SELECT array_to_string(s, '|') AS participants, CAST(pc AS BIGINT) AS participant_count, transactions, total_amount, cycles, CASE WHEN pc IN (3, 4, 5) THEN 'cycle_' || pc ELSE 'complex_network' END AS pattern FROM rg")
+_RINGS_SQL = records_sql("rec0") + _RING + " SELECT array_to_string(s, '|') AS participants, CAST(pc AS BIGINT) AS participant_count, transactions, total_amount, cycles, CASE WHEN pc IN (3, 4, 5) THEN 'cycle_' || pc ELSE 'complex_network' END AS pattern FROM rg"
+
+
+@query("a11_ring_aggregation", _RINGS_SQL)
 def _(spark, d):
     return _plain(R.aggregate(_records(spark, d)).select("participants", "participant_count", "transactions", "total_amount", "cycles", "pattern"))
 
 
+@query("a11_rings_appended", _RINGS_SQL)
+def _(spark, d):
+    """The records in two runs, each of which adds its partial aggregates to a stored table."""
+    path, records = f"{Rounds(spark, 'store').root}/rings", Rounds(spark, "records").keep(_records(spark, d))
+    half = F.pmod(F.xxhash64("participants", "transactions"), F.lit(2))
+    for i in range(2):
+        ring_store.append(records.where(half == i), path)
+    return _plain(ring_store.rings(spark, path).select("participants", "participant_count", "transactions", "total_amount", "cycles", "pattern"))
+
+
 @query("a11_ring_aggregation_strict", records_sql("rec0") + " SELECT array_to_string(list_sort(participants), '|') AS participants, CAST(max(cycle_size) AS BIGINT) AS transactions, CAST(max(amt) AS DOUBLE) AS total_amount, count(*) AS cycles FROM rec0 GROUP BY list_sort(participants)")
 def _(spark, d):
     return _plain(R.aggregate(_records(spark, d), strict=True).select("participants", "transactions", "total_amount", "cycles"))
@@ -588,6 +602,11 @@ def _(spark, d):
     return G.communities(_edges(spark, d))
 
 
+@query("g4_modularity_communities")
+def _(spark, d):
+    return Q.louvain(_edges(spark, d))
+
+
 _BETWEEN = """, n AS MATERIALIZED (SELECT CAST(substr(account_id, 5) AS INTEGER) AS i, account_id FROM a),
 q AS MATERIALIZED (SELECT DISTINCT CAST(substr(src, 5) AS INTEGER) AS src, CAST(substr(dst, 5) AS INTEGER) AS dst FROM t WHERE src <> dst),
 walk(s, v, lvl) AS (SELECT i, i, 0 FROM n UNION SELECT walk.s, q.dst, walk.lvl + 1 FROM walk JOIN q ON q.src = walk.v WHERE walk.lvl < 14),

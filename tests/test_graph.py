@@ -13,6 +13,7 @@ from cyclespan.operators import edges as E
 from cyclespan.operators import graph_extras as G
 from cyclespan.operators import merge as M
 from cyclespan.operators import metrics as X
+from cyclespan.operators import modularity as Q
 from cyclespan.operators import rings as R
 from cyclespan.operators import scc as K
 from cyclespan.plans import detect as D
@@ -328,3 +329,70 @@ def test_invariants(spark):
     assert X.simple_graph_metrics(groups, e, E.nodes(a)).count() == 2
     with pytest.raises(ValueError):
         D.detect(a, t, mode="fixed")
+
+
+def modularity_of(weights, labels):
+    """Of {(a, b): weight} both ways and {v: community}."""
+    m2 = sum(weights.values())
+    k = {}
+    for (a, _), w in weights.items():
+        k[a] = k.get(a, 0) + w
+    inside = sum(w for (a, b), w in weights.items() if labels[a] == labels[b])
+    sums = {}
+    for v, c in labels.items():
+        sums[c] = sums.get(c, 0) + k[v]
+    return inside / m2 - sum(x * x for x in sums.values()) / m2**2
+
+
+def test_communities_are_a_local_optimum_of_modularity(spark):
+    rng = random.Random(3)
+    flows = [(f"V{g}{a}", f"V{g}{b}", 1) for g in range(4) for a in range(6) for b in range(6) if rng.random() < 0.45]
+    flows += [(f"V{rng.randrange(4)}{rng.randrange(6)}", f"V{rng.randrange(4)}{rng.randrange(6)}", 1) for _ in range(14)]
+    e = E.edges(moves(spark, flows))
+    weights = {}
+    for r in e.collect():
+        for p in ((r.src, r.dst), (r.dst, r.src)):
+            weights[p] = weights.get(p, 0) + r.transaction_count
+    found = Q.louvain(e, tolerance=0)
+    labels = {r.account_id: r.community for r in found.collect()}
+    best = modularity_of(weights, labels)
+    assert Q.modularity(e, found) == pytest.approx(best)
+    assert all(c == min(v for v in labels if labels[v] == c) for c in labels.values())
+    near = {v: {labels[b] for a, b in weights if a == v} for v in labels}
+    for v in labels:
+        for c in near[v]:
+            assert modularity_of(weights, labels | {v: c}) <= best + 1e-12
+    groups = set(labels.values())
+    for c in groups:
+        for d in groups:
+            assert modularity_of(weights, {v: d if x == c else x for v, x in labels.items()}) <= best + 1e-12
+    spread = {r.account_id: r.community for r in G.communities(e).collect()}
+    assert modularity_of(weights, spread) <= best + 1e-12
+    assert Q.louvain(e.where("false")).count() == 0
+
+
+def test_shortest_paths_of_many_graphs(spark):
+    rng = random.Random(6)
+    for n, m, most in ((9, 30, 3), (12, 22, 50), (8, 40, 1)):
+        flows = {(rng.randrange(n), rng.randrange(n)): rng.randint(0 if most == 3 else 1, most) for _ in range(m)}
+        e = E.edges(moves(spark, [(f"V{a:02d}", f"V{b:02d}", w) for (a, b), w in flows.items()]))
+        for target in (1, n - 1):
+            every = []
+
+            def walk(path, cost):
+                if path[-1] == target:
+                    every.append((cost, [f"V{v:02d}" for v in path]))
+                    return
+                for (a, b), w in flows.items():
+                    if a == path[-1] and b not in path:
+                        walk([*path, b], cost + w)
+
+            walk([0], 0)
+            got = [(r.cost, r.path) for r in G.shortest_path(e, "V00", f"V{target:02d}").collect()]
+            if not every:
+                assert got == []
+            elif most > 3:
+                assert got == [min(every)]
+            else:  # with edges of amount 0, or many ties, the cost is what counts; ties go by names
+                assert got[0][0] == min(every)[0] and (got[0][0], got[0][1]) in every
+                assert any(w == 0 for w in flows.values()) or got == [min(every)]

@@ -9,8 +9,9 @@ from cyclespan.operators import cycles as C
 from cyclespan.operators import edges as E
 from cyclespan.operators import merge as M
 from cyclespan.operators import metrics as X
+from cyclespan.operators import rings as R
 from cyclespan.plans import detect as D
-from cyclespan.sources import cluster_store, edge_store
+from cyclespan.sources import cluster_store, edge_store, ring_store
 from cyclespan.sources.versions import Versions
 
 
@@ -230,3 +231,28 @@ def test_a_stopped_baseline_tells_the_rows_that_can_be_read(spark, tmp_path, mon
     assert stopped["status"] == "skipped_timeout_or_resource_limit"
     assert 0 < stopped["rows"] == spark.read.text(f"file://{tmp_path}/part").count() < 64
     assert D.baseline(t, 3, f"file://{tmp_path}/none", skip=True)["rows"] == 0
+
+
+# Rings
+
+
+def test_rings_of_two_runs_are_those_of_one(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        own = rng.sample("ABCDEFG", rng.choice([3, 4]))
+        rows.append((own, len(own), rng.randint(0, 9), rng.choice([0.0, 12.5, 700_000.25, None]), rng.choice([1, 2, None]), rng.random() < 0.5, rng.choice([0.1, 0.9, None]), rng.choice([None, 0.4]), rng.choice([0, 3, None])))
+    df = spark.createDataFrame(rows, "participants array<string>, cycle_size int, transactions long, total_amount double, cycles long, metrics_are_group_level boolean, avg_kyc_risk_score double, density double, fraud_transaction_count long")
+    parts = [df.where(f"pmod(xxhash64(participants, transactions), 3) = {i}") for i in range(3)]
+    for risk in (True, False):
+        for strict in (True, False):
+            path = f"file://{tmp_path}/rings{risk}{strict}"
+            own = (lambda x: x) if risk else (lambda x: x.drop("avg_kyc_risk_score"))
+            for p in parts:
+                ring_store.append(own(p), path, strict)
+            want = [tuple(r) for r in R.rings(own(df), strict=strict).orderBy("ring_id").collect()]
+            assert [tuple(r) for r in ring_store.rings(spark, path).orderBy("ring_id").collect()] == want and want
+            with pytest.raises(ValueError):
+                ring_store.append(df, path, not strict)
+    ring_store.compact(spark, path)
+    assert [tuple(r) for r in ring_store.rings(spark, path).orderBy("ring_id").collect()] == want
