@@ -23,10 +23,12 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import itertools
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,13 @@ WINDOW, CALL_WINDOWS = 64, 4096
 #: Ids of one list that is decoded at once.
 DECODE_IDS = 50_000
 #: Bytes of a generation of kept words, as estimated from their lengths.
-KEPT_BYTES = 40 << 20
+KEPT_BYTES = 56 << 20
 #: Words of one call of the recursive query.
 CALL_WORDS = 60_000
 
 _SHORT_SQL = """
 WITH RECURSIVE s AS (
-  SELECT wid, list(id ORDER BY pos) AS ids, false AS final FROM start GROUP BY wid
+  SELECT wid, ids, false AS final FROM start
   UNION ALL
   (WITH p AS (SELECT wid, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS pos FROM s WHERE NOT final),
    best AS (SELECT wid, min((merged::BIGINT << 32) | pos) AS k FROM p JOIN merges ON pair = ((l::BIGINT << 32) | r) GROUP BY wid)
@@ -53,9 +55,9 @@ WITH RECURSIVE s AS (
    FROM s LEFT JOIN best USING (wid) WHERE NOT final)
 ), f AS (SELECT wid, ids FROM s WHERE final)
 """
-_WHOLE_SQL = "WITH f AS (SELECT wid, list(id ORDER BY pos) AS ids FROM start GROUP BY wid)"
+_WHOLE_SQL = "WITH f AS (SELECT wid, ids FROM start)"
 _OUT_SQL = """
-, d AS (SELECT wid, string_agg(hex(bytes), '' ORDER BY pos) AS decoded FROM (SELECT wid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM f) JOIN vocabulary USING (id) GROUP BY wid)
+, d AS (SELECT wid, string_agg(digits, '' ORDER BY pos) AS decoded FROM (SELECT wid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM f) JOIN vocabulary USING (id) GROUP BY wid)
 SELECT wid, len(ids)::INTEGER AS n, array_to_string(ids, ' ') AS ids, decoded FROM f JOIN d USING (wid)
 """
 
@@ -109,9 +111,7 @@ class Encoder:
         self.db.register("pairs", pairs)
         self.db.register("tokens", tokens)
         self.db.execute("CREATE TABLE merges AS SELECT (l << 32) | r AS pair, merged FROM pairs")
-        # Tokens that a later, lower-ranked merge can take up: their occurrences are contracted one by one.
-        self.db.execute("CREATE TABLE early AS SELECT DISTINCT t AS merged FROM (SELECT l AS t, merged FROM pairs UNION ALL SELECT r, merged FROM pairs) WHERE merged <= t")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT id, bytes FROM tokens")
+        self.db.execute("CREATE TABLE vocabulary AS SELECT id, hex(bytes) AS digits FROM tokens")
         self.db.unregister("pairs"), self.db.unregister("tokens")
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes]] = {}
@@ -122,18 +122,18 @@ class Encoder:
         self.known, self.older, self.held = {}, {}, 0
         trim()
 
-    def _run(self, wid: np.ndarray, pos: np.ndarray, ids: np.ndarray, sql: str) -> zip:
-        """(place, number of ids, ids, decoded bytes as hexadecimal digits) of each word."""
-        self.db.register("start", pa.table({"wid": wid, "pos": pos, "id": ids}))
+    def _run(self, ids: np.ndarray, lengths: np.ndarray, sql: str) -> zip:
+        """(place, number of ids, ids, decoded bytes as hexadecimal digits) of each word; ids: those that the words begin with, so many of each."""
+        edges = np.zeros(len(lengths) + 1, np.int32)
+        np.cumsum(lengths, out=edges[1:])
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids, pa.int32()))
+        self.db.register("start", pa.table({"wid": np.arange(len(lengths), dtype=np.int32), "ids": lists}))
         out = self.db.execute(sql + _OUT_SQL).fetchnumpy()
         self.db.unregister("start")
         return zip(out["wid"].tolist(), out["n"].tolist(), out["ids"].tolist(), out["decoded"].tolist())
 
     def _contract(self, words: list[bytes]) -> zip:
-        lengths = np.array([len(w) for w in words])
-        flat = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        wid = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        return self._run(wid, np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths), flat, _SHORT_SQL)
+        return self._run(self.byte_id[np.frombuffer(b"".join(words), np.uint8)], np.fromiter(map(len, words), np.int64, len(words)), _SHORT_SQL)
 
     def learn(self, words: set[str]) -> None:
         """Make all of words known."""
@@ -154,7 +154,7 @@ class Encoder:
                 rest[len(b) > LONG].append((w, b))
         for at in range(0, len(whole), CALL_WORDS):
             part = whole[at : at + CALL_WORDS]
-            self._keep([w for w, _ in part], self._run(np.arange(len(part), dtype=np.int32), np.zeros(len(part), np.int64), np.array([r for _, r in part], np.int32), _WHOLE_SQL))
+            self._keep([w for w, _ in part], self._run(np.array([r for _, r in part], np.int32), np.ones(len(part), np.int64), _WHOLE_SQL))
         short = rest[False]
         for at in range(0, len(short), CALL_WORDS):
             part = short[at : at + CALL_WORDS]
@@ -167,7 +167,7 @@ class Encoder:
         texts, decoded = [], []
         for at in range(0, len(ids), DECODE_IDS):
             part = np.array(ids[at : at + DECODE_IDS], np.int32)
-            ((_, _, text, own),) = self._run(np.zeros(len(part), np.int32), np.arange(len(part), dtype=np.int64), part, _WHOLE_SQL)
+            ((_, _, text, own),) = self._run(part, np.array([len(part)]), _WHOLE_SQL)
             texts.append(text), decoded.append(own)
         return [(0, len(ids), " ".join(texts), "".join(decoded))]
 
@@ -222,13 +222,17 @@ class Encoder:
         gc.disable()  # many tuples are made, and none in a cycle
         try:
             parted = [self.pattern.findall(t) for t in texts]
-            self.learn(set().union(*parted))
-            get, out = self.known.__getitem__, []
-            for p in parted:
-                # A word that was not encoded ends the task with a KeyError.
-                n, ids, decoded = zip(*map(get, p)) if p else ((), (), ())
-                out.append((sum(n), " ".join(ids), b"".join(decoded)))
-            return out
+            edges = np.zeros(len(texts) + 1, np.int32)
+            np.cumsum([len(p) for p in parted], out=edges[1:])
+            flat = pa.array(itertools.chain.from_iterable(parted), pa.large_string(), size=int(edges[-1])).dictionary_encode()
+            words = flat.dictionary.to_pylist()
+            self.learn(set(words))
+            # A word that was not encoded ends the task with a KeyError.
+            n, ids, decoded = zip(*map(self.known.__getitem__, words)) if words else ((), (), ())
+            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x, kind).take(flat.indices)) for x, kind in ((ids, pa.large_string()), (decoded, pa.large_binary()))]
+            joined = [pc.binary_join(x, sign).to_pylist() for x, sign in zip(lists, (pa.scalar(" ", pa.large_string()), pa.scalar(b"", pa.large_binary())))]
+            total = np.r_[0, np.cumsum(np.array(n, np.int64)[flat.indices.to_numpy()])] if words else np.zeros(1, np.int64)
+            return list(zip((total[edges[1:]] - total[edges[:-1]]).tolist(), *joined))
         finally:
             if collects:
                 gc.enable()
