@@ -41,9 +41,9 @@ WINDOW, CALL_WINDOWS = 64, 4096
 #: Ids of one list that is decoded at once.
 DECODE_IDS = 50_000
 #: Bytes of a generation of kept words, as estimated from their lengths.
-KEPT_BYTES = 56 << 20
-#: Words of one call of the recursive query.
-CALL_WORDS = 60_000
+KEPT_BYTES = 40 << 20
+#: Bytes of text that are encoded at once, and words of one call of the recursive query.
+SLICE_BYTES, CALL_WORDS = 2 << 20, 60_000
 
 _SHORT_SQL = """
 WITH RECURSIVE s AS (
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         f.close = e.forget
         return f
 
-    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema)
+    return common.map_slices(docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")), make, schema, size=SLICE_BYTES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
