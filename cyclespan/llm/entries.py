@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op11_centroids": centroids.ORACLE,
+    "op13_turns": turns.ORACLE,
 }

@@ -59,11 +59,12 @@ def with_faults(rows: DataFrame) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.asc_nulls_first("turn"))) > 1
     sign = "[^\\x20\\x09-\\x0D]"
     fault = (
-        F.when(F.col("gone"), "").when(~F.col("text").rlike(sign), "blank").when(again, "duplicate")
+        F.when(F.col("gone"), "").when(~F.col("text").rlike(sign), "blank").when(F.col("again"), "duplicate")
         .when(~F.col("text").rlike("[.!?][\\x20\\x09-\\x0D]*\\z"), "truncated").otherwise("")
     )
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("gone", *order))
-    return dealt.withColumn("fault", fault).withColumn("place", place)
+    # Of equal rows that stand together the first is the one that isn't a repeat.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("gone", *order, "again"))
+    return dealt.withColumn("again", again).withColumn("fault", fault).withColumn("place", place).drop("again")
 
 
 def step_back(costs: tuple[int, ...], initial: str, fault: str) -> tuple[int, ...]:
@@ -246,3 +247,42 @@ def repair(conversations: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(repaired_turns(damaged(common.table(spark, sf_dir, "conversations"))))
+
+
+ORACLE = """
+WITH RECURSIVE tab AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) x(i))),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+keyed AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM raw CROSS JOIN tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS p FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d)),
+r AS MATERIALIZED (SELECT coalesce(CAST(conv_id AS VARCHAR), 'none') AS c, turn, role, text, p, role[1:1] AS i, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY p) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+bk AS MATERIALIZED (WITH RECURSIVE walk AS (
+  SELECT c, max(p) + 1 AS p, 0 AS b, 4 AS s, 2 AS u, 0 AS a FROM r GROUP BY c
+  UNION ALL
+  SELECT c, p, least(ob, 2 + least(ou, 2 + oa)), least(os, 2 + least(ou, 2 + oa)), least(ou, 2 + oa), least(oa, 2 + ou) FROM (
+    SELECT c, p, least(3 + b, kept + 2 + u, kept + CASE i WHEN 'u' THEN u WHEN 's' THEN s ELSE 1000000 END) AS ob, least(3 + s, kept + 2 + u, kept + CASE i WHEN 'u' THEN u ELSE 1000000 END) AS os,
+      least(3 + u, kept + 2 + a, kept + CASE i WHEN 'a' THEN a ELSE 1000000 END) AS ou, least(3 + a, kept + 2 + u, kept + CASE i WHEN 'u' THEN u ELSE 1000000 END) AS oa
+    FROM (SELECT r.c, r.p, r.i, w.b, w.s, w.u, w.a, CASE r.fault WHEN 'truncated' THEN 1 WHEN '' THEN 0 ELSE 1000000 END AS kept FROM walk w JOIN r ON r.c = w.c AND r.p = w.p - 1)))
+  SELECT * FROM walk),
+st AS MATERIALIZED (SELECT x.c, x.p, x.b, x.s, x.u, x.a, y.b AS nb, y.s AS ns, y.u AS nu, y.a AS na, r.role, r.text, r.i, CASE r.fault WHEN 'truncated' THEN 1 ELSE 0 END AS e
+  FROM bk x LEFT JOIN bk y ON y.c = x.c AND y.p = x.p + 1 LEFT JOIN r ON r.c = x.c AND r.p = x.p),
+fw AS (
+  SELECT c, CAST(1 AS BIGINT) AS p, 'b' AS q, '' AS audit, CAST([] AS VARCHAR[]) AS turns, 0 AS cost FROM (SELECT DISTINCT c FROM r)
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN p ELSE p + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN i ELSE due END, audit || edit,
+    CASE edit WHEN 'D' THEN turns WHEN 'I' THEN list_append(turns, dn || ':') WHEN 'K' THEN list_append(turns, role || ':' || text) ELSE list_append(turns, dn || ':' || text) END,
+    cost + CASE edit WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'K' THEN e ELSE 2 + e END FROM (
+    SELECT *, CASE WHEN now = 3 + same THEN 'D' WHEN now = 2 + there THEN 'I' WHEN i IS NULL THEN NULL WHEN (i = due OR (i = 's' AND q = 'b')) AND now = e + CASE i WHEN 's' THEN ns ELSE further END THEN 'K' ELSE 'R' END AS edit FROM (
+      SELECT fw.*, st.role, st.text, st.i, st.e, st.ns, CASE fw.q WHEN 'u' THEN 'a' ELSE 'u' END AS due, CASE fw.q WHEN 'u' THEN 'assistant' ELSE 'user' END AS dn,
+        CASE fw.q WHEN 'b' THEN st.b WHEN 's' THEN st.s WHEN 'u' THEN st.u ELSE st.a END AS now, CASE fw.q WHEN 'b' THEN st.nb WHEN 's' THEN st.ns WHEN 'u' THEN st.nu ELSE st.na END AS same,
+        CASE fw.q WHEN 'u' THEN st.a ELSE st.u END AS there, CASE fw.q WHEN 'u' THEN st.na ELSE st.nu END AS further
+      FROM fw JOIN st ON st.c = fw.c AND st.p = fw.p))
+  WHERE edit IS NOT NULL),
+done AS (SELECT c, arg_max(audit, len(audit)) AS audit, arg_max(cost, len(audit)) AS cost, arg_max(array_to_string(turns, chr(10)), len(audit)) AS text FROM fw GROUP BY c),
+sums AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (p > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'none') AS c FROM conversations) x LEFT JOIN sums USING (c) LEFT JOIN done USING (c)
+"""
