@@ -15,7 +15,7 @@ from ..operators import metrics as X
 from ..operators import modularity as Q
 from ..operators import rings as R
 from ..operators import scc as K
-from ..sources import cluster_store, edge_store, files, ring_store, transfers
+from ..sources import cluster_store, edge_store, files, ring_store, schema, transfers
 from . import detect as D
 from .scratch import Rounds
 
@@ -604,7 +604,7 @@ def _(spark, d):
 
 @query("g4_modularity_communities")
 def _(spark, d):
-    return Q.louvain(_edges(spark, d))
+    return Q.louvain(_edges(spark, d), tolerance=1e-3)
 
 
 _BETWEEN = """, n AS MATERIALIZED (SELECT CAST(substr(account_id, 5) AS INTEGER) AS i, account_id FROM a),
@@ -633,6 +633,78 @@ def _(spark, d):
     return _plain(r.agg(F.count("*").alias("raw_result_count"), F.count_distinct(F.array_sort("participants")).alias("unique_sets"), F.sum("transactions").alias("transactions"), F.sum("total_amount").alias("total_amount")))
 
 
+# Files, records and groups as they come
+
+_RECORDS_OUT = "SELECT array_to_string(participants, '|') AS participants, CAST(cycle_size AS BIGINT) AS cycle_size, CAST(n AS BIGINT) AS transactions, CAST(amt AS DOUBLE) AS total_amount, CAST(1 AS BIGINT) AS cycles FROM rec0"
+
+
+@query("s7_jsonl_write_and_read", records_sql("rec0") + _RECORDS_OUT)
+def _(spark, d):
+    path = f"{Rounds(spark, 'files').root}/records"
+    files.write_jsonl(_records(spark, d).withColumn("total_amount", F.col("total_amount").cast("double")), path)
+    return _plain(files.read_jsonl(spark, path).select("participants", "cycle_size", "transactions", "total_amount", "cycles"))
+
+
+@query("s11_csv_write_and_read", "SELECT account_id, CAST(kyc_risk_score AS DOUBLE) AS kyc_risk_score, CAST(monthly_transaction_count AS BIGINT) AS monthly_transaction_count, fraud_ring_member FROM a")
+def _(spark, d):
+    path = f"{Rounds(spark, 'files').root}/accounts"
+    files.write_csv(transfers.derived_accounts(spark, d), path)
+    return files.read_csv(spark, path, schema.ACCOUNTS)
+
+
+@query("s12_rings_document", records_sql("rec0") + "SELECT array_to_string(list_sort(participants), '|') AS participants, count(*) AS cycles, max(n)::BIGINT AS transactions FROM rec0 GROUP BY 1")
+def _(spark, d):
+    path = f"{Rounds(spark, 'files').root}/rings"
+    files.write_rings_document(R.aggregate(_records(spark, d)).select("participants", "cycles", "transactions"), path)
+    return _plain(files.read_rings_document(spark, path).select("participants", "cycles", "transactions"))
+
+
+@query("s14_row_sink", "SELECT CAST(3 AS BIGINT) AS cycle_size, 'completed' AS status, CAST(3 * coalesce(sum(w), 0) AS BIGINT) AS n_rows FROM (SELECT r0.n * r1.n * r2.n AS w FROM " + cycle_sql(3, 0).split(" FROM ", 1)[1] + ")")
+def _(spark, d):
+    done = D.baseline(_transfers(spark, d), 3, f"{Rounds(spark, 'files').root}/paths", 0)
+    return spark.createDataFrame([(done["cycle_size"], done["status"], done["rows"])], "cycle_size long, status string, n_rows long")
+
+
+_ODD = records_sql("rec0") + ", odd AS (SELECT *, list_transform(list_concat(participants, participants[1:1]), lambda x: CASE WHEN x LIKE '%3' THEN NULL ELSE x END) AS l FROM rec0)"
+
+
+@query("c7_canonical_participants", _ODD + " SELECT array_to_string(participants, '|') AS participants, array_to_string(list_sort(list_distinct(l)), '|') AS known, array_to_string(list_sort(list_distinct(list_transform(l, lambda x: coalesce(x, 'None')))), '|') AS named FROM odd")
+def _(spark, d):
+    p = F.transform(F.concat("participants", F.slice("participants", 1, 1)), lambda x: F.when(~x.endswith("3"), x))
+    return _plain(_records(spark, d).select("participants", S.canonical(p).alias("known"), S.canonical(p, True).alias("named")))
+
+
+@query("c16_record_aliases", records_sql("rec0") + "SELECT array_to_string(list_sort(participants), '|') AS members, CAST(cycle_size AS BIGINT) AS cycle_size, CAST(amt AS DOUBLE) AS amount_of, CAST(n AS BIGINT) AS loose_transactions, CAST(1 AS BIGINT) AS cycles_of FROM rec0")
+def _(spark, d):
+    """Every other record under its columns' other names."""
+    r, odd = _records(spark, d), F.col("transactions") % 2 == 1
+    amount = F.col("total_amount").cast("double")
+    named = r.select(
+        F.when(odd, F.col("participants")).alias("participants"), F.when(~odd, F.col("participants")).alias("accounts"), F.when(odd, F.col("cycle_size")).otherwise(0).alias("cycle_size"), F.when(~odd, F.col("cycle_size")).alias("size"),
+        F.when(odd, amount).otherwise(0.0).alias("total_amount"), F.when(~odd, amount).alias("amount"), F.when(odd, F.col("transactions")).alias("transactions"), F.when(~odd, F.col("transactions")).alias("transaction_count"),
+    )
+    return _plain(R.normalize(named).select("members", "cycle_size", "amount_of", "loose_transactions", "cycles_of"))
+
+
+@query("p12_records_without_participants", _MERGED_SQL, recursive=True)
+def _(spark, d):
+    r = _records(spark, d)
+    empty = r.withColumn("participants", F.expr("cast(array() as array<string>)"))
+    return _plain(M.merge_records(r.union(empty)).select("participants", "participant_count", "transactions", "total_amount", "cycles", "fragment_count", "candidate_cycle_sizes"))
+
+
+@query("j4_groups_without_transfers", """, grp AS (SELECT account_id AS set_key, unnest([account_id, 'ACC_' || lpad(CAST(CAST(substr(account_id, 5) AS BIGINT) + 1 AS VARCHAR), 8, '0'), 'ACC_' || lpad(CAST(CAST(substr(account_id, 5) AS BIGINT) * 31 % 997 + 2000000 AS VARCHAR), 8, '0')]) AS p FROM a),
+flow AS (SELECT x.set_key, count(*) AS n, sum(amount) AS amt FROM t JOIN grp x ON src = x.p JOIN grp y ON dst = y.p AND x.set_key = y.set_key GROUP BY x.set_key),
+risk AS (SELECT set_key, CAST(sum(CAST(coalesce(kyc_risk_score, 0.5) AS DECIMAL(30,12))) AS DOUBLE) / count(*) AS r FROM grp LEFT JOIN a ON account_id = p GROUP BY set_key)
+SELECT set_key, coalesce(n, 0) AS transactions, CAST(coalesce(amt, 0) AS DOUBLE) AS total_amount, floor(r * 1e6 + 0.5) / 1e6 AS avg_kyc_risk_score FROM risk LEFT JOIN flow USING (set_key)""")
+def _(spark, d):
+    """Each account with the next one and one that doesn't exist: most of these groups have no transfer inside."""
+    a, t = transfers.load(spark, d)
+    key = F.substring("account_id", 5, 8).cast("long")
+    groups = a.select(F.col("account_id").alias("set_key"), F.array("account_id", transfers.account_id(key + 1), transfers.account_id(key * 31 % 997 + 2_000_000)).alias("participants"))
+    return _rounded(_plain(X.transaction_metrics(groups, t, a)), "avg_kyc_risk_score")
+
+
 # Generation
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import Rounds
 from .schema import CYCLE_RECORD
 
 
@@ -75,8 +76,13 @@ def write_document(spark: SparkSession, value: Row | dict, path: str) -> None:
 
 
 def write_rings_document(rings: DataFrame, path: str) -> None:
-    """{"rings": [...]}: the ground truth's form. Made by one aggregate, for sets of rings that fit a document."""
-    rings.agg(F.to_json(F.struct(F.coalesce(F.collect_list(F.struct(*rings.columns)), F.array()).alias("rings"))).alias("value")).write.mode("overwrite").text(path)
+    """{"rings": [...]}: the ground truth's form. One file's lines, one for each ring: rows are made by many tasks and kept, and one task streams them between the first and the last line."""
+    spark = rings.sparkSession
+    rows = Rounds(spark, "document").keep(rings.select(F.to_json(F.struct(*rings.columns)).alias("value"), F.monotonically_increasing_id().alias("at")))
+    first = rows.agg(F.min("at")).first()[0]
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    middle = rows.select(F.when(F.col("at") == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    line('{"rings": [').union(middle).union(line("]}")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_rings_document(spark: SparkSession, path: str) -> DataFrame:

@@ -249,6 +249,12 @@ def test_extras(spark):
     assert G.shortest_path(E.edges(t), "D", "A").count() == 0
     sources = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "account_id string")
     assert {r.account_id: r.score for r in G.betweenness(E.pairs(t), sources).collect()} == {"C": 2.0}
+    # In one batch and in several: the same scores.
+    rng = random.Random(2)
+    p = E.pairs(moves(spark, [(f"V{rng.randrange(14):02d}", f"V{rng.randrange(14):02d}", 1) for _ in range(40)]))
+    every = p.select(F.col("src").alias("account_id")).union(p.select("dst")).distinct()
+    one, more = ({r.account_id: round(r.score, 9) for r in G.betweenness(p, every, state_rows=n).collect()} for n in (10**6, 60))
+    assert one == more and one
     two = [(x, y, 1) for g in ("ABCD", "WXYZ") for x in g for y in g if x != y] + [("A", "W", 1)]
     found = {r.account_id: r.community for r in G.communities(E.edges(moves(spark, two))).collect()}
     assert len({found[x] for x in "ABCD"}) == 1 and len({found[x] for x in "WXYZ"}) == 1 and found["A"] != found["W"]
