@@ -123,3 +123,25 @@ def test_empty_and_unlearnt(spark):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1]
     rows = [(i, "a b") for i in held]
     assert result(lm.scores(frame(spark, rows))) == brute(rows, 3)
+
+
+def test_probabilities_add_up_to_about_one():
+    # The formulas over exact counts put into levels, as the filter gives them back: the vocabulary and one unknown word, after every kind of context.
+    rng, size = np.random.default_rng(1), 60
+    p = 1 / np.arange(1, size + 1)
+    docs = [[*rng.choice(size, rng.integers(5, 60), p=p / p.sum()).tolist(), size] for _ in range(400)]
+    start, counts = -1, [{}, {}, {}]
+    for d in docs:
+        for i, w in enumerate(d):
+            u, t = (d[i - 1] if i else start), (d[i - 2] if i > 1 else start)
+            for n, key in enumerate([(w,), (u, w), (t, u, w)][: 3 if i else 2]):
+                counts[n][key] = counts[n].get(key, 0) + 1
+    value = lambda *key: float(lm.VALUES[lm.level_of(np.array([c]))[0]]) if (c := counts[len(key) - 1].get(key, 0)) else 0.0
+    whole = sum(counts[0].values()) + 0.5 * (len(counts[0]) + 1)
+    one = lambda w: (value(w) + 0.5) / whole
+    context = lambda u: value(size) if u == start else value(u)
+    two = lambda u, w: (value(u, w) + lm.MU * one(w)) / (max(context(u), value(u, w)) + lm.MU)
+    three = lambda t, u, w: (value(t, u, w) + lm.MU * two(u, w)) / (max(value(t, u), value(t, u, w)) + lm.MU)
+    words = [*range(size + 1), size + 1]
+    sums = [sum(two(u, w) for w in words) for u in [start, *range(size)]] + [sum(three(t, u, w) for w in words) for t in range(0, size, 3) for u in range(0, size, 3)] + [sum(map(one, words))]
+    assert 0.85 < min(sums) and max(sums) < 1.2 and abs(np.mean(sums) - 1) < 0.02
