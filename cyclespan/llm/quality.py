@@ -9,7 +9,8 @@ Round 0 learns from at most MAX_LABELLED labelled documents (those with the leas
 all documents without a label are scored, and those that one view is confident of are counted, with its
 label, in the other view's model. Pseudo-labels move the weights of all features of both views; those of a class weigh PSEUDO_SHARE of its labels together at most, however many they are,
 so a view that can't see a kind of bad document (metadata: toxic ones) can't outvote the labels. At last both views are calibrated anew and joined by a logistic regression on their log
-odds and the greater of them. All documents are scored; a document is rejected from REJECT on. Model.history holds each round's error on labelled documents that its weights had not seen.
+odds and the greater of them. All documents are scored; a document is rejected from REJECT on. Model.history holds each round's error on labelled documents
+that its weights had not seen. A round that raises it is not kept, and ends the exchange.
 
 Counting is distributed: tasks add up features, whose number is fixed (BINS), and only sums for each feature reach the driver.
 
@@ -304,8 +305,11 @@ def train(extracted: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_lab
                 more[view].docs += (good, ill)
             else:
                 more[view].has[:, bin_] += (good, ill)
-        before, model = model, _fit(rows, bad, more)
-        model.history = before.history + model.history
+        made = _fit(rows, bad, more)
+        if made.history[0]["both"] > model.history[-1]["both"]:
+            break  # the next round would begin from the same model
+        made.history = model.history + made.history
+        model = made
     return model
 
 

@@ -288,6 +288,13 @@ def test_pseudo_labels_like_brute_force(spark):
     assert got == want and any(v[1] for v in want.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_rounds_never_raise_the_error_of_unseen_labels(spark, sf):
+    read = lambda t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
+    errors = [h["both"] for h in quality.train(quality.extract(read("documents")).cache(), read("labels")).history]
+    assert errors and errors == sorted(errors, reverse=True)
+
+
 def test_pseudo_labels_weigh_less_than_labels():
     rows, bad = [np.array([1]), np.array([1]), np.array([2]), np.array([2])] * 10, np.array([1, 1, 0, 0] * 10)
     more = quality.View()
