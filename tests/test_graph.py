@@ -190,12 +190,12 @@ def test_components_by_rounds_and_in_one_task(spark, local):
     assert weak == {x: "G0" for x in ring + group + ["P0", "P1"]}
 
 
-@pytest.mark.parametrize("growth", [1.5, 0.0])
+@pytest.mark.parametrize("growth", [0.0])
 def test_components_of_many_shapes_by_rounds_alone(spark, growth, monkeypatch):
     # growth 0: elimination never goes on, so searches and colours have to do the rest.
     monkeypatch.setattr(K, "GROWTH", growth)
     rng, pairs, want = random.Random(4), [], {}
-    shapes = [(12, m) for m in (6, 10, 12, 14, 18, 24, 30, 50)]
+    shapes = [(10, m) for m in (6, 10, 14, 18, 24, 40)]
     for g, (n, m) in enumerate(shapes):
         own = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
         if g % 3 == 0:  # both ways, as on a ladder

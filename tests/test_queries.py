@@ -8,7 +8,7 @@ from cyclespan.plans import entries
 DATA = "/root/testdata/sf0.001"
 TABLES = ("customer", "orders")
 NAMES = (
-    "s1_node_scan", "s5_keyset_page", "s5_keyset_pages", "s15_edge_table", "t3_first_cycles", "j1_cycles_k5_unthresholded", "j1_cycles_k8_unthresholded", "j3_path_count_k8_unthresholded", "j3_factorised_paths_k3", "a9_merged_records_appended",
+    "s1_node_scan", "s5_keyset_page", "s5_keyset_pages", "s15_edge_table", "t3_first_cycles", "j1_cycles_k5_unthresholded", "j3_factorised_paths_k3", "a9_merged_records_appended",
     "a11_rings_appended", "g7_shortest_path", "a4_component_enrichment", "a1_edges", "s15_edges_upsert", "a6_graph_stats", "p2_exists_pairs", "j1_cycles_k3", "j1_cycles_k8", "j9_monotone_union", "j10_triangles_by_amount", "j2_transactions_mode_k3",
     "j3_transaction_paths_k2", "j3_path_count_k5", "a9_merged_records", "a11_ring_aggregation", "c15_currency_and_dates", "g6_triangle_counts", "a14_dataset_sizes",
 )
