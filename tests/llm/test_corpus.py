@@ -1,7 +1,6 @@
 """The operators that look across documents: classifier, LM, substring dedup, decontamination, SimHash, pipeline."""
 
 import itertools
-import math
 import random
 
 import numpy as np
