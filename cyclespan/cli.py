@@ -65,7 +65,7 @@ def dry_run(a: argparse.Namespace, accounts: DataFrame, moves: DataFrame, limits
     if a.command == "inner":
         return [("edges", E.edges(moves)), ("nodes", E.nodes(accounts))] + [(f"cycles of {k} inside a component", C.cycles(E.edges(moves), k, least=2)) for k in a.cycle_sizes]
     if a.command == "baseline":
-        return [(f"paths of {k} transactions", C.transaction_paths(moves, k)) for k in a.cycle_sizes]
+        return [(f"cycles whose paths of {k} transactions are unfolded", C.cycles(E.edges(moves), k, least=2)) for k in a.cycle_sizes]
     if a.graph_mode == "transactions":
         return [(f"cycles of {k} with measures of all transfers", detect.transactions_mode(moves, accounts, k, a.limit, a.min_pair_transactions, a.min_pair_amount, **limits)) for k in a.cycle_sizes]
     return [(f"cycles of {k}", C.cycles(E.edges(moves), k, a.min_pair_transactions, a.min_pair_amount, limit=a.limit, **limits)) for k in a.cycle_sizes]
