@@ -76,13 +76,14 @@ def write_document(spark: SparkSession, value: Row | dict, path: str) -> None:
 
 
 def write_rings_document(rings: DataFrame, path: str) -> None:
-    """{"rings": [...]}: the ground truth's form. One file's lines, one for each ring: rows are made by many tasks and kept, and one task streams them between the first and the last line."""
+    """{"rings": [...]}: the ground truth's form, a ring to a line. One file: rows are made by many tasks and kept, and one task sorts them between the first and the last line.
+    The order of files and of a union's parts in a scan is Spark's own, so each line carries its place."""
     spark = rings.sparkSession
     rows = Rounds(spark, "document").keep(rings.select(F.to_json(F.struct(*rings.columns)).alias("value"), F.monotonically_increasing_id().alias("at")))
     first = rows.agg(F.min("at")).first()[0]
-    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
-    middle = rows.select(F.when(F.col("at") == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
-    line('{"rings": [').union(middle).union(line("]}")).coalesce(1).write.mode("overwrite").text(path)
+    middle = rows.select(F.when(F.col("at") == first, F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"), "at")
+    ends = spark.createDataFrame([('{"rings": [', -1), ("]}", (1 << 63) - 1)], "value string, at long")
+    middle.union(ends).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
 
 
 def read_rings_document(spark: SparkSession, path: str) -> DataFrame:

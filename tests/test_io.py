@@ -147,3 +147,13 @@ def test_entry_without_the_text_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0 and int(out.stdout.split()[0]) > 30, out.stderr
+
+
+def test_rings_document_of_several_files(spark, tmp_path):
+    # The first rows lie in the smallest file, and a scan begins with the largest.
+    rings = spark.range(0, 3000, 1, 3).select(F.concat(F.lit("R"), "id").alias("ring_id"), F.expr("transform(sequence(0, cast(id div 300 as int)), x -> uuid())").alias("participants"))
+    files.write_rings_document(rings, str(tmp_path / "rings"))
+    (part,) = (tmp_path / "rings").glob("part-*")
+    text = part.read_text()
+    assert [r["ring_id"] for r in json.loads(text)["rings"]] == [f"R{i}" for i in range(3000)]
+    assert files.read_rings_document(spark, str(tmp_path / "rings")).count() == 3000
