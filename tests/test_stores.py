@@ -293,3 +293,12 @@ def test_paths_are_unfolded_after_all_joins(spark, monkeypatch):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     rows = [(tuple(r.participants), tuple(r.transaction_ids)) for r in got.collect()]
     assert len(rows) == len(set(rows)) == 3 * 5 * 4 * 7
+
+
+def test_pairs_of_groups_do_not_pass_through_the_driver(spark):
+    # The groups' table is small, the pairs that it unfolds into are not.
+    groups = spark.createDataFrame([("g", ["A", "B", "C"]), ("h", [f"V{i}" for i in range(20)])], "set_key string, participants array<string>")
+    sums = E.edges(moves(spark, [("A", "B", 1), ("V0", "V19", 2), ("V0", "A", 3)])).select("src", "dst", F.col("transaction_count").alias("n"))
+    found = X.inside(groups, sums, "set_key")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("g", "A", "B", 1), ("h", "V0", "V19", 1)]
