@@ -39,3 +39,17 @@ def test_like_sql(spark, sql, name):
 def test_every_query_has_sql_or_a_reason():
     # Drawn by hash; a local optimum that depends on the order of moves.
     assert set(entries.QUERIES) - set(entries.ORACLE_SQL) == {"n1_generated_transactions", "g4_modularity_communities"}
+
+
+def test_ids_of_five_digits_are_those_of_the_sql(spark, sql):
+    # DuckDB's lpad cuts what is longer, as Spark's does.
+    ids = spark.createDataFrame([("RING_0007",), ("RING_12345",), ("HYBRID_V02_10000",)], "ring_id string")
+    assert [r.ring_id for r in entries._four_digits(ids).collect()] == ["RING_0007", "RING_1234", "HYBRID_V02_1000"]
+    assert sql.sql("SELECT lpad('12345', 4, '0')").fetchall() == [("1234",)]
+
+
+def test_rings_beyond_four_digits_are_ordered_by_number(spark):
+    from cyclespan.operators import rings as R
+
+    rows = spark.createDataFrame([(f"RING_{i:04d}", 0.5, [f"V{i}"]) for i in (10001, 9999, 10000, 2)], "ring_id string, fraud_score double, participants array<string>")
+    assert [r.ring_id for r in R.ring_tables(rows, 3)[0].collect()] == ["RING_0002", "RING_9999", "RING_10000"]
