@@ -402,3 +402,14 @@ def test_shortest_paths_of_many_graphs(spark):
             else:  # with edges of amount 0, or many ties, the cost is what counts; ties go by names
                 assert got[0][0] == min(every)[0] and (got[0][0], got[0][1]) in every
                 assert any(w == 0 for w in flows.values()) or got == [min(every)]
+
+
+def test_strong_components_send_no_tables_through_the_driver(spark, monkeypatch):
+    # Tables of many rounds, each below the limit of a broadcast, add up.
+    plans, keep = [], K.Rounds.keep
+    monkeypatch.setattr(K.Rounds, "keep", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df))[1])
+    t = moves(spark, [(f"V{i:02d}", f"V{(i + 1) % 30:02d}", 1) for i in range(30)] + [("V00", "V07", 1), ("W0", "V03", 1)])
+    out = K.strong_components(E.pairs(t), local_edges=0)
+    own = [p for p in plans if "stays" in p or "_loose" in p or "kind" in p]
+    assert own and not any("BroadcastExchange" in p for p in own)
+    assert {(r.account_id, r.component) for r in out.collect()} == {(f"V{i:02d}", "V00") for i in range(30)} | {("W0", "W0")}
