@@ -26,7 +26,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays; of rows that share it, the one with the least text hash.
+    """Of each group of near-duplicates (five-word shingles: SimHash fingerprints within two bits, or similarity 0.8) the document with the smallest id stays; of rows that share it, the one with the least text hash.
     Texts without words are one group. A group whose ids are all null keeps one row."""
     common.ship(spark)
     return simhash.heads_of(docs, similar.near_duplicates(docs, shingle=5, similarity=0.8))

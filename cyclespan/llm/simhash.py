@@ -32,21 +32,27 @@ BITS = 64
 BUCKET_IN_TASK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64 hashes (seed 42), repeats counted."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The shingles' XXH64 hashes (seed 42), repeats included; none of a text without words."""
     w = common.words(text)
-    if not w:
-        return 0
     if len(w) <= shingle:
-        return xxh64_intdigest(b" ".join(w), 42)
-    n = len(w) - shingle + 1
+        return np.array([xxh64_intdigest(b" ".join(w), 42)] if w else [], np.uint64)
     join = b" ".join
-    h = np.fromiter((xxh64_intdigest(join(s), 42) for s in zip(*(w[i:] for i in range(shingle)))), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(join(s), 42) for s in zip(*(w[i:] for i in range(shingle)))), np.uint64, len(w) - shingle + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 14):
+    for i in range(0, len(h), 1 << 14):
         part = h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """A bit is 1 if it is set in over half of the shingles' XXH64 hashes (seed 42), repeats counted."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Near duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, each verified on whole sets.
+"""Near duplicates by SimHash fingerprints, and by the Jaccard similarity of word shingles, each pair of which is verified.
 
-A text's set holds the XXH64 hashes (seed 42) of its runs of `shingle` words. Equal sets are one node. A node has BANDS keys, each made of
+Links of two kinds join texts. The one is SimHash's: fingerprints of the same shingles (repeats counted) that differ in RADIUS bits at most, by covering
+LSH as in simhash.py, which loses none. But pairs of similarity 0.8 differ in 5 to 14 of 64 bits, and masks that cover so wide a radius have keys of a few bits.
+So pairs of at least `similarity` are linked too, by MinHash bands:
+a text's set holds the XXH64 hashes (seed 42) of its runs of `shingle` words. Equal sets are one node. A node has BANDS keys, each made of
 ROWS minima of the set under random maps; two sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, so a pair at 0.8 is
-missed with probability 5e-8, and pairs above it less. (SimHash can't hold this limit: pairs at 0.8 differ in 5 to 14 of 64 bits, and
-blocks of 64 bits that cover so wide a radius have keys of a few bits.)
+missed with probability 5e-8, and pairs above it less.
 
+0. Nodes of equal fingerprints are linked to the least of them, and nodes whose fingerprints lie within the radius to each other's.
 1. Each bucket's nodes are compared with its least one, and pairs of at least `similarity` are linked.
 2. Nodes of a bucket that are then still in different components are all compared, so no pair that shares a key is left out. A bucket of up to
    SMALL_BUCKET nodes gives its pairs. A larger one is dealt out in blocks of about BLOCK_SHINGLES shingles, and a task compares two blocks by an inverted
@@ -25,6 +28,7 @@ from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
 from . import common
+from .simhash import RADIUS, links, majority, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,13 +43,7 @@ _XOR, _TIMES = _R[0], _R[1] | np.uint64(1)
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The different hashes, ascending."""
-    w = common.words(text)
-    if not w:
-        return np.empty(0, np.uint64)
-    if len(w) <= shingle:
-        return np.array([xxh64_intdigest(b" ".join(w), 42)], np.uint64)
-    join = b" ".join
-    return np.unique(np.fromiter((xxh64_intdigest(join(s), 42) for s in zip(*(w[i:] for i in range(shingle)))), np.uint64, len(w) - shingle + 1))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def band_keys(s: np.ndarray) -> list[int]:
@@ -68,19 +66,21 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _nodes(docs: DataFrame, shingle: int, keys) -> DataFrame:
-    """(id, node, size, bands, text): one row for each row of docs; size is that of the set."""
+    """(id, node, fp, size, bands, text): one row for each row of docs; fp is the text's fingerprint, size that of the set."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, shingle) for t in common.utf8(batch)]
+            hashes = [shingle_hashes(t, shingle) for t in common.utf8(batch)]
+            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             node = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             bands = pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
             size = pa.array([len(s) for s in sets], pa.int64())
-            return pa.RecordBatch.from_arrays([common.column(batch, "id"), pa.array(node), size, bands, common.column(batch, "text")], ["id", "node", "size", "bands", "text"])
+            return pa.RecordBatch.from_arrays([common.column(batch, "id"), pa.array(node), pa.array(fp), size, bands, common.column(batch, "text")], ["id", "node", "fp", "size", "bands", "text"])
 
         return f
 
-    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("id"), common.text_of().alias("text")), make, "id long, node long, size long, bands array<long>, text string")
+    return common.map_slices(docs.select(F.col("doc_id").cast("long").alias("id"), common.text_of().alias("text")), make, "id long, node long, fp long, size long, bands array<long>, text string")
 
 
 def block_links(node: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -108,8 +108,17 @@ def block_links(node: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.n
     return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, keys=band_keys) -> DataFrame:
-    """(id, th, group, component_id): the component, and the smallest id in it, over pairs of at least `similarity`; th is the text's XXH64."""
+def _fingerprint_links(rows: DataFrame, radius: int, scratch: common.Scratch) -> DataFrame:
+    """(a, b): links that join the nodes of all fingerprints within the radius. rows: (node, fp)."""
+    held = scratch.keep(rows.select("node", "fp").distinct())
+    first = scratch.keep(held.groupBy("fp").agg(F.min("node").alias("first")))
+    same = held.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select("fp"), radius).toDF("fa", "fb").join(first.toDF("fa", "a"), "fa").join(first.toDF("fb", "b"), "fb").select("a", "b")
+    return scratch.keep(same.union(near).where("a != b").distinct())
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, keys=band_keys, radius: int = RADIUS) -> DataFrame:
+    """(id, th, group, component_id): the component, and the smallest id in it, over fingerprints of at most `radius` differing bits and pairs of at least `similarity`; th is the text's XXH64."""
     scratch = common.Scratch(docs.sparkSession, "similar")
     rows = scratch.keep(_nodes(docs, shingle, keys).withColumn("th", F.xxhash64("text")))
     nodes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -171,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         return labels.select("node", F.col("component").alias("own"))
 
     stars = scratch.keep(shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    edges = linked(stars)
+    edges = linked(stars).union(_fingerprint_links(rows, radius, scratch))
     placed = scratch.keep(shared.join(components(edges), "node", "left").select("key", "node", "size", F.coalesce("own", "node").alias("own")))
     open_keys = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total")).where("low != high")
     open_keys = scratch.keep(open_keys.select("key", "n", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))

@@ -567,3 +567,19 @@ def test_bucket_of_several_components(spark):
     rows = [(i, words(rng, 100)) for i in range(8)] + [(20, pair), (21, pair + " more"), (22, pair + " more words")]
     got = {r.id: r.component_id for r in similar.near_duplicates(frame(spark, rows), keys=lambda s: [1]).collect()}
     assert got == {**{i: i for i in range(8)}, 20: 20, 21: 20, 22: 20}
+
+
+def test_near_duplicates_have_all_links_of_simhash(spark):
+    import corpus_pipeline as cp
+
+    from cyclespan.llm import similar
+
+    # A refrain makes up most of these texts: their fingerprints are near, though few of the different shingles are shared.
+    rng, refrain = random.Random(5), "one two three four five six seven " * 30
+    rows = [(i, refrain + words(rng, 25)) for i in (5, 3, 9)] + [(20, words(rng, 60)), (21, words(rng, 60))]
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    assert max((fps[i] ^ fps[j]).bit_count() for i in (3, 5, 9) for j in (3, 5, 9)) <= 2
+    sets = {i: similar.shingle_set(t.encode()) for i, t in rows}
+    assert not any(similar.similar(sets[i], sets[j]) for i, j in itertools.combinations(sets, 2))
+    got = cp.near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == [3, 20, 21]
