@@ -169,6 +169,32 @@ def test_runs_like_brute_force(spark, monkeypatch, group):
         assert len(wanted - links) <= 0.1 * len(wanted)
 
 
+def test_hashes_of_runs():
+    h = np.random.default_rng(3).integers(0, 2**64, 120, np.uint64)
+    h[70:120] = h[10:60]
+    for length in (1, 2, 7, 50):
+        got = substring.run_hashes(h, length)
+        assert len(got) == 121 - length and {(i, j) for i, j in itertools.combinations(range(len(got)), 2) if got[i] == got[j]} == {(i, i + 60) for i in range(10, 61 - length)}
+    assert not len(substring.run_hashes(h[:49]))
+
+
+def test_holders_of_a_run_meet_one_that_holds_it(spark):
+    # Pieces of a text, many of which share its words in part: the least document of a key of 36 words seldom holds the run that two others share.
+    rng = random.Random(12)
+    pool = words(rng, 76).split()
+    pieces = {i: (at, min(at + n, 76)) for i in range(90) for at, n in [(rng.randrange(0, 27), rng.randrange(44, 56))]}
+    rows = [(i, f"{words(rng, 12)} {' '.join(pool[s:e])} {words(rng, 12)}") for i, (s, e) in pieces.items()]
+    links = {(r.doc_id, r.other_doc_id) for r in substring.passages(frame(spark, rows)).collect()}
+    lost = []
+    for at in range(27):
+        holders = {i for i, (s, e) in pieces.items() if s <= at and at + substring.MIN_WORDS <= e}
+        joined = {min(holders)} if holders else set()
+        while more := {j for i, j in links if i in joined and j in holders} - joined:
+            joined |= more
+        lost += sorted(holders - joined)
+    assert not lost
+
+
 @pytest.mark.parametrize("holders", [2, 3, 12])
 def test_recall_of_fuzzy_passages(spark, holders):
     # End to end: passages of 60 words, some of them replaced at random in each holder but the first, in other text.
