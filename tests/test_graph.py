@@ -377,6 +377,32 @@ def test_communities_are_a_local_optimum_of_modularity(spark):
     assert Q.louvain(e.where("false")).count() == 0
 
 
+def test_modularity_takes_few_jobs_on_small_graphs_and_rounds_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    flows = [(f"V{g}{a}", f"V{g}{b}", 1) for g in range(5) for a in range(6) for b in range(6) if rng.random() < 0.6] + [(f"V{g}0", f"V{g + 1}1", 1) for g in range(4)]
+    e = E.edges(moves(spark, flows)).cache()
+    steps, step = [], Q._Level.step
+    monkeypatch.setattr(Q._Level, "step", lambda self, at: steps.append(1) or step(self, at))
+    weights = {}
+    for r in e.collect():
+        for p in ((r.src, r.dst), (r.dst, r.src)):
+            weights[p] = weights.get(p, 0) + r.transaction_count
+    # In one task, by rounds with a settled end, and by rounds alone: local optima for single accounts and for communities.
+    for links in (Q.LOCAL_LINKS, 60, 0):
+        steps.clear()
+        labels = {r.account_id: r.community for r in Q.louvain(e, tolerance=0, local_links=links).collect()}
+        assert bool(steps) == (links != Q.LOCAL_LINKS) and len(steps) <= 40
+        best = modularity_of(weights, labels)
+        assert best > 0.6 and all(c == min(v for v in labels if labels[v] == c) for c in labels.values())
+        for v in labels:
+            for c in {labels[b] for a, b in weights if a == v}:
+                assert modularity_of(weights, labels | {v: c}) <= best + 1e-12
+        for c in set(labels.values()):
+            for d in set(labels.values()):
+                assert modularity_of(weights, {v: d if x == c else x for v, x in labels.items()}) <= best + 1e-12
+    assert Q.louvain(e.where("false"), local_links=0).count() == 0
+
+
 def test_shortest_paths_of_many_graphs(spark):
     rng = random.Random(6)
     for n, m, most in ((9, 30, 3), (12, 22, 50), (8, 40, 1)):
