@@ -171,26 +171,32 @@ def links(occurrences: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, D
         # Short rests are compared; so are longer ones once splitting has had its rounds. Large groups are split until nothing is left to split.
         small = (F.col("n") <= SMALL_GROUP) & ((F.col("m") <= SHORT_REST) | F.lit(at >= SPLIT_ROUNDS))
         last = (F.col("n") > SMALL_GROUP) & (F.col("m") <= 1)
-        index, probe = (sized.where(small).select("key", "delta", "lid", "rest").toDF("key", f"{x}_delta", f"{x}_lid", f"{x}_rest") for x in "ab")
-        pairs = index.where("a_delta = 0").join(probe, "key").where("a_lid != b_lid and (b_delta = 1 or a_lid < b_lid)")
-        pairs = pairs.select("a_lid", "b_lid", "a_rest", "b_rest").repartition(parts)
-        pairs = pairs.withColumn("_a", F.filter(F.split("a_rest", ""), lambda c: c != "")).withColumn("_b", F.filter(F.split("b_rest", ""), lambda c: c != ""))
-        near = pairs.where(banded_distance(F.col("a_rest"), F.col("b_rest"), THRESHOLD) <= THRESHOLD)
-        near = near.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b"))
-        if not sized.where(last).isEmpty():
+        left = ~small & ~last
+        # One pass tells what there is, so no plan is made for nothing.
+        any_small, any_last, any_left = sized.agg(*[F.coalesce(F.bool_or(x), F.lit(False)) for x in (small, last, left)]).first()
+        near = []
+        if any_small:
+            index, probe = (sized.where(small).select("key", "delta", "lid", "rest").toDF("key", f"{x}_delta", f"{x}_lid", f"{x}_rest") for x in "ab")
+            pairs = index.where("a_delta = 0").join(probe, "key").where("a_lid != b_lid and (b_delta = 1 or a_lid < b_lid)")
+            pairs = pairs.select("a_lid", "b_lid", "a_rest", "b_rest").repartition(parts)
+            pairs = pairs.withColumn("_a", F.filter(F.split("a_rest", ""), lambda c: c != "")).withColumn("_b", F.filter(F.split("b_rest", ""), lambda c: c != ""))
+            close = pairs.where(banded_distance(F.col("a_rest"), F.col("b_rest"), THRESHOLD) <= THRESHOLD)
+            near.append(close.select(F.least("a_lid", "b_lid").alias("a"), F.greatest("a_lid", "b_lid").alias("b")))
+        if any_last:
             star, count, longer = _one_sign(sized.where(last), scratch)
-            near = near.union(longer)
+            near.append(longer)
             stars, counts = (star, count) if stars is None else (stars.union(star), counts.union(count))
-        near = scratch.keep(near)
-        found = near if found is None else found.union(near)
-        left = sized.where(~small & ~last)
-        if left.isEmpty():
+        for x in near:
+            x = scratch.keep(x)
+            found = x if found is None else found.union(x)
+        if not any_left:
             break
-        rows = scratch.keep(left.select("lid", F.inline(_entries(F.col("key"), F.col("rest"), F.col("m"), F.col("delta")))).select("key", "delta", "m", "lid", "rest").distinct())
+        rows = scratch.keep(sized.where(left).select("lid", F.inline(_entries(F.col("key"), F.col("rest"), F.col("m"), F.col("delta")))).select("key", "delta", "m", "lid", "rest").distinct())
         if stars is None:
             scratch.drop(sized)
         at += 1
-    found = scratch.keep(found.distinct())
+    none = rows.select(F.col("lid").alias("a"), F.col("lid").alias("b")).where("false")
+    found = scratch.keep(none if found is None else found.distinct())
     each = found.select(F.col("a").alias("lid")).union(found.select("b")).groupBy("lid").agg(F.count("*").alias("n_links"))
     if stars is None:
         return found, each

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
+from ..operators.local_graph import LOCAL_EDGES
 from . import common
 
 SHINGLE = 3
@@ -146,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("id").alias("least")))
     edges = scratch.keep(links(nodes.select("fp"), radius))
     # Only nodes that have links take part in the rounds.
-    labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep=scratch.keep, drop=scratch.drop)
+    labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep=scratch.keep, drop=scratch.drop, local_edges=LOCAL_EDGES)
     member = nodes.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = member.join(least, "component").select("fp", F.col("component").alias("group"), "component_id")

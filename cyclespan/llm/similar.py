@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
+from ..operators.local_graph import LOCAL_EDGES
 from . import common
 from .simhash import RADIUS, links, majority, shingle_hashes
 
@@ -176,8 +177,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         return scratch.keep(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
 
     def components(edges: DataFrame) -> DataFrame:
-        labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep=scratch.keep, drop=scratch.drop)
-        return labels.select("node", F.col("component").alias("own"))
+        labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep=scratch.keep, drop=scratch.drop, local_edges=LOCAL_EDGES)
+        return scratch.keep(labels.select("node", F.col("component").alias("own")))
 
     stars = scratch.keep(shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     edges = linked(stars).union(_fingerprint_links(rows, radius, scratch))

@@ -115,3 +115,23 @@ def test_stage_keeps_rows_and_columns(spark):
     # The row without an id comes first in the order, so its line is the one that stays.
     assert got == [(False, 0, a, 5, "k", 4), (True, 1, "own words of the first", 22, "k1", 1), (True, 2, "x\ny", 3, "k2", 2), (True, 2, "x\ny", 3, "k2", 2), (True, 3, None, None, None, 3)]
     assert {r.doc_id: r.text for r in out.collect()} == {None: a, 1: "own words of the first", 2: "x\ny", 3: None}
+
+
+def test_few_links_take_no_rounds_and_no_pairs_no_comparison(spark, monkeypatch):
+    """The driver's memory grows with the plans that it makes."""
+    from cyclespan.llm import simhash, similar
+    from cyclespan.operators import components
+
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, base), (2, base + " x"), (3, "other text of its own"), (4, base)], "doc_id long, text string")
+    found = lambda out: sorted((r.id, r.component_id) for r in out.collect())
+    for module in (simhash, similar):
+        with monkeypatch.context() as m:
+            m.setattr(module, "LOCAL_EDGES", 0)
+            by_rounds = found(module.near_duplicates(docs))
+        with monkeypatch.context() as m:
+            m.setattr(components, "_large_star", lambda edges: pytest.fail("a round for a few links"))
+            assert found(module.near_duplicates(docs)) == by_rounds
+    with monkeypatch.context() as m:
+        m.setattr(ld, "banded_distance", lambda *a: pytest.fail("a comparison without pairs"))
+        assert ld.line_classes(docs).where("kept").count() == 3
