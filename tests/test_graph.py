@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,29 @@ def test_extras(spark):
     assert G.communities(E.edges(t)).count() == 4
 
 
+def test_betweenness_by_copies_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    p = E.pairs(moves(spark, [(f"V{rng.randrange(40):02d}", f"V{rng.randrange(40):02d}", 1) for _ in range(110)]))
+    sources = spark.createDataFrame([(f"V{i:02d}",) for i in range(0, 40, 2)] + [("V00",), ("none",), (None,)], "account_id string")
+    copies, rounds = ({r.account_id: round(r.score, 9) for r in G.betweenness(p, sources, 99, **k).collect()} for k in ({}, {"held_links": 0, "state_rows": 400}))
+    assert copies == rounds and len(copies) > 10
+    assert G.betweenness(p, sources.where("account_id = 'none'")).count() == 0
+    # A level is no table: the tables of a long path are as few as those of a short one.
+    kept, keep = [], G.Rounds.keep
+    monkeypatch.setattr(G.Rounds, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    path = spark.createDataFrame([(f"V{i:02d}", f"V{i + 1:02d}") for i in range(12)], "src string, dst string")
+    assert [r.score for r in G.betweenness(path, path.select(F.col("src").alias("account_id")), 2).collect()] == [36.0, 35.0]
+    assert len(kept) < 12
+
+
+def test_dependencies_of_a_long_path():
+    from cyclespan.operators import local_graph
+
+    n = 3000
+    dep = local_graph.dependencies(n, np.arange(n - 1), np.arange(1, n), np.arange(n))
+    assert (dep == np.arange(n) * (n - 1 - np.arange(n))).all()
+
+
 def test_upsert(spark):
     old, new = (E.edges(moves(spark, f)) for f in ([("A", "B", 1), ("B", "C", 2)], [("A", "B", 5), ("X", "Y", 1)]))
     got = {(r.src, r.dst): float(r.total_amount) for r in E.upsert(old, new, rebuild=False).collect()}
