@@ -609,3 +609,57 @@ def test_near_duplicates_have_all_links_of_simhash(spark):
     assert not any(similar.similar(sets[i], sets[j]) for i, j in itertools.combinations(sets, 2))
     got = cp.near_duplicates(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == [3, 20, 21]
+
+
+def extended(a, b, i, j, step):
+    """The wave fronts of substring.extend, all of them."""
+    n, m = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
+    top, best, edits, front = -1.0, (0, 0, 0), 0, {0: 0}
+    while front:
+        grown = {}
+        for d, x in front.items():
+            while x < n and x - d < m and a[i + step * x] == b[j + step * (x - d)]:
+                x += 1
+            if (value := x - d / 2 - 2 * edits) > top:
+                top, best = value, (x, x - d, edits)
+            if value >= top - substring.XDROP:
+                grown[d] = x
+        edits, front = edits + 1, {}
+        for d, x in grown.items():
+            for e, y in ((d, x + 1), (d + 1, x + 1), (d - 1, x)):
+                if y <= n and y - e <= m and y > front.get(e, -1):
+                    front[e] = y
+    return best
+
+
+def test_op4_ends_that_cannot_gain_are_left_at_once():
+    rng = random.Random(8)
+    for _ in range(4000):
+        size = rng.choice((3, 12, 60))
+        a, b = ([rng.randrange(size) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        i, j, step = rng.randrange(len(a)), rng.randrange(len(b)), rng.choice((1, -1))
+        assert substring.extend(a, b, i, j, step) == extended(a, b, i, j, step)
+
+
+def test_op4_chains_inside_an_alignment_are_not_aligned_again(monkeypatch):
+    calls, parts = [], substring.parts
+    monkeypatch.setattr(substring, "parts", lambda a, b, m, k: calls.append(m) or parts(a, b, m, k))
+    a = [str(i) for i in range(100)]
+    # One long chain of equal words, and lone matches inside it.
+    p = np.r_[np.arange(0, 90, 10), np.full(500, 33)]
+    out = substring.aligned(a, a, np.r_[0, 9 + np.arange(501)], p, p)
+    assert out == [(0, 100, 0, 100, 0)] and len(calls) == 1
+    assert substring.aligned(a, a[::-1], np.array([0, 1, 2]), np.array([10, 50]), np.array([20, 60])) == [(10, 16, 20, 26, 0), (50, 56, 60, 66, 0)]
+
+
+def test_op4_writes_only_copied_texts_again(spark):
+    text = [" ".join(f"w{i}x{j}" for j in range(60)) for i in (0, 1, 2, 1, 1, 3)]
+    for t in (*text, "", "a\ud800".encode("utf-8", "surrogatepass").decode("utf-8", "replace") * 9):
+        assert substring.unpacked(substring.packed(t.encode())) == t.encode()
+    marks = substring._marks(spark.createDataFrame(list(enumerate(text)), "id long, text string"))
+    scratch = common.Scratch(spark, "once")
+    written, keep = [], scratch.keep
+    scratch.keep = lambda df: written.append(keep(df)) or written[-1]
+    few = sorted(map(tuple, substring._once(scratch.keep(marks), scratch).collect()))
+    assert len(few) == 4 and written[-1].count() == 1
+    assert few == sorted(map(tuple, substring._once(written[0], scratch, most=0).collect()))
