@@ -663,3 +663,42 @@ def test_op4_writes_only_copied_texts_again(spark):
     few = sorted(map(tuple, substring._once(scratch.keep(marks), scratch).collect()))
     assert len(few) == 4 and written[-1].count() == 1
     assert few == sorted(map(tuple, substring._once(written[0], scratch, most=0).collect()))
+
+
+def test_op4_reach_bounds_every_extension():
+    rng = random.Random(12)
+    for width, letters in ((32, 4), (32, 30), (8, 3), (32, 200)):
+        pairs = []
+        for _ in range(300):
+            a = [rng.randrange(letters) for _ in range(rng.randrange(0, 60))]
+            b = [x if rng.random() < 0.8 else rng.randrange(letters) for x in a if rng.random() < 0.95] if rng.random() < 0.7 else [rng.randrange(letters) for _ in range(rng.randrange(0, 60))]
+            pairs.append((a, b))
+        rows = [np.array([(p[i] + [0] * width)[:width] for p in pairs], np.uint8) for i in (0, 1)]
+        far = substring.reach(*rows, *(np.array([min(width, len(p[i])) for p in pairs]) for i in (0, 1)))
+        for (a, b), most in zip(pairs, far):
+            x, y, _ = substring.extend(a, b, 0, 0, 1)
+            assert x + y <= most
+        assert letters < 200 or (far < 30).any()
+
+
+def test_op4_one_seed_in_common_is_enough_whoever_else_holds_it(spark):
+    # Pairs of fuzzy copies that share one seed, whose words stand in a third and a fourth text too.
+    rng, rows, wanted, known = random.Random(31), [], [], substring.WordHashes()
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    while len(wanted) < 12:
+        a = [word() for _ in range(60)]
+        b = list(a)
+        for at in rng.sample(range(60), 10):
+            b[at] = word()
+        a, b = ([word() for _ in range(40)] + x + [word() for _ in range(40)] for x in (a, b))
+        (p, g), (q, h) = (substring.seeds(np.array([known[w.encode()] for w in t], np.uint64)) for t in (a, b))
+        shared = [(int(p[i]), int(q[j])) for i in range(len(g)) for j in range(len(h)) if g[i] == h[j]]
+        if len(shared) != 1 or not any(min(e - s, f - t) >= substring.MIN_WORDS for s, e, t, f, _ in substring.parts(a, b, shared)):
+            continue
+        at = shared[0][0]
+        wanted.append((len(rows), len(rows) + 1))
+        for t in (a, b, *([word() for _ in range(30)] + a[at - 7 : at + 13] + [word() for _ in range(30)] for _ in "cd")):
+            rows.append((len(rows), " ".join(t)))
+    got = {(r.doc_id, r.other_doc_id) for r in substring.passages(frame(spark, rows)).collect()}
+    assert all(x in got for x in wanted)
+    assert got == {y for x in wanted for y in (x, x[::-1])}
